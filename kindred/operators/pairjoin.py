@@ -30,7 +30,7 @@ class Kernel:
     #: columns the kernel adds to the two ids
     fields: list[T.StructField] = []
 
-    def prepare(self, rows: pd.DataFrame) -> object:
+    def prepare(self, rows: pd.DataFrame, ids: np.ndarray) -> object:
         raise NotImplementedError
 
     def keep(self, ready: object, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -62,28 +62,21 @@ def tile(df: DataFrame, block: str, row_id: str, tile_rows: int = TILE_ROWS) ->
 
 def _units(frames: Iterator[pd.DataFrame], block: str) -> Iterator[pd.DataFrame]:
     """Re-cut a sorted stream so that no unit is split; waits for at most one unit."""
-    waiting: list[pd.DataFrame] = []
+    waiting: pd.DataFrame | None = None
     for frame in frames:
         if not len(frame):
             continue
+        if waiting is not None:
+            frame = pd.concat([waiting, frame], ignore_index=True)
         last = frame.iloc[-1]
-        tail = (frame[block] == last[block]) & (frame["_ti"] == last["_ti"]) & (frame["_tj"] == last["_tj"])
-        if waiting:
-            first = waiting[-1].iloc[-1]
-            same_unit = (first[block], first["_ti"], first["_tj"]) == (last[block], last["_ti"], last["_tj"])
-            if same_unit and bool(tail.all()):
-                waiting.append(frame)
-                continue
-        head = frame[~tail]
-        if waiting and not len(head) and not bool(tail.all()):
-            head = frame.iloc[:0]
-        if len(head) or waiting:
-            done = pd.concat([*waiting, head], ignore_index=True)
-            if len(done):
-                yield done
-        waiting = [frame[tail]]
-    if waiting:
-        yield pd.concat(waiting, ignore_index=True)
+        open_unit = (
+            (frame[block] == last[block]) & (frame["_ti"] == last["_ti"]) & (frame["_tj"] == last["_tj"])
+        )
+        if not open_unit.all():
+            yield frame[~open_unit].reset_index(drop=True)
+        waiting = frame[open_unit]
+    if waiting is not None:
+        yield waiting.reset_index(drop=True)
 
 
 def _partner_ranges(rows: pd.DataFrame, block: str) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +141,7 @@ def similar_pairs(
             begin, count = _partner_ranges(rows, block)
             if not count.any():
                 continue
-            ready = kernel.prepare(rows)
+            ready = kernel.prepare(rows, ids)
             for i, j in _index_pairs(begin, count):
                 swap = ids[i] > ids[j]
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -177,7 +170,7 @@ class NameFloors(Kernel):
     def __post_init__(self) -> None:
         self.fields = [T.StructField(f"{c}_sim", T.DoubleType()) for c in self.floors]
 
-    def prepare(self, rows: pd.DataFrame) -> object:
+    def prepare(self, rows: pd.DataFrame, ids: np.ndarray) -> object:
         coded = {}
         for c in {*self.floors, *([self.differ] if self.differ else [])}:
             codes, texts = pd.factorize(rows[c])
@@ -224,21 +217,21 @@ class CosineAbove(Kernel):
     keep_best: int | None = None
     fields: list[T.StructField] = field(default_factory=lambda: [T.StructField("cosine", T.DoubleType())])
 
-    def prepare(self, rows: pd.DataFrame) -> object:
+    def prepare(self, rows: pd.DataFrame, ids: np.ndarray) -> object:
         matrix = np.asarray(rows[self.vector].tolist(), dtype=np.float64)
         length = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
         with np.errstate(divide="ignore", invalid="ignore"):
-            return matrix / length[:, None], rows["_ids"].to_numpy() if "_ids" in rows else None
+            return matrix / length[:, None], ids
 
     def keep(self, ready: object, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        unit, _ = ready
+        unit, ids = ready
         score = np.empty(len(i))
         for at in range(0, len(i), 50_000):
             part = slice(at, at + 50_000)
             score[part] = np.einsum("ij,ij->i", unit[i[part]], unit[j[part]])
+        score = np.round(score, 9)
         kept = np.flatnonzero(score > self.threshold)
         if self.keep_best is not None and len(kept) > self.keep_best:
-            # ties with the last one stay in, so that the caller's order decides among them
-            last = np.partition(score[kept], len(kept) - self.keep_best)[len(kept) - self.keep_best]
-            kept = kept[score[kept] >= last]
+            best = np.lexsort((ids[j[kept]], ids[i[kept]], -score[kept]))
+            kept = kept[best[: self.keep_best]]
         return kept, {"cosine": score[kept]}
