@@ -97,16 +97,18 @@ def row_index(df: DataFrame, *order: Column | str, out: str = "row_id") -> DataF
 
 
 def rank_within(df: DataFrame, group: str, order: Column, out: str = "rank") -> DataFrame:
-    """Position inside each group, exact also when one group holds most of the rows.
+    """Position inside each class, exact also when one class holds most of the rows.
 
-    The global position minus the smallest position of the group.
+    For classes that are few (labels): the global position in (class, order) minus the rows
+    of the classes before. ``order`` is text and unique inside a class.
     """
-    keyed = df.withColumn("_key", order_key(F.coalesce(F.col(group).cast("string"), F.lit("")), order))
-    numbered = global_row_number(keyed, "_key", "_position").drop("_key")
+    name = F.coalesce(F.col(group).cast("string"), F.lit(""))
+    numbered = global_row_number(df.withColumn("_key", order_key(name, order)), "_key", "_position").drop("_key")
+    before = Window.orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        global_row_number(keyed.select(group, "_key"), "_key", "_position")
-        .groupBy(F.col(group).alias("_group"))
-        .agg(F.min("_position").alias("_start"))
+        df.groupBy(name.alias("_class"))
+        .count()
+        .select("_class", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     )
-    joined = numbered.join(starts, F.col(group).eqNullSafe(F.col("_group")))
-    return joined.withColumn(out, F.col("_position") - F.col("_start") + 1).drop("_group", "_start", "_position")
+    joined = numbered.withColumn("_class", name).join(starts, "_class")
+    return joined.withColumn(out, F.col("_position") - F.col("_start")).drop("_class", "_start", "_position")
