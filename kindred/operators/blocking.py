@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.cleaning import first_letter, strip
 from kindred.operators.ranking import global_row_number, order_key, rank_values, sortable_long
+from kindred.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,22 @@ class Neighbourhood:
         )
 
 
-Indexer = Block | Neighbourhood
+@dataclass(frozen=True)
+class Given:
+    """Blocks computed elsewhere: ``members`` has the values of ``col`` and a ``key`` (repeats allowed)."""
+
+    members_of: DataFrame
+    col: str
+
+    def members(self, df: DataFrame) -> DataFrame:
+        named = self.members_of.select(
+            F.col(self.col).alias("_value"), F.concat(F.lit(f"Given:{self.col}="), F.col("key")).alias("block")
+        )
+        joined = df.join(named, F.col(self.col) == F.col("_value")).drop("_value")
+        return joined.withColumn("anchor", F.lit(True))
+
+
+Indexer = Block | Neighbourhood | Given
 
 
 def block_members(df: DataFrame, indexers: list[Indexer]) -> DataFrame:
@@ -174,18 +190,21 @@ def candidate_count(df: DataFrame, indexers: list[Indexer]) -> DataFrame:
         else:
             key = ix.key()
             ranked = ranked.withColumn(f"_k{at}", key if ix.keep_blank else F.when(strip(key) != "", key))
+    keys = [f"_k{at}" for at in range(len(indexers))]
+    # every count below is a sum over these groups, so the records are read once
+    base = cut_lineage(ranked.groupBy(*keys).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n")))
     terms = []
     for size in range(1, len(indexers) + 1):
         for chosen in combinations(range(len(indexers)), size):
             sign = 1 if size % 2 else -1
-            terms.append(_common_pairs(ranked, indexers, chosen).select((F.lit(sign) * F.col("pairs")).alias("pairs")))
+            terms.append(_common_pairs(base, indexers, chosen).select((F.lit(sign) * F.col("pairs")).alias("pairs")))
     total = reduce(DataFrame.unionByName, terms)
     return total.agg(F.sum("pairs").cast("decimal(38,0)").alias("n_candidates"))
 
 
-def _common_pairs(ranked: DataFrame, indexers: list[Indexer], chosen: tuple[int, ...]) -> DataFrame:
+def _common_pairs(base: DataFrame, indexers: list[Indexer], chosen: tuple[int, ...]) -> DataFrame:
     keys = [f"_k{at}" for at in chosen]
-    groups = ranked.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
+    groups = base.dropna(subset=keys).groupBy(*keys).agg(F.sum("n").cast("decimal(38,0)").alias("n"))
     moved = groups
     for at in chosen:
         if isinstance(indexers[at], Neighbourhood):

@@ -27,7 +27,7 @@ def order_key(*cols: Column) -> Column:
 
 def sortable_long(c: Column | str) -> Column:
     """A whole number as fixed-width text with the same order."""
-    shifted = as_column(c).cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")
+    shifted = as_column(c).cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")
     return F.lpad(shifted.cast("decimal(20,0)").cast("string"), 20, "0")
 
 
