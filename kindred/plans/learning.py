@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kindred.functions import strings as s
 from kindred.operators import learning as ln
 from kindred.operators import text as t
+from kindred.operators.blocking import adjacent_rows
 from kindred.operators.evaluation import best_threshold, class_report, threshold_sweep
 from kindred.operators.joins import with_pair_key
 from kindred.plans.registry import query, table, view
@@ -43,8 +44,8 @@ def pair_truncate(spark, sf):
     w AS (SELECT token, row_number() OVER (ORDER BY token) + 3 AS token_id FROM
           (SELECT DISTINCT unnest(a || b) AS token FROM k)),
     f AS (SELECT id, label, len(a) AS la, len(b) AS lb, unnest(a || ['[SEP]'] || CASE WHEN len(b) > 0 THEN b || ['[SEP]'] ELSE [] END) AS token,
-          generate_subscripts(a || ['[SEP]'] || CASE WHEN len(b) > 0 THEN b || ['[SEP]'] ELSE [] END, 1) AS at FROM c),
-    i AS (SELECT id, label, la, lb, [2] || list(CASE WHEN f.token = '[SEP]' THEN 3 ELSE token_id END ORDER BY at) AS ids
+          generate_subscripts(a || ['[SEP]'] || CASE WHEN len(b) > 0 THEN b || ['[SEP]'] ELSE [] END, 1) AS pos FROM c),
+    i AS (SELECT id, label, la, lb, [2] || list(CASE WHEN f.token = '[SEP]' THEN 3 ELSE token_id END ORDER BY pos) AS ids
           FROM f LEFT JOIN w ON w.token = f.token GROUP BY ALL)
     SELECT id, array_to_string(ids || list_transform(range(0, 64 - len(ids)), lambda x: 0), ' ') AS input_ids,
       repeat('1', len(ids)) || repeat('0', 64 - len(ids)) AS input_mask,
@@ -67,8 +68,11 @@ def label_similarity(spark, sf):
 
 
 def _truth(spark, sf):
-    rows = view(spark, sf, "entity_pairs").filter("label = 1")
-    return with_pair_key(rows, "company_name_left", "company_name_right").select("pair_lo", "pair_hi")
+    """Neighbours in name order from different sources stand for labelled matches."""
+    cols = ["company_name", "_source_table"]
+    rows = adjacent_rows(view(spark, sf, "entities"), "company_name", cols=cols)
+    pairs = rows.filter("_source_table_left <> _source_table_right")
+    return with_pair_key(pairs, "company_name_left", "company_name_right").select("pair_lo", "pair_hi")
 
 
 def _model(spark, sf):
@@ -107,6 +111,15 @@ def score_pairs_hook(spark, sf):
     return ln.score_pairs(rows, ln.winkler_scorer).withColumn("match_score", F.round("match_score", 6))
 
 
-@query("encode_hash_ngrams")
+@query(
+    "encode_hash_ngrams",
+    """WITH d AS (SELECT doc_id, list_transform(string_split(lower(text), ''), lambda c: unicode(c)) AS c FROM {documents}),
+       g AS (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i:
+             (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 64)) AS spot FROM d),
+       n AS (SELECT doc_id, spot, count(*) AS n FROM g GROUP BY ALL)
+       SELECT d.doc_id, array_to_string(list_transform(range(0, 64), lambda k: coalesce(m[k], 0)), ' ') AS vector
+       FROM d LEFT JOIN (SELECT doc_id, map_from_entries(list((spot, n))) AS m FROM n GROUP BY 1) USING (doc_id)""",
+)
 def encode_hash_ngrams(spark, sf):
-    return ln.hashed_ngrams(table(spark, sf, "documents"), "doc_id", "text")
+    out = ln.hashed_ngrams(table(spark, sf, "documents"), "doc_id", "text")
+    return out.select("doc_id", F.array_join(F.col("vector").cast("array<int>").cast("array<string>"), " ").alias("vector"))

@@ -224,10 +224,27 @@ def block_kmeans(spark, sf):
     return top_pairs(similar_vectors(rows, "cluster", "embedding", "vec_id", 0.2, keep_best=50_001), "cosine")
 
 
-@query("block_canopy")
+# centres one after another in id order, each taking its neighbours
+_CANOPIES = """WITH RECURSIVE d AS (SELECT lower(company_name) AS t, min(rec_id) AS id, count(*) AS n FROM {entities} GROUP BY 1),
+    g AS (SELECT id, n, unnest(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) AS term FROM d),
+    tf AS (SELECT id, n, term, count(*) AS tf FROM g GROUP BY ALL),
+    df AS (SELECT term, sum(n) AS df FROM tf GROUP BY 1),
+    w AS (SELECT id, term, tf * (ln((1 + (SELECT sum(n) FROM d)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)),
+    u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w),
+    e AS MATERIALIZED (SELECT a.id AS i, b.id AS o, round(sum(a.w * b.w), 9) AS cosine
+      FROM u a JOIN u b ON a.term = b.term AND a.id <> b.id GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 9) >= 0.5),
+    nb AS MATERIALIZED (SELECT d.id, coalesce(list(o) FILTER (o IS NOT NULL), []) AS l FROM d LEFT JOIN e ON i = id GROUP BY 1),
+    s AS (SELECT id AS c, l AS taken FROM nb WHERE id = (SELECT min(id) FROM d)
+      UNION ALL SELECT x.id, list_distinct(list_concat(x.taken, x.l)) FROM (
+        SELECT nb.id, nb.l, s.taken, row_number() OVER (ORDER BY nb.id) AS k
+        FROM s JOIN nb ON nb.id > s.c AND NOT list_contains(s.taken, nb.id)) x WHERE x.k = 1),
+    m AS MATERIALIZED (SELECT c AS canopy, o AS rec_id, cosine FROM s JOIN e ON e.i = s.c UNION ALL SELECT c, c, 1.0 FROM s)"""
+
+
+@query("block_canopy", _CANOPIES + " SELECT canopy, rec_id, round(cosine, 6) AS cosine FROM m")
 def block_canopy(spark, sf):
     names = canopy_names(spark, sf)
-    return canopies(names, "name", copies="n_records")
+    return canopies(names, "name", copies="n_records").withColumn("cosine", F.round("cosine", 6))
 
 
 def canopy_names(spark, sf):
@@ -520,7 +537,18 @@ def export_blocked_pairs(spark, sf):
     return mt.export_blocked_pairs(rule_band_or_exact(spark, sf), "company_name")
 
 
-@query("match_canopy")
+@query(
+    "match_canopy",
+    _CANOPIES
+    + """, v AS (SELECT canopy, t FROM m JOIN d ON d.id = m.rec_id), x AS (SELECT canopy, f.* FROM v JOIN {entities} f ON lower(f.company_name) = v.t),
+    p AS (SELECT DISTINCT a.rec_id AS id_left, c.rec_id AS id_right, """
+    + ", ".join(f"a.{c} AS {c}_left, c.{c} AS {c}_right" for c in ("company_name", "industry", "country"))
+    + """ FROM x a JOIN x c ON a.canopy = c.canopy AND a.rec_id < c.rec_id WHERE a.company_name <> c.company_name),
+    q AS (SELECT *, """
+    + _sims_sql({"name_sim": "company_name", "industry_sim": "industry", "country_sim": "country"})
+    + """ FROM p) SELECT * FROM q
+    WHERE (name_sim > 0.8 AND name_sim < 0.92) OR (name_sim > 0.9 AND industry_sim > 0.5 AND country_sim > 0.5)""",
+)
 def match_canopy(spark, sf):
     """Linkage with canopies as blocks."""
     rows = view(spark, sf, "entities").withColumn("name", normalize_name("company_name"))

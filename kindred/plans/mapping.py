@@ -25,7 +25,7 @@ _LOCATIONS = _TOKENS.format(c="locations", d=",")
     "map_one_to_one",
     """SELECT id AS rec_key, ` Name ` AS company_name,
        CASE WHEN web IS NULL THEN `Area of Activity` ELSE web || ' / ' || `Area of Activity` END AS industry,
-       NULL AS ownership, 'market' AS _source_table FROM {market}""",
+       CAST(NULL AS VARCHAR) AS ownership, 'market' AS _source_table FROM {market}""",
 )
 def map_one_to_one(spark, sf):
     return _mapped(
@@ -59,7 +59,7 @@ def map_one_to_many(spark, sf):
 
 @query(
     "map_take_index",
-    f"""SELECT id AS rec_key, ({_LOCATIONS})[2] AS city, ({_LOCATIONS})[6] AS beyond, NULL AS below,
+    f"""SELECT id AS rec_key, ({_LOCATIONS})[2] AS city, ({_LOCATIONS})[6] AS beyond, CAST(NULL AS VARCHAR) AS below,
         'market' AS _source_table FROM {{market}}""",
 )
 def map_take_index(spark, sf):

@@ -110,12 +110,17 @@ def oracle(sql: str) -> str:
 
     visit(sql)
     named = [f"{n} AS ({VIEWS[n]})" for n in order]
-    body = sql.strip()
-    if body.upper().startswith("WITH "):
-        body = body[5:]
-        named_text = "WITH " + ", ".join(named) + (", " if named else "") + body
+    body, head = sql.strip(), "WITH "
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            body, head = body[len(start) :], start
+            named.append("")
+            break
+    if not named:
+        named_text = body
     else:
-        named_text = ("WITH " + ", ".join(named) + " " if named else "") + body
+        own = named[-1] == ""
+        named_text = head + (", ".join(named) if own else ", ".join(named) + " ") + body
     for n in [*VIEWS, *TABLES]:
         named_text = named_text.replace("{" + n + "}", n)
     return named_text.replace("`", '"')
