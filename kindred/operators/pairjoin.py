@@ -33,6 +33,12 @@ class Kernel:
     def prepare(self, rows: pd.DataFrame, ids: np.ndarray) -> object:
         raise NotImplementedError
 
+    def candidates(
+        self, ready: object, begin: np.ndarray, count: np.ndarray
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs to look at: row ``r`` with the ``count[r]`` rows from ``begin[r]`` on."""
+        yield from _index_pairs(begin, count)
+
     def keep(self, ready: object, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Positions (into ``i``/``j``) of the pairs to emit and their column values."""
         raise NotImplementedError
@@ -60,6 +66,11 @@ def tile(df: DataFrame, block: str, row_id: str, tile_rows: int = TILE_ROWS) ->
     )
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks of the pair stage: units differ in work, not in bytes, so it is cut finer than a shuffle."""
+    return 3 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _units(frames: Iterator[pd.DataFrame], block: str) -> Iterator[pd.DataFrame]:
     """Re-cut a sorted stream so that no unit is split; waits for at most one unit."""
     waiting: pd.DataFrame | None = None
@@ -131,7 +142,7 @@ def similar_pairs(
     )
     units = (
         tile(df, block, row_id, tile_rows)
-        .repartition(block, "_ti", "_tj")
+        .repartition(_tasks(df), block, "_ti", "_tj")
         .sortWithinPartitions(block, "_ti", "_tj", "_side", row_id)
     )
 
@@ -142,7 +153,7 @@ def similar_pairs(
             if not count.any():
                 continue
             ready = kernel.prepare(rows, ids)
-            for i, j in _index_pairs(begin, count):
+            for i, j in kernel.candidates(ready, begin, count):
                 swap = ids[i] > ids[j]
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
                 kept, values = kernel.keep(ready, i, j)
@@ -204,12 +215,66 @@ class NameFloors(Kernel):
         return kept, values
 
 
+class Products(Kernel):
+    """Base of kernels on unit vectors: a product of single-precision blocks finds the candidates.
+
+    Its error is far below the margin, and ``keep`` decides on exact products.
+    """
+
+    threshold: float
+    _MARGIN = 1e-4
+    _SMALL = 2_000
+    _STEP_CELLS = 2_000_000
+
+    def floor(self) -> float:
+        return self.threshold
+
+    def candidates(
+        self, ready: object, begin: np.ndarray, count: np.ndarray
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        matrix = ready[0]
+        if matrix is None:
+            yield from _index_pairs(begin, count)
+            return
+        end = begin + count
+        active = np.flatnonzero(count)
+        cut = np.flatnonzero(np.diff(end[active])) + 1
+        few = np.zeros(len(count), dtype=bool)
+        single = matrix.astype(np.float32)
+        for rows in np.split(active, cut):
+            last = end[rows[0]]
+            if len(rows) * (last - begin[rows[0]]) <= self._SMALL:
+                few[rows] = True
+                continue
+            at = 0
+            while at < len(rows):
+                first = begin[rows[at]]
+                part = rows[at : at + max(1, self._STEP_CELLS // (last - first))]
+                score = single[part] @ single[first:last].T
+                good = score > self.floor() - self._MARGIN
+                good &= np.arange(first, last) >= begin[part][:, None]
+                a, b = np.nonzero(good)
+                for step in range(0, len(a), _STEP_PAIRS):
+                    yield part[a[step : step + _STEP_PAIRS]], first + b[step : step + _STEP_PAIRS]
+                at += len(part)
+        yield from _index_pairs(begin, np.where(few, count, 0))
+
+    @staticmethod
+    def exact(matrix: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        score = np.empty(len(i))
+        step = max(1, 4_000_000 // max(matrix.shape[1], 1))
+        for at in range(0, len(i), step):
+            part = slice(at, at + step)
+            score[part] = np.einsum("ij,ij->i", matrix[i[part]], matrix[j[part]])
+        return np.round(score, 9)
+
+
 @dataclass
-class CosineAbove(Kernel):
+class CosineAbove(Products):
     """Pairs of vectors whose cosine is above a threshold; the best ``keep_best`` if given.
 
-    With ``keep_best`` each step of each unit emits its own best pairs only, which still
-    holds every pair of the overall best ``keep_best``.
+    With ``keep_best`` every task emits only pairs that are among the best of what it has seen,
+    which still holds every pair of the overall best ``keep_best``.
     """
 
     threshold: float
@@ -217,21 +282,27 @@ class CosineAbove(Kernel):
     keep_best: int | None = None
     fields: list[T.StructField] = field(default_factory=lambda: [T.StructField("cosine", T.DoubleType())])
 
+    def __post_init__(self) -> None:
+        self._best = np.empty(0)
+
+    def floor(self) -> float:
+        full = self.keep_best is not None and len(self._best) >= self.keep_best
+        return float(self._best.min()) if full else self.threshold
+
     def prepare(self, rows: pd.DataFrame, ids: np.ndarray) -> object:
         matrix = np.asarray(rows[self.vector].tolist(), dtype=np.float64)
         length = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+        # a vector without length has no cosine: it becomes NaN and passes no comparison
         with np.errstate(divide="ignore", invalid="ignore"):
             return matrix / length[:, None], ids
 
     def keep(self, ready: object, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        unit, ids = ready
-        score = np.empty(len(i))
-        for at in range(0, len(i), 50_000):
-            part = slice(at, at + 50_000)
-            score[part] = np.einsum("ij,ij->i", unit[i[part]], unit[j[part]])
-        score = np.round(score, 9)
-        kept = np.flatnonzero(score > self.threshold)
-        if self.keep_best is not None and len(kept) > self.keep_best:
-            best = np.lexsort((ids[j[kept]], ids[i[kept]], -score[kept]))
-            kept = kept[best[: self.keep_best]]
+        matrix, ids = ready
+        score = self.exact(matrix, i, j)
+        kept = np.flatnonzero((score > self.threshold) & (score >= self.floor()))
+        if self.keep_best is not None:
+            if len(kept) > self.keep_best:
+                best = np.lexsort((ids[j[kept]], ids[i[kept]], -score[kept]))
+                kept = kept[best[: self.keep_best]]
+            self._best = np.sort(np.concatenate([self._best, score[kept]]))[-self.keep_best :]
         return kept, {"cosine": score[kept]}
