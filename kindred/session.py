@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "kindred", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,7 +50,12 @@ def workspace(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df):
-    """Reliable checkpoint of ``df`` in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back.
+
+    What follows neither repeats the work before nor loses it with an executor, and is planned
+    with the true size of the table.
+    """
+    path = workspace(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
