@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,7 +51,7 @@ def tile(df: DataFrame, block: str, row_id: str, tile_rows: int = TILE_ROWS) ->
         present.groupBy(F.col(block).alias("_large"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > tile_rows)
-        .select("_large", F.ceil(F.col("_n") / tile_rows).cast("int").alias("_tiles"))
+        .select("_large", F.ceil(F.col("_n") / _rows_per_tile(F.col("_n"), tile_rows)).cast("int").alias("_tiles"))
     )
     spread = present.join(large, F.col(block) == F.col("_large"), "left").drop("_large")
     tiles = F.coalesce(F.col("_tiles"), F.lit(1))
@@ -66,6 +66,13 @@ def tile(df: DataFrame, block: str, row_id: str, tile_rows: int = TILE_ROWS) ->
     )
 
 
+def _rows_per_tile(n: Column, tile_rows: int) -> Column:
+    """Tiles grow with the square root of the block, up to eight times: every row is sent once
+    per tile of its block, so larger tiles keep the shuffle of a very large block down."""
+    grown = F.sqrt(n * (tile_rows / 32))
+    return F.least(F.greatest(grown, F.lit(float(tile_rows))), F.lit(8.0 * tile_rows))
+
+
 def _tasks(df: DataFrame) -> int:
     """Tasks of the pair stage: units differ in work, not in bytes, so it is cut finer than a shuffle."""
     return 3 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -232,33 +239,39 @@ class Products(Kernel):
     def candidates(
         self, ready: object, begin: np.ndarray, count: np.ndarray
     ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        matrix = ready[0]
-        if matrix is None:
-            yield from _index_pairs(begin, count)
-            return
         end = begin + count
         active = np.flatnonzero(count)
-        cut = np.flatnonzero(np.diff(end[active])) + 1
         few = np.zeros(len(count), dtype=bool)
-        single = matrix.astype(np.float32)
-        for rows in np.split(active, cut):
-            last = end[rows[0]]
-            if len(rows) * (last - begin[rows[0]]) <= self._SMALL:
+        height = max(1, min(2048, self._STEP_CELLS // max(self.width(ready), 1)))
+        # rows with the same last partner lie side by side and form one rectangle (or triangle)
+        for rows in np.split(active, np.flatnonzero(np.diff(end[active])) + 1):
+            if not len(rows):
+                continue
+            top, bottom, last = rows[0], rows[-1] + 1, end[rows[0]]
+            if (bottom - top) * (last - begin[top]) <= self._SMALL:
                 few[rows] = True
                 continue
-            at = 0
-            while at < len(rows):
-                first = begin[rows[at]]
-                part = rows[at : at + max(1, self._STEP_CELLS // (last - first))]
-                score = single[part] @ single[first:last].T
-                good = score > self.floor() - self._MARGIN
-                good &= np.arange(first, last) >= begin[part][:, None]
-                a, b = np.nonzero(good)
-                for step in range(0, len(a), _STEP_PAIRS):
-                    yield part[a[step : step + _STEP_PAIRS]], first + b[step : step + _STEP_PAIRS]
-                at += len(part)
+            for r in range(top, bottom, height):
+                left = self.rows(ready, r, min(r + height, bottom))
+                own = begin[r : r + len(left)]
+                for c in range(own[0], last, height):
+                    score = left @ self.rows(ready, c, min(c + height, last)).T
+                    good = score > self.floor() - self._MARGIN
+                    if c < own[-1]:
+                        good &= np.arange(c, c + score.shape[1]) >= own[:, None]
+                    a, b = np.nonzero(good)
+                    for at in range(0, len(a), _STEP_PAIRS):
+                        yield r + a[at : at + _STEP_PAIRS], c + b[at : at + _STEP_PAIRS]
         yield from _index_pairs(begin, np.where(few, count, 0))
 
+    def width(self, ready: object) -> int:
+        """Length of the vectors."""
+        return ready[0].shape[1]
+
+    def rows(self, ready: object, start: int, stop: int) -> np.ndarray:
+        """Some of the vectors as a dense single-precision block."""
+        return ready[0][start:stop].astype(np.float32)
+
     @staticmethod
     def exact(matrix: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         score = np.empty(len(i))
