@@ -241,10 +241,10 @@ _CANOPIES = """WITH RECURSIVE d AS (SELECT lower(company_name) AS t, min(rec_id)
     m AS MATERIALIZED (SELECT c AS canopy, o AS rec_id, cosine FROM s JOIN e ON e.i = s.c UNION ALL SELECT c, c, 1.0 FROM s)"""
 
 
-@query("block_canopy", _CANOPIES + " SELECT canopy, rec_id, round(cosine, 6) AS cosine FROM m")
+@query("block_canopy", _CANOPIES + " SELECT canopy, rec_id, cosine FROM m")
 def block_canopy(spark, sf):
     names = canopy_names(spark, sf)
-    return canopies(names, "name", copies="n_records").withColumn("cosine", F.round("cosine", 6))
+    return canopies(names, "name", copies="n_records")
 
 
 def canopy_names(spark, sf):
@@ -354,26 +354,25 @@ def score_weighted(spark, sf):
 @query(
     "sim_cosine",
     """SELECT a.vec_id AS id_left, b.vec_id AS id_right,
-       round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine
+       round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS cosine
        FROM {embeddings} a JOIN {embeddings} b ON a.label = b.label AND a.vec_id < b.vec_id
        WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.2""",
 )
 def sim_cosine(spark, sf):
-    found = similar_vectors(table(spark, sf, "embeddings"), "label", "embedding", "vec_id", 0.2)
-    return found.withColumn("cosine", F.round("cosine", 6))
+    return similar_vectors(table(spark, sf, "embeddings"), "label", "embedding", "vec_id", 0.2)
 
 
 @query(
     "topk_similar_pairs",
     """SELECT a.vec_id AS id_left, b.vec_id AS id_right,
-       round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine
+       round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS cosine
        FROM {embeddings} a JOIN {embeddings} b ON a.label = b.label AND a.vec_id < b.vec_id
        ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) DESC, 1, 2
        LIMIT 1000""",
 )
 def topk_similar_pairs(spark, sf):
     found = similar_vectors(table(spark, sf, "embeddings"), "label", "embedding", "vec_id", -1.1, keep_best=1000)
-    return top_pairs(found, "cosine", 1000).withColumn("cosine", F.round("cosine", 6))
+    return top_pairs(found, "cosine", 1000)
 
 
 @query(
@@ -384,12 +383,11 @@ def topk_similar_pairs(spark, sf):
        df AS (SELECT term, sum(n) AS df FROM tf GROUP BY 1),
        w AS (SELECT id, term, tf * (ln((1 + (SELECT sum(n) FROM d)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)),
        u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w)
-       SELECT a.id AS id_left, b.id AS id_right, round(sum(a.w * b.w), 6) AS cosine
+       SELECT a.id AS id_left, b.id AS id_right, round(sum(a.w * b.w), 9) AS cosine
        FROM u a JOIN u b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 9) >= 0.8""",
 )
 def sim_tfidf_bigram(spark, sf):
-    found = similar_texts(canopy_names(spark, sf), "name", 0.8, copies="n_records")
-    return found.withColumn("cosine", F.round("cosine", 6))
+    return similar_texts(canopy_names(spark, sf), "name", 0.8, copies="n_records")
 
 
 # ---------------------------------------------------------------- rules and linkage
