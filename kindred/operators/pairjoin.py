@@ -73,8 +73,8 @@ def _rows_per_tile(n: Column, tile_rows: int) -> Column:
     return F.least(F.greatest(grown, F.lit(float(tile_rows))), F.lit(8.0 * tile_rows))
 
 
-def _tasks(df: DataFrame) -> int:
-    """Tasks of the pair stage: units differ in work, not in bytes, so it is cut finer than a shuffle."""
+def stage_tasks(df: DataFrame) -> int:
+    """Tasks of a pair stage: units differ in work, not in bytes, so it is cut finer than a shuffle."""
     return 3 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -149,7 +149,7 @@ def similar_pairs(
     )
     units = (
         tile(df, block, row_id, tile_rows)
-        .repartition(_tasks(df), block, "_ti", "_tj")
+        .repartition(stage_tasks(df), block, "_ti", "_tj")
         .sortWithinPartitions(block, "_ti", "_tj", "_side", row_id)
     )
 
