@@ -170,7 +170,7 @@ def mapping_rows(documents: DataFrame, col: str = "document") -> DataFrame:
     """Mapping documents (JSON, perhaps inside a code fence) → rows (attribute, table, column)."""
     bare = F.regexp_replace(strip(col), r"^```(json)?\s*|\s*```$", "")
     parsed = F.from_json(bare, T.MapType(T.StringType(), T.ArrayType(T.StringType())))
-    rows = documents.select(F.explode(parsed).alias("attribute", "_sources")).select(
+    rows = documents.select(F.explode_outer(parsed).alias("attribute", "_sources")).select(
         "attribute", F.explode("_sources").alias("_source")
     )
     dot = F.instr("_source", ".")

@@ -65,8 +65,8 @@ def truncate_pair(a: Column, b: Column, room: int) -> tuple[Column, Column]:
 
 def vocabulary(df: DataFrame, *cols: str) -> DataFrame:
     """Distinct tokens of the columns with ids that follow the special tokens, in token order."""
-    tokens = df.select(F.explode(F.concat(*[F.coalesce(tokenize(c), F.array().cast("array<string>")) for c in cols])).alias("token"))
-    ranked = global_row_number(tokens.distinct(), "token", "_rank")
+    tokens = df.select(F.explode_outer(F.concat(*[F.coalesce(tokenize(c), F.array().cast("array<string>")) for c in cols])).alias("token"))
+    ranked = global_row_number(tokens.filter(F.col("token").isNotNull()).distinct(), "token", "_rank")
     return ranked.select("token", (F.col("_rank") - 1 + len(SPECIAL_TOKENS)).cast("int").alias("token_id"))
 
 
@@ -134,7 +134,8 @@ def pair_features(
     placed = cut.select(row_id, "label_id", tokens.alias("_tokens"), segments.alias("_segments"))
 
     special = F.create_map(*[F.lit(x) for kv in SPECIAL_TOKENS.items() for x in kv])
-    spread = placed.select(row_id, F.posexplode("_tokens").alias("_at", "token"))
+    # outer: there always is a token, and the plain form would add a filter that computes them again
+    spread = placed.select(row_id, F.posexplode_outer("_tokens").alias("_at", "token"))
     found = spread.join(vocab, "token", "left").select(
         row_id,
         "_at",

@@ -29,7 +29,8 @@ def flatten_truth(documents: DataFrame, col: str = "document") -> DataFrame:
 
     Lists are joined with ``"; "``, missing texts are empty, a missing name is ``UNKNOWN``.
     """
-    records = documents.select(F.explode(F.from_json(col, DOCUMENT)["ground_truth"]).alias("r"))
+    records = documents.select(F.explode_outer(F.from_json(col, DOCUMENT)["ground_truth"]).alias("r"))
+    records = records.filter(F.col("r").isNotNull())
     sides = {"a": 0, "b": 1}
     cols: list[Column] = []
     for side, at in sides.items():
