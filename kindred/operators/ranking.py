@@ -16,6 +16,7 @@ from kindred.functions.cleaning import as_column
 
 MAX_RANGES = 1024
 SAMPLE_PER_RANGE = 24
+MAX_CLASSES = 10_000
 _GROUP = 32
 _CUT = "\x01"
 
@@ -96,19 +97,30 @@ def row_index(df: DataFrame, *order: Column | str, out: str = "row_id") -> DataF
     return global_row_number(keyed, "_key", out).withColumn(out, F.col(out) - 1).drop("_key")
 
 
-def rank_within(df: DataFrame, group: str, order: Column, out: str = "rank") -> DataFrame:
+def rank_within(df: DataFrame, group: str, order: Column, out: str = "rank", size: str | None = None) -> DataFrame:
     """Position inside each class, exact also when one class holds most of the rows.
 
-    For classes that are few (labels): the global position in (class, order) minus the rows
-    of the classes before. ``order`` is text and unique inside a class.
+    The global position in (class, order) minus the rows of the classes before. ``order`` is text
+    and unique inside a class; ``size`` names a column for the number of rows of the class.
     """
     name = F.coalesce(F.col(group).cast("string"), F.lit(""))
     numbered = global_row_number(df.withColumn("_key", order_key(name, order)), "_key", "_position").drop("_key")
     before = Window.orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
+    classes = (
         df.groupBy(name.alias("_class"))
-        .count()
-        .select("_class", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .select("_class", "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     )
-    joined = numbered.withColumn("_class", name).join(starts, "_class")
-    return joined.withColumn(out, F.col("_position") - F.col("_start")).drop("_class", "_start", "_position")
+    joined = numbered.withColumn("_class", name).join(_small(classes), "_class")
+    ranked = joined.withColumn(out, F.col("_position") - F.col("_start"))
+    if size:
+        ranked = ranked.withColumn(size, F.col("_size"))
+    return ranked.drop("_class", "_size", "_start", "_position")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` as a broadcast side when it has at most ``MAX_CLASSES`` rows, else as it is."""
+    rows = df.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -69,9 +69,7 @@ def split_exact(df: DataFrame, row_id: str, held_out: float = 0.2, seed: int = S
 
 def split_stratified(df: DataFrame, label: str, row_id: str, held_out: float = 0.4, seed: int = SEED) -> DataFrame:
     """:func:`split_exact` inside every label."""
-    ranked = rank_within(df, label, _unique_order(row_id, seed), "_rank")
-    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
-    return _by_rank(ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).drop("_label"), held_out)
+    return _by_rank(rank_within(df, label, _unique_order(row_id, seed), "_rank", size="_n"), held_out)
 
 
 def _by_rank(ranked: DataFrame, held_out: float) -> DataFrame:

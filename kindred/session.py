@@ -30,18 +30,17 @@ def get_session(app: str = "kindred", master: str | None = None, **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    On a local master without that setting a scratch folder is made and set as the
-    checkpoint folder; on a cluster a missing setting is an error, since a folder of one
-    machine would be lost with it.
+    On a local master without that setting a scratch folder is made and set as the context's
+    checkpoint folder; on a cluster a missing setting is an error, since a folder of one machine
+    would be lost with it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="kindred-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="kindred-"))
+        folder = context.getCheckpointDir()
     return folder
 
 
