@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from kindred.functions.strings import both_empty_zero, exact, jaro_winkler
 from kindred.operators.blocking import Indexer, block_members
 from kindred.operators.pairjoin import TILE_ROWS, NameFloors, similar_pairs
+from kindred.session import cut_lineage
 
 #: similarity values are rounded so that thresholds do not hang on the last binary digit
 DIGITS = 9
@@ -142,7 +143,7 @@ def match_profiles(
 
     ``cols`` are the compared and reported columns; ``differ`` leaves out pairs equal there.
     """
-    shapes = profiles(df, cols, row_id)
+    shapes = cut_lineage(profiles(df, cols, row_id))  # read by every indexer and for both sides
     needed = {*rule.floors, *([differ] if differ else [])}
     members = block_members(shapes, indexers).select(row_id, "block", "anchor", *needed)
     kernel = NameFloors(rule.floors, differ=differ, anchor="anchor")
@@ -167,13 +168,13 @@ def expand_records(
     """Profile pairs → record pairs, ``id_left < id_right``, column values kept on their side."""
     of = (
         df.select(F.col(row_id).alias("_rec"), *cols)
-        .alias("r")
         .join(
             shapes.select(row_id, *[F.col(c).alias(f"_{c}") for c in cols]),
             reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols]),
         )
         .select(F.col(row_id).alias("_profile"), "_rec")
     )
+    of = cut_lineage(of)  # two ids per record, read for both sides
     left = of.select(F.col("_profile").alias("id_left"), F.col("_rec").alias("_a"))
     right = of.select(F.col("_profile").alias("id_right"), F.col("_rec").alias("_b"))
     both = matches.drop("n_records_left", "n_records_right").join(left, "id_left").join(right, "id_right")

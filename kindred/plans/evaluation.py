@@ -167,14 +167,14 @@ def agg_histogram(spark, sf):
 
 
 @query(
-    "agg_pipeline_compare",
+    "agg_compare_results",
     """SELECT 'rules' AS result, count(*) AS n_candidates, count(*) FILTER (WHERE score > 0.8) AS n_matches FROM {named_pairs}
        UNION ALL SELECT 'model', count(*), count(*) FILTER (WHERE prediction = 1) FROM {named_pairs}
        UNION ALL SELECT 'truth', count(*), count(*) FROM {named_pairs} WHERE label = 1""",
 )
-def agg_pipeline_compare(spark, sf):
+def agg_compare_results(spark, sf):
     rows = view(spark, sf, "named_pairs").select("score", "prediction", "label")
-    return ev.compare_pipelines(
+    return ev.compare_results(
         {
             "rules": (rows, F.col("score") > 0.8),
             "model": (rows, F.col("prediction") == 1),
