@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,7 +133,3 @@ def label_first(df: DataFrame, label: str = "label") -> DataFrame:
 def literal_pattern(text: str) -> str:
     """Regular expression that matches ``text`` itself."""
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-
-
-def null_safe_equal(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])

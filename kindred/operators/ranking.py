@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.cleaning import as_column
+from kindred.session import cut_lineage
 
 MAX_RANGES = 1024
 SAMPLE_PER_RANGE = 24
@@ -88,7 +89,7 @@ def global_row_number(df: DataFrame, key: str, out: str = "rank") -> DataFrame:
 def rank_values(df: DataFrame, col: str, out: str = "rank") -> DataFrame:
     """Distinct values of ``col`` with their rows counted and their dense rank (nulls left out)."""
     values = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n_rows"))
-    return global_row_number(values, col, out)
+    return global_row_number(cut_lineage(values), col, out)  # the values are read three times
 
 
 def row_index(df: DataFrame, *order: Column | str, out: str = "row_id") -> DataFrame:
