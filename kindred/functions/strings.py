@@ -7,7 +7,6 @@ long as the longest text, not as the number of pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -155,31 +154,28 @@ def _over_distinct(left: pd.Series, right: pd.Series, measure: str) -> np.ndarra
     return out
 
 
-@F.pandas_udf(T.DoubleType())
-def _jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series(_over_distinct(left, right, "jaro_winkler"))
+def _measure(name: str, left: Column | str, right: Column | str) -> Column:
+    """Arrow UDF over two text columns; made per use, so that it belongs to the running session."""
 
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(_over_distinct(a, b, name))
 
-@F.pandas_udf(T.DoubleType())
-def _sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series(_over_distinct(left, right, "ratio"))
+    return F.pandas_udf(run, T.DoubleType())(left, right)
 
 
 def jaro_winkler(left: Column | str, right: Column | str) -> Column:
     """Jaro-Winkler similarity; 0 where a side is missing."""
-    return _jaro_winkler(left, right)
+    return _measure("jaro_winkler", left, right)
 
 
 def sequence_ratio(left: Column | str, right: Column | str) -> Column:
     """Matching-blocks ratio of the left text against the right one (not symmetric)."""
-    return _sequence_ratio(left, right)
+    return _measure("ratio", left, right)
 
 
 def fuzzy_ratio(left: Column | str, right: Column | str) -> Column:
     """Matching-blocks ratio of the lower-cased texts as a whole number 0-100, 0 if one is missing."""
-    a = F.lower(left) if isinstance(left, str) else F.lower(left)
-    b = F.lower(right) if isinstance(right, str) else F.lower(right)
-    return F.rint(_sequence_ratio(a, b) * 100).cast("int")
+    return F.rint(sequence_ratio(F.lower(left), F.lower(right)) * 100).cast("int")
 
 
 def exact(left: Column | str, right: Column | str) -> Column:
@@ -197,7 +193,3 @@ def levenshtein_similarity(left: Column | str, right: Column | str) -> Column:
 
 def both_empty_zero(left: Column, right: Column, similarity: Column) -> Column:
     return F.when((left == "") & (right == ""), F.lit(0.0)).otherwise(similarity)
-
-
-def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    return (f for f in frames if len(f))

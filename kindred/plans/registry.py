@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kindred.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -132,7 +135,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = build
+
+        @wraps(build)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            return build(ship_package(spark), sf)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = oracle(sql)
         return build

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +26,21 @@ def get_session(app: str = "kindred", master: str | None = None, **conf: str) ->
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give the Python workers of this session the package (once per Spark context)."""
+    context = spark.sparkContext
+    if any(name.startswith("kindred-") for name in context._python_includes):
+        return spark
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp()) / f"kindred-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, str(source.relative_to(root.parent)))
+    context.addPyFile(str(target))  # the driver's copy; Spark sends it to the executors
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
