@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kindred.llm import chat, exact_dedup, mixing
+from kindred.llm import chat, decontaminate, exact_dedup, html_extract, mixing, packing
 from kindred.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -85,3 +85,18 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return lengths.join(read, F.col("conv_id").eqNullSafe(F.col("_c"))).select(
         "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
     )
+
+
+@query("op2_token_packing")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_tokens(table(spark, sf, "documents"))
+
+
+@query("op3_simhash_decontamination")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op9_text_density_html")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf, "pages"))
