@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kindred.llm import chat, decontaminate, exact_dedup, html_extract, mixing, packing
+from kindred.llm import chat, decontaminate, exact_dedup, html_extract, mixing, packing, quality
 from kindred.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -100,3 +100,17 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_text_density_html")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf, "pages"))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and ``score`` of every document; learned without the third of ids that is held out."""
+    machine = quality.fit(docs, labels, ~quality.held_out(3)(F.col("doc_id")))
+    return quality.score(docs, machine, keep)
+
+
+@query("op6_factorisation_quality")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    scored = quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"), ["doc_id"])
+    return scored.select(
+        "doc_id", quality.held_out(3)(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
