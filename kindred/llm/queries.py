@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kindred.llm import chat, decontaminate, exact_dedup, html_extract, mixing, packing, quality
+from kindred.llm import chat, decontaminate, exact_dedup, html_extract, jaccard_join, mixing, packing, quality
 from kindred.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -87,6 +87,11 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op1_jaccard_metric_join")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf, "documents"))
+
+
 @query("op2_token_packing")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_tokens(table(spark, sf, "documents"))
