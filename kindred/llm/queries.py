@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kindred.llm import chat, decontaminate, exact_dedup, html_extract, jaccard_join, mixing, packing, quality
+from kindred.llm import chat, decontaminate, exact_dedup, html_extract, jaccard_join, language_model, mixing, packing, quality
 from kindred.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -113,6 +113,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataF
     return quality.score(docs, machine, keep)
 
 
+@query("op4_maxent_language_model")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    scored = language_model.score_texts(table(spark, sf, "documents"), lambda doc_id: ~quality.held_out(5)(doc_id))
+    return scored.select(
+        "doc_id", quality.held_out(5)(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query("op6_factorisation_quality")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     scored = quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"), ["doc_id"])
