@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kindred.llm import chat, decontaminate, exact_dedup, html_extract, jaccard_join, language_model, mixing, packing, quality
+from kindred.llm import chat, decontaminate, exact_dedup, html_extract, jaccard_join, language_model, mixing, packing, quality, repeats
 from kindred.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -127,3 +127,14 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select(
         "doc_id", quality.held_out(3)(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query("op10_column_bwt_repeats")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["length"]), F.lit(0)).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
