@@ -110,17 +110,10 @@ def mix_sources(
     weights: Sequence[float] = (5, 2, 1),
     ceiling: int = CEILING,
     seed: int = 7,
-    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, source): size, source_size, target, copies and taken.
-
-    ``carry`` names columns of ``docs`` that the result keeps.
-    """
-    kept = {c: f"_c{k}" for k, c in enumerate(carry)}
-    sized = docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"), *[F.col(c).alias(k) for c, k in kept.items()]
-    )
-    narrow = cut_lineage(sized.select("doc_id", "source", "size", F.xxhash64("doc_id", F.lit(seed)).alias("h")))
+    """Per row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, copies and taken."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    narrow = cut_lineage(sized.withColumn("h", F.xxhash64("doc_id", F.lit(seed))))
     targets = cut_lineage(source_targets(narrow, weights, ceiling))
     joined = narrow.join(targets, narrow["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     f = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(ceiling)))).otherwise(0.0)
@@ -143,15 +136,4 @@ def mix_sources(
     for part in parts[1:]:
         rounded = rounded.unionByName(part)
     copies = F.col("base") + F.round("p").cast("long")
-    result = rounded.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-    if not kept:
-        return result
-    # equal ids: the k-th copy of an id on one side meets the k-th on the other
-    nth = F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("copies"))
-    other = F.row_number().over(Window.partitionBy("doc_id", "size").orderBy(*kept.values()))
-    back = sized.drop("source").withColumn("_n", other)
-    met = result.withColumn("_n", nth).withColumnRenamed("doc_id", "_id").withColumnRenamed("size", "_size")
-    on = met["_id"].eqNullSafe(back["doc_id"]) & (met["_size"] == back["size"]) & (met["_n"] == back["_n"])
-    return back.join(met, on).select(
-        "doc_id", "size", "source_size", "target", "copies", "taken", *[F.col(k).alias(c) for c, k in kept.items()]
-    )
+    return rounded.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -213,8 +213,8 @@ def fit(
     return machine
 
 
-def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (text, n_chars, ...) and ``score``; nothing is shuffled."""
+def score(docs: DataFrame, machine: Machine, keep: list[str], name: str = "score") -> DataFrame:
+    """Columns ``keep`` of ``docs`` (text, n_chars, ...) and the score as ``name``; nothing is shuffled."""
     known = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,10 +224,10 @@ def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
                 margin, _ = known.value.margins(index, values, at)
                 scores[lo:hi] = 1 / (1 + np.exp(-np.clip(margin.astype(np.float64), -40, 40)))
             kept = [batch.column(2 + k) for k in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores)], [*keep, name])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "score double"])
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], f"{name} double"])
     source = docs.select(F.col("text").cast("string"), F.col("n_chars").cast("long"), *[F.col(c).alias(f"_k{k}") for k, c in enumerate(keep)])
     return source.mapInArrow(run, schema)
 

@@ -107,10 +107,10 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf, "pages"))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and ``score`` of every document; learned without the third of ids that is held out."""
+def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str], name: str = "score") -> DataFrame:
+    """``keep`` and the score of every document; learned without the third of ids that is held out."""
     machine = quality.fit(docs, labels, ~quality.held_out(3)(F.col("doc_id")))
-    return quality.score(docs, machine, keep)
+    return quality.score(docs, machine, keep, name)
 
 
 @query("op4_maxent_language_model")
