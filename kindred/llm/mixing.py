@@ -94,7 +94,7 @@ def pivotal(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> tuple[np.ndarray,
 def _round_blocks(rows: DataFrame, level: int, seed: int, last: bool) -> DataFrame:
     """Round each (rank, block); ``p`` of what is left over stays fractional unless ``last``."""
 
-    def rounded(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def rounded(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "doc_id", "size"], kind="stable", ignore_index=True)
         u = np.random.default_rng([seed, level, int(key[0]), int(key[1])]).random(len(pdf) + 1)
         p, left = pivotal(pdf["p"].to_numpy(), pdf["size"].to_numpy().astype(float), u[:-1])
