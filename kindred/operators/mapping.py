@@ -194,10 +194,14 @@ def spec_rows(spark: SparkSession, spec: dict[str, Attribute | None]) -> DataFra
 
 
 def coverage(catalog: DataFrame, references: DataFrame) -> DataFrame:
-    """Every source column and every reference with its status: used, unused or dangling."""
-    used = references.select("table", F.trim("column").alias("column")).distinct().withColumn("_ref", F.lit(1))
-    known = catalog.select("table", F.trim("column").alias("column")).distinct().withColumn("_col", F.lit(1))
-    status = (
-        F.when(F.col("_ref").isNull(), "unused").when(F.col("_col").isNull(), "dangling").otherwise("used")
+    """Every source column and every reference with its status (used, unused or dangling), the attributes
+    that are mapped from it, and how many non-null values they can draw on."""
+    used = references.groupBy("table", F.trim("column").alias("column")).agg(
+        F.array_join(F.array_sort(F.collect_set("attribute")), ",").alias("attributes")
+    )
+    known = catalog.groupBy("table", F.trim("column").alias("column")).agg(F.sum("n_values").alias("n_values"))
+    status = F.when(F.col("attributes").isNull(), "unused").when(F.col("n_values").isNull(), "dangling").otherwise("used")
+    return known.join(used, ["table", "column"], "full_outer").select(
+        "table", "column", status.alias("status"), F.coalesce("attributes", F.lit("")).alias("attributes"),
+        F.coalesce("n_values", F.lit(0)).alias("n_values"),
     )
-    return known.join(used, ["table", "column"], "full_outer").select("table", "column", status.alias("status"))

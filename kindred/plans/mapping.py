@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators import mapping as m
 from kindred.plans.registry import query, run_sql, view
+from kindred.session import workspace
 from kindred.sources.readers import catalog
 
 
@@ -175,20 +176,40 @@ def mapping_doc_explode(spark, sf):
     return m.mapping_rows(documents)
 
 
+_MARKET = ["id", " Name ", "Area of Activity", "locations", "Founded.Year", "web", "social"]
+_VENDORS = ["id", "name", "country", "address"]
+
+
+def _counted(name, columns):
+    return " UNION ALL ".join(f"SELECT '{name}' AS `table`, '{c.strip()}' AS `column`, count(`{c}`) AS n_values FROM {{{name}}}" for c in columns)
+
+
 @query(
     "mapping_coverage",
-    """WITH known AS (
-         SELECT table_name AS `table`, column_name AS `column` FROM information_schema.columns
-         WHERE table_name IN ('customer', 'supplier')),
-       refs AS (SELECT * FROM (VALUES ('customer', 'c_name'), ('supplier', 's_name'), ('customer', 'c_mktsegment'),
-         ('supplier', 's_phone')) r(`table`, `column`))
+    f"""WITH known AS ({_counted("market", _MARKET)} UNION ALL {_counted("vendors", _VENDORS)}),
+       refs AS (SELECT * FROM (VALUES ('market', 'Name', 'company_name'), ('vendors', 'name', 'company_name'),
+         ('market', 'web', 'contact,site'), ('vendors', 'phone', 'phone')) r(`table`, `column`, attributes))
        SELECT coalesce(k.`table`, r.`table`) AS `table`, coalesce(k.`column`, r.`column`) AS `column`,
-         CASE WHEN r.`table` IS NULL THEN 'unused' WHEN k.`table` IS NULL THEN 'dangling' ELSE 'used' END AS status
-       FROM (SELECT DISTINCT * FROM known) k FULL OUTER JOIN refs r ON k.`table` = r.`table` AND k.`column` = r.`column`""",
+         CASE WHEN r.`table` IS NULL THEN 'unused' WHEN k.`table` IS NULL THEN 'dangling' ELSE 'used' END AS status,
+         coalesce(r.attributes, '') AS attributes, coalesce(n_values, 0) AS n_values
+       FROM known k FULL OUTER JOIN refs r ON k.`table` = r.`table` AND k.`column` = r.`column`""",
 )
 def mapping_coverage(spark, sf):
     spec = m.parse_spec(
-        {"company_name": ["customer.c_name", "supplier.s_name"], "industry": ["customer.c_mktsegment"], "phone": ["supplier.s_phone"]}
+        {"company_name": ["market. Name ", "vendors.name"], "site": ["market.web"], "contact": ["market.web"], "phone": ["vendors.phone"]}
     )
-    tables = {n: view(spark, sf, n) for n in ("customer", "supplier")}
-    return m.coverage(catalog(spark, tables), m.spec_rows(spark, spec))
+    tables = {n: view(spark, sf, n) for n in ("market", "vendors")}
+    return m.coverage(catalog(tables), m.spec_rows(spark, spec))
+
+
+@query(
+    "map_write_per_source",
+    """SELECT 'market' AS _source_table, c_name AS name, c_mktsegment AS area FROM {customer}
+       UNION ALL SELECT 'vendors', s_name, NULL FROM {supplier}""",
+)
+def map_write_per_source(spark, sf):
+    """The mediated table, written in one folder per source and read back."""
+    spec = m.parse_spec({"name": ["market. Name ", "vendors.name"], "area": ["market.Area of Activity"]})
+    path = workspace(spark, "mediated")
+    m.write_mediated(m.populate(spark, {n: view(spark, sf, n) for n in ("market", "vendors")}, spec), path)
+    return spark.read.parquet(path).select("_source_table", "name", "area")

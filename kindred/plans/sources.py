@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kindred.operators.joins import lookup_pairs
-from kindred.plans.registry import TABLES, query, table, view
+from kindred.plans.registry import query, table, view
 from kindred.session import workspace
 from kindred.sources import readers as r
 from kindred.sources import writers as w
@@ -19,15 +19,18 @@ from kindred.sources import writers as w
        UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR), p_name, p_brand FROM {part}""",
 )
 def src_multi_format(spark, sf):
-    folder = workspace(spark, "mixed")
-    w.write_csv(table(spark, sf, "customer"), f"{folder}/customer.csv")
+    folder = workspace(spark, "mixed") + "/same/same"  # a folder named like its parent
+    customer = table(spark, sf, "customer")
+    w.write_csv(customer.where("c_custkey % 3 = 0"), f"{folder}/customer.csv")  # one name, three files
+    w.write_json_lines(customer.where("c_custkey % 3 = 1"), f"{folder}/customer.json")
+    w.write_json_lines(customer.where("c_custkey % 3 = 2").drop("c_acctbal"), f"{folder}/customer.jsonl")
     w.write_json_lines(table(spark, sf, "supplier"), f"{folder}/supplier.jsonl")
     w.write_json_lines(table(spark, sf, "part"), f"{folder}/part.v2.json.json")  # second dot: unknown format "v2"
     w.write_json_lines(table(spark, sf, "part"), f"{folder}/part.json")
     table(spark, sf, "nation").select("n_name").write.text(f"{folder}/broken.json")
     table(spark, sf, "nation").select("n_name").write.text(f"{folder}/noext")
     found = r.read_folder(spark, folder)
-    if set(found.tables) != {"customer", "supplier", "part"}:
+    if {n: len(t) for n, t in found.tables.items()} != {"customer": 3, "supplier": 1, "part": 1}:
         raise AssertionError(f"unexpected tables {sorted(found.tables)}, left out {found.skipped}")
     wanted = {
         "customer": ("c_custkey", "c_name", "c_nationkey"),
@@ -35,7 +38,7 @@ def src_multi_format(spark, sf):
         "part": ("p_partkey", "p_name", "p_brand"),
     }
     parts = [
-        found.tables[t].select(
+        found.table(t).select(
             F.lit(t).alias("source"), F.col(key).alias("rec_key"), F.col(name).alias("name"), F.col(n).alias("nation")
         )
         for t, (key, name, n) in wanted.items()
@@ -72,25 +75,59 @@ def _turn_lines(spark, sf):
 
 
 _FLAT_TEXT = "regexp_replace({}, '[\\t\\r\\n]+', ' ', 'g')"
-_TURN_ROWS = f"""SELECT '{{s}}-' || CAST(id AS VARCHAR) AS guid, {_FLAT_TEXT.format('text_a')} AS text_a,
+_TURN_ROWS = f"""SELECT '{{g}}-' || {{id}} AS guid, {_FLAT_TEXT.format('text_a')} AS text_a,
     {_FLAT_TEXT.format('text_b')} AS text_b, label, '{{s}}' AS split FROM {{{{turns}}}}"""
+_NAMED_ID = "CASE WHEN id % 7 = 0 THEN 'id' ELSE CAST(id AS VARCHAR) END"  # ids that read like a header
 
 
-@query("src_pairs_4col", _TURN_ROWS.format(s="train") + " UNION ALL " + _TURN_ROWS.format(s="test"))
+@query(
+    "src_pairs_4col",
+    _TURN_ROWS.format(g="train", s="train", id=_NAMED_ID) + " UNION ALL " + _TURN_ROWS.format(g="test", s="test", id=_NAMED_ID),
+)
 def src_pairs_4col(spark, sf):
     path = workspace(spark, "pairs")
-    rows = _turn_lines(spark, sf).select(
-        "id", F.col("text_a").alias("sentence1"), F.col("text_b").alias("sentence2"), "label"
-    )
+    name = F.when(F.col("id") % 7 == 0, F.lit("id")).otherwise(F.col("id").cast("string"))
+    rows = _turn_lines(spark, sf).select(name.alias("pair"), "text_a", "text_b", "label")  # a header of its own
     w.write_pairs(rows, f"{path}/train")
-    # a line with too few fields is left out by the reader
-    rows.select(F.concat_ws("\t", "id", "sentence1").alias("value")).write.mode("append").text(f"{path}/train")
     return r.read_splits(spark, {"train": f"{path}/train", "test": f"{path}/train"})
 
 
+@query(
+    "src_pair_rejects",
+    f"""SELECT CAST(id AS VARCHAR) || chr(9) || {_FLAT_TEXT.format('text_a')} AS value, 2 AS n_fields, 'pairs' AS source
+            FROM {{turns}} WHERE id % 3 = 0
+        UNION ALL SELECT {_FLAT_TEXT.format('text_a')}, 1, 'matches' FROM {{turns}} WHERE id % 3 = 1""",
+)
+def src_pair_rejects(spark, sf):
+    """Lines the pair and match-text readers cannot use are reported, not lost."""
+    path = workspace(spark, "rejects")
+    rows = _turn_lines(spark, sf)
+    good = rows.where("id % 3 <> 0").select(F.concat_ws("\t", "id", "text_a", "text_b", "label").alias("value"))
+    short = rows.where("id % 3 = 0").select(F.concat_ws("\t", "id", "text_a").alias("value"))
+    # one header line per file: the file is written as text, header first
+    lines = good.unionByName(short).sortWithinPartitions("value")
+    headed = lines.mapInPandas(_with_header, "value string")
+    headed.write.text(f"{path}/pairs")
+    pairs = r.rejected_pairs(spark, f"{path}/pairs").withColumn("source", F.lit("pairs"))
+    side = F.concat_ws(" | ", "text_a", "label")
+    texts = rows.select(F.when(F.col("id") % 3 == 1, F.col("text_a")).otherwise(F.concat_ws(" \t ", side, side, "label")).alias("value"))
+    texts.write.text(f"{path}/matches")
+    matches = r.rejected_match_text(spark.read.text(f"{path}/matches")).withColumn("source", F.lit("matches"))
+    return pairs.unionByName(matches)
+
+
+def _with_header(batches):
+    import pandas as pd
+
+    yield pd.DataFrame({"value": ["id\tsentence1\tsentence2\tlabel"]})
+    yield from batches
+
+
 @query(
     "src_pairs_6col",
-    _TURN_ROWS.format(s="train") + " UNION ALL " + _TURN_ROWS.format(s="dev") + " UNION ALL " + _TURN_ROWS.format(s="test"),
+    " UNION ALL ".join(
+        _TURN_ROWS.format(g=g, s=s, id="CAST(id AS VARCHAR)") for g, s in (("train", "train"), ("dev", "dev"), ("dev", "test"))
+    ),
 )
 def src_pairs_6col(spark, sf):
     path = workspace(spark, "questions")
@@ -99,7 +136,7 @@ def src_pairs_6col(spark, sf):
         F.col("text_b").alias("question2"), F.col("label").alias("is_duplicate"),
     )
     w.write_pairs(rows, f"{path}/dev")
-    # the unlabelled test file has three columns: every line of it is left out
+    # the test file has no labels: the dev file stands in for it
     w.write_pairs(rows.select("id", "question1", "question2"), f"{path}/test")
     return r.read_splits(spark, {"train": f"{path}/dev", "dev": f"{path}/dev", "test": f"{path}/test"}, layout=6)
 
@@ -174,13 +211,25 @@ def preview_per_source(spark, sf):
     return out.withColumn("position", F.col("position").cast("long"))
 
 
+_CATALOGUED = {
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "dirty": ["rec_id", "raw_name", "raw_type", "raw_brand", "size"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "pages": ["page_id", "url", "html"],
+}
+
+
 @query(
     "attr_catalog",
-    "SELECT table_name AS `table`, column_name AS `column`, CAST(ordinal_position - 1 AS INT) AS ordinal "
-    "FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + ")",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS `table`, '{c}' AS `column`, CAST({k} AS INT) AS ordinal, count(*) AS n_rows, count({c}) AS n_values FROM {{{t}}}"
+        for t, columns in _CATALOGUED.items()
+        for k, c in enumerate(columns)
+    ),
 )
 def attr_catalog(spark, sf):
-    return r.catalog(spark, {t: table(spark, sf, t) for t in TABLES})
+    return r.catalog({t: view(spark, sf, t).select(*columns) for t, columns in _CATALOGUED.items()})
 
 
 @query("head_n", "SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} ORDER BY o_orderkey LIMIT 999")

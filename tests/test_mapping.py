@@ -83,7 +83,11 @@ def test_mapping_document_and_coverage(spark, shop):
     rows = m.mapping_rows(spark.createDataFrame([(doc,), ("not json",)], "document string"))
     assert sorted(tuple(r) for r in rows.collect()) == [
         ("name", "shop", " Name"), ("zip", "shop", "City.Zip"), ("zip", "shop", "gone")]
-    status = {(r.table, r.column): r.status for r in m.coverage(catalog(spark, {"shop": shop}), rows).collect()}
+    covered = m.coverage(catalog({"shop": shop}), rows).collect()
+    status = {(r.table, r.column): r.status for r in covered}
+    values = {(r.table, r.column): (r.n_values, r.attributes) for r in covered}
+    assert values[("shop", "Name")] == (1, "name")
+    assert values[("shop", "gone")] == (0, "zip")
     assert status[("shop", "Name")] == "used" and status[("shop", "gone")] == "dangling"
     assert status[("shop", "web")] == "unused"
 

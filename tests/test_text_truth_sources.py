@@ -103,30 +103,49 @@ def test_folder(spark, tmp_path):
     (tmp_path / "bad.json").write_text("not json\n")
     found = r.read_folder(spark, str(tmp_path))
     assert list(found.tables) == ["a", "b"] and set(found.skipped) == {"noext", "c.txt", "bad.json"}
-    assert [x.name for x in found.tables["b"].collect()] == ['a, "q"', None]
-    assert found.tables["b"].columns == ["name"]
-    assert found.tables["a"].first().n == "1"
+    assert [x.name for x in found.table("b").collect()] == ['a, "q"', None]
+    assert found.table("b").columns == ["name"]
+    assert found.table("a").first().n == "1"
     nested = tmp_path / "nested"
     (nested / "site").mkdir(parents=True)
     (nested / "site" / "t.one.csv").write_text("k\n1\n")
     assert list(r.read_folder(spark, str(nested), nested=True).tables) == ["t"]
 
 
+def test_folder_loses_nothing(spark, tmp_path):
+    """Two files of one name, in a folder named like its parent."""
+    folder = tmp_path / "a" / "a"
+    folder.mkdir(parents=True)
+    (folder / "y.csv").write_text("k,v\n1,x\n")
+    (folder / "y.json").write_text('{"k": 2}\n')
+    (folder / "z.csv").write_text('k,v\n1,"two\nlines"\n')
+    found = r.read_folder(spark, str(folder), schemas={"y": "k string, v string"}, multi_line=True)
+    assert not found.skipped and len(found.tables["y"]) == 2
+    assert sorted((x.k, x.v) for x in found.table("y").collect()) == [("1", "x"), ("2", None)]
+    assert found.table("z").first().v == "two\nlines"
+
+
 def test_pair_files(spark, tmp_path):
     four = tmp_path / "four.tsv"
     four.write_text('id\tsentence1\tsentence2\tlabel\n1\t"a\tb"\t1\n2\tonly\n3\t\tx\t0\textra\n')
     rows = [tuple(x) for x in r.read_pairs(spark, str(four), "train").collect()]
     assert rows == [("train-1", '"a', 'b"', "1"), ("train-3", "", "x", "0")]
+    assert [tuple(x) for x in r.rejected_pairs(spark, str(four)).collect()] == [("2\tonly", 2)]
+    odd = tmp_path / "odd.tsv"
+    odd.write_text("pair\ta\tb\tlabel\nid\tx\ty\u0001z\t1\nidx\t\\\t'\"\t0\n\n")
+    rows = [tuple(x) for x in r.read_pairs(spark, str(odd), "s").collect()]
+    assert rows == [("s-id", "x", "y\u0001z", "1"), ("s-idx", "\\", "'\"", "0")]
     six = tmp_path / "six.tsv"
     six.write_text("id\tqid1\tqid2\tquestion1\tquestion2\tis_duplicate\n7\t1\t2\tp\tq\t1\n8\tp\tq\n")
     both = r.read_splits(spark, {"dev": str(six), "test": str(four)}, layout=6).collect()
-    assert {(x.guid, x.text_a, x.split) for x in both} == {("dev-7", "p", "dev"), ("test-7", "p", "test")}
+    assert {(x.guid, x.text_a, x.split) for x in both} == {("dev-7", "p", "dev"), ("dev-7", "p", "test")}
 
 
 def test_match_text_and_writers(spark, tmp_path):
     lines = spark.createDataFrame([("a | b | c \t d |  | f \t 0.9",), ("broken",)], "value string")
     one = r.parse_match_text(lines, ["n", "i", "c"]).collect()
     assert [tuple(x) for x in one] == [("a", "b", "c", "d", "", "f")]
+    assert [tuple(x) for x in r.rejected_match_text(lines).collect()] == [("broken", 1)]
     df = spark.createDataFrame([(1, 'say "hi"', " x\ty ")], "id int, a string, b string")
     w.write_pairs(df.select("id", "a", F.lit("z").alias("b"), F.lit(1).alias("label")), str(tmp_path / "p"))
     assert tuple(r.read_pairs(spark, str(tmp_path / "p"), "s").first()) == ("s-1", 'say "hi"', "z", "1")
