@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.operators.ranking import global_row_number, rank_within
+from kindred.operators.ranking import global_row_number, rank_within, row_index, sortable_long
 
 SEED = 42
 
@@ -89,13 +89,26 @@ def label_not_null(df: DataFrame, col: str, label: str = "label") -> DataFrame:
     return df.withColumn(label, F.col(col).isNotNull().cast("int"))
 
 
-def every_nth(df: DataFrame, order: list[str], n: int = 12, stop_after: int = 2500) -> DataFrame:
-    """Every ``n``-th of the first ``stop_after`` rows, the first one included."""
-    head = df.orderBy(*order).limit(stop_after)
-    numbered = head.withColumn("_at", F.row_number().over(Window.orderBy(*order)))
-    return numbered.filter((F.col("_at") - 1) % n == 0).drop("_at")
+def every_nth(df: DataFrame, order: list[str], n: int = 12, stop_after: int | None = None) -> DataFrame:
+    """Every ``n``-th row, the first one included; of the first ``stop_after`` rows if that is given."""
+    if stop_after is not None:
+        numbered = df.orderBy(*order).limit(stop_after).withColumn("_at", F.row_number().over(Window.orderBy(*order)))
+        return numbered.filter((F.col("_at") - 1) % n == 0).drop("_at")
+    keys = [_sortable(df, c) for c in order]
+    return row_index(df, *keys, out="_at").filter(F.col("_at") % n == 0).drop("_at")
 
 
-def top_pairs(pairs: DataFrame, score: str, k: int = 50_001) -> DataFrame:
-    """The ``k`` best pairs, ties in id order."""
-    return pairs.orderBy(F.desc(score), "id_left", "id_right").limit(k)
+def _sortable(df: DataFrame, col: str) -> Column:
+    """A text that sorts like ``col``, for whole numbers and texts."""
+    kind = dict(df.dtypes)[col]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return sortable_long(col)
+    if kind != "string":
+        raise ValueError(f"cannot number rows in the order of {col!r} ({kind})")
+    return F.col(col)
+
+
+def top_pairs(pairs: DataFrame, score: str, k: int | None = None) -> DataFrame:
+    """Pairs from the best score down, ties in id order; the ``k`` best if that is given."""
+    ordered = pairs.orderBy(F.desc(score), "id_left", "id_right")
+    return ordered if k is None else ordered.limit(k)

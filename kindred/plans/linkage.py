@@ -221,7 +221,7 @@ def block_cluster_label(spark, sf):
 @query("block_kmeans")
 def block_kmeans(spark, sf):
     rows = cluster_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", k=50)
-    return top_pairs(similar_vectors(rows, "cluster", "embedding", "vec_id", 0.2, keep_best=50_001), "cosine")
+    return similar_vectors(rows, "cluster", "embedding", "vec_id", 0.8)
 
 
 # centres one after another in id order, each taking its neighbours
@@ -565,7 +565,7 @@ def gt_candidates(spark, sf):
     pairs = b.adjacent_rows(view(spark, sf, "entities"), "company_name", cols=cols)
     ratio = s.sequence_ratio("company_name_left", "company_name_right")
     near = pairs.filter("_source_table_left <> _source_table_right").withColumn("ratio", ratio)
-    return every_nth(near.filter("ratio > 0.6 AND ratio < 0.7"), ["rank"])
+    return every_nth(near.filter("ratio > 0.6 AND ratio < 0.7"), ["rank"], stop_after=2500)
 
 
 @query(
@@ -581,6 +581,6 @@ def sample_every_nth(spark, sf):
     pairs = b.adjacent_rows(view(spark, sf, "entities"), "company_name", cols=["rec_id", "company_name", "_source_table"])
     likeness = s.levenshtein_similarity(F.col("company_name_left"), F.col("company_name_right"))
     near = pairs.filter("_source_table_left <> _source_table_right").filter(likeness > 0.6)
-    return every_nth(near, ["rank"]).select(
+    return every_nth(near, ["rank"], stop_after=2500).select(
         F.col("rec_id_left").alias("id_left"), F.col("rec_id_right").alias("id_right"), "rank"
     )

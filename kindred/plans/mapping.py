@@ -196,7 +196,7 @@ def _counted(name, columns):
 )
 def mapping_coverage(spark, sf):
     spec = m.parse_spec(
-        {"company_name": ["market. Name ", "vendors.name"], "site": ["market.web"], "contact": ["market.web"], "phone": ["vendors.phone"]}
+        {"company_name": ["market.Name", "vendors.name"], "site": ["market.web"], "contact": ["market.web"], "phone": ["vendors.phone"]}
     )
     tables = {n: view(spark, sf, n) for n in ("market", "vendors")}
     return m.coverage(catalog(tables), m.spec_rows(spark, spec))
@@ -209,7 +209,7 @@ def mapping_coverage(spark, sf):
 )
 def map_write_per_source(spark, sf):
     """The mediated table, written in one folder per source and read back."""
-    spec = m.parse_spec({"name": ["market. Name ", "vendors.name"], "area": ["market.Area of Activity"]})
+    spec = m.parse_spec({"name": ["market.Name", "vendors.name"], "area": ["market.Area of Activity"]})
     path = workspace(spark, "mediated")
     m.write_mediated(m.populate(spark, {n: view(spark, sf, n) for n in ("market", "vendors")}, spec), path)
     return spark.read.parquet(path).select("_source_table", "name", "area")

@@ -133,3 +133,13 @@ def test_modulo_and_every_nth(spark):
     assert [r.split for r in sm.split_modulo(df, "k").collect()] == ["test", "valid", "train", "train"]
     many = spark.range(100)
     assert [r.id for r in sm.every_nth(many, ["id"], 12, 30).orderBy("id").collect()] == [0, 12, 24]
+    n = many.count()
+    assert [r.id for r in sm.every_nth(many, ["id"], 12).orderBy("id").collect()] == [r.id for r in many.orderBy("id").collect()][::12] and n > 30
+
+
+def test_sweep_is_bounded(spark):
+    """Scores outside the steps fall into one; NaN and null reach no threshold."""
+    rows = [(-5.0, 1), (-0.2, 0), (float("nan"), 1), (None, 1), (7.5, 1), (0.5, 0)]
+    sweep = ev.threshold_sweep(spark.createDataFrame(rows, "score double, label int"), "score").collect()
+    got = {r.threshold: (r.tp, r.fp, r.fn) for r in sweep}
+    assert len(got) == 101 and got[0.0] == (1, 1, 3) and got[1.0] == (1, 0, 3)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from kindred.functions.cleaning import first_letter
 from kindred.operators import blocking as b
 from kindred.operators import matching as mt
+from kindred.operators import tfidf
+from kindred.operators.components import connected_components
 from kindred.operators.tfidf import canopies, similar_texts, weights
 from tests.test_functions import plain_jaro_winkler as jw
 
@@ -104,8 +106,26 @@ def test_tfidf_pairs_equal_brute_force(frame, records):
     assert all(r.s == pytest.approx(1.0) for r in one.collect())
 
 
+@pytest.mark.parametrize("local", [100_000, 5])
+def test_canopies_of_a_chain(spark, monkeypatch, local):
+    """Every other row of a chain is a centre, however long the chain is."""
+    n = 1000 if local > 5 else 24
+    edges = spark.createDataFrame([(k, k + 1, 0.9) for k in range(n)], "id_left long, id_right long, cosine double")
+    monkeypatch.setattr(tfidf, "similar_texts", lambda *a, **k: edges)
+    got = canopies(spark.range(n + 1).selectExpr("id as rec_id", "'x' as name"), "name", local_edges=local).collect()
+    assert {r.canopy for r in got} == set(range(0, n + 1, 2)) and len(got) == n // 2 + 1 + n
+
+
+def test_components(spark):
+    chain = [(k, k + 1) for k in range(300)] + [(1000 + k, 2000) for k in range(50)] + [(7000, 7000)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert {got[k] for k in range(301)} == {0} and got[2000] == 1000 and len(got) == 301 + 51
+    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("local", [100_000, 4])
 @pytest.mark.parametrize("loose,tight", [(0.5, 0.3), (0.3, 0.7)])
-def test_canopies_equal_one_by_one(spark, loose, tight):
+def test_canopies_equal_one_by_one(spark, loose, tight, local):
     import random
 
     rng = random.Random(2)
@@ -130,7 +150,7 @@ def test_canopies_equal_one_by_one(spark, loose, tight):
                 want.add((i, j))
                 if value >= tight:
                     assigned.add(j)
-    got = canopies(df, "name", loose=loose, tight=tight).collect()
+    got = canopies(df, "name", loose=loose, tight=tight, local_edges=local).collect()
     assert {(r.canopy, r.rec_id) for r in got} == want and len(got) == len(want)
 
 
