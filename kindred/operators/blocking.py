@@ -106,10 +106,14 @@ def block_members(df: DataFrame, indexers: list[Indexer]) -> DataFrame:
 
 
 def exact_blocks(df: DataFrame, cols: list[str], row_id: str = "rec_id") -> DataFrame:
-    """Members of exact-key blocks with the size of their block; rows with a null key left out."""
+    """Members of exact-key blocks with the size of their block; rows with a null key left out.
+
+    The sizes are a written table: so neither side of the join comes partitioned by an aggregation,
+    and adaptive execution can split a hot block.
+    """
     keyed = df.select(row_id, *cols).dropna(subset=cols)
-    sizes = keyed.groupBy(*cols).agg(F.count(F.lit(1)).alias("block_size"))
-    return keyed.join(sizes, cols).filter("block_size > 1").select(row_id, *cols, "block_size")
+    sizes = keyed.groupBy(*cols).agg(F.count(F.lit(1)).alias("block_size")).filter("block_size > 1")
+    return keyed.join(cut_lineage(sizes), cols).select(row_id, *cols, "block_size")
 
 
 def block_sizes(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.functions.strings import Encoded, distinct_pairs
+from kindred.session import cut_lineage
 
 TILE_ROWS = 2048
 _STEP_PAIRS = 1_000_000
@@ -53,6 +54,7 @@ def tile(df: DataFrame, block: str, row_id: str, tile_rows: int = TILE_ROWS) ->
         .filter(F.col("_n") > tile_rows)
         .select("_large", F.ceil(F.col("_n") / _rows_per_tile(F.col("_n"), tile_rows)).cast("int").alias("_tiles"))
     )
+    large = small_side(cut_lineage(large))  # the rows of a hot block are not brought together to learn its size
     spread = present.join(large, F.col(block) == F.col("_large"), "left").drop("_large")
     tiles = F.coalesce(F.col("_tiles"), F.lit(1))
     own = F.pmod(F.xxhash64(row_id), tiles).cast("int")
@@ -66,6 +68,11 @@ def tile(df: DataFrame, block: str, row_id: str, tile_rows: int = TILE_ROWS) ->
     )
 
 
+def small_side(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to have at most ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _rows_per_tile(n: Column, tile_rows: int) -> Column:
     """Tiles grow with the square root of the block, up to eight times: every row is sent once
     per tile of its block, so larger tiles keep the shuffle of a very large block down."""

@@ -136,11 +136,11 @@ def pair_features(
     special = F.create_map(*[F.lit(x) for kv in SPECIAL_TOKENS.items() for x in kv])
     # outer: there always is a token, and the plain form would add a filter that computes them again
     spread = placed.select(row_id, F.posexplode_outer("_tokens").alias("_at", "token"))
-    found = spread.join(vocab, "token", "left").select(
-        row_id,
-        "_at",
-        F.coalesce(special[F.col("token")], F.col("token_id"), F.lit(SPECIAL_TOKENS["[UNK]"])).alias("_id"),
-    )
+    # the special tokens of every pair have constant ids: they stay out of the join
+    constant = special[F.col("token")]
+    fixed = spread.filter(constant.isNotNull()).select(row_id, "_at", constant.alias("_id"))
+    words = spread.filter(constant.isNull()).join(vocab, "token", "left")
+    found = fixed.unionByName(words.select(row_id, "_at", F.coalesce("token_id", F.lit(SPECIAL_TOKENS["[UNK]"])).alias("_id")))
     ids = found.groupBy(row_id).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_at", "_id"))), lambda x: x["_id"]).alias("_ids")
     )
