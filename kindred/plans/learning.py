@@ -10,6 +10,7 @@ from kindred.operators import text as t
 from kindred.operators.blocking import adjacent_rows
 from kindred.operators.evaluation import best_threshold, class_report, threshold_sweep
 from kindred.operators.joins import with_pair_key
+from kindred.operators.matching import hydrate
 from kindred.plans.registry import query, table, view
 from kindred.session import cut_lineage
 
@@ -75,6 +76,45 @@ def _truth(spark, sf):
     return with_pair_key(pairs, "company_name_left", "company_name_right").select("pair_lo", "pair_hi")
 
 
+_DIGEST = "CAST('0x' || substr(md5('42:' || CAST(k AS VARCHAR)), 1, 15) AS BIGINT)"
+
+
+@query(
+    "training_pairs",
+    f"""WITH e AS (SELECT rec_id, lower(trim(company_name)) AS name, _source_table AS src FROM {{entities}} WHERE company_name IS NOT NULL),
+    nm AS (SELECT name, substr(name, 1, 1) AS block, min(rec_id) AS rec_id FROM e WHERE name <> '' GROUP BY 1, 2),
+    num AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY rec_id) - 1 AS i FROM nm),
+    siz AS (SELECT block, count(*) * (count(*) - 1) // 2 AS p FROM num GROUP BY 1),
+    off AS (SELECT block, p, sum(p) OVER (ORDER BY block) - p AS s, sum(p) OVER () AS total FROM siz),
+    adj AS (SELECT name AS a, src AS sa, lead(name) OVER o AS b, lead(src) OVER o AS sb FROM e WINDOW o AS (ORDER BY name, rec_id)),
+    tru AS (SELECT DISTINCT least(a, b) AS lo, greatest(a, b) AS hi FROM adj WHERE sa <> sb AND a <> b),
+    pos AS (SELECT least(x.rec_id, y.rec_id) AS id_left, greatest(x.rec_id, y.rec_id) AS id_right
+            FROM tru JOIN num x ON x.name = lo JOIN num y ON y.name = hi WHERE x.block = y.block),
+    par AS (SELECT 5 * (SELECT count(*) FROM pos) AS wanted, CAST((SELECT max(total) FROM off) AS BIGINT) AS total),
+    drw AS (SELECT {_DIGEST} % total AS x, k AS turn FROM par, unnest(range(2 * wanted + 1000)) AS r(k) WHERE 4 * wanted + 2000 < total
+            UNION ALL SELECT k, {_DIGEST} FROM par, unnest(range(total)) AS r(k) WHERE 4 * wanted + 2000 >= total),
+    pck AS (SELECT x, min(turn) AS turn FROM drw GROUP BY 1),
+    pla AS (SELECT turn, block, x - s AS y, CAST(floor((1 + sqrt(1 + 8 * CAST(x - s AS DOUBLE))) / 2) AS BIGINT) AS j
+            FROM pck JOIN off ON x >= s AND x < s + p),
+    fnd AS (SELECT least(a.rec_id, d.rec_id) AS id_left, greatest(a.rec_id, d.rec_id) AS id_right, turn FROM pla
+            JOIN num a ON a.block = pla.block AND a.i = y - j * (j - 1) // 2 JOIN num d ON d.block = pla.block AND d.i = j),
+    neg AS (SELECT f.* FROM fnd f ANTI JOIN pos USING (id_left, id_right)),
+    fst AS (SELECT id_left, id_right, 0 AS label FROM (SELECT *, row_number() OVER (ORDER BY turn, id_left, id_right) AS r FROM neg), par WHERE r <= wanted),
+    bth AS (SELECT id_left, id_right, 1 AS label FROM pos UNION ALL SELECT * FROM fst)
+    SELECT id_left, id_right, CAST(label AS INT) AS label, x.name AS name_left, y.name AS name_right,
+      round(jaro_winkler_similarity(x.name, y.name), 6) AS jarowinkler
+    FROM bth JOIN nm x ON x.rec_id = id_left JOIN nm y ON y.rec_id = id_right""",
+)
+def training_pairs(spark, sf):
+    """Cleaned names, pairs in the truth (of any label) and five times as many drawn ones."""
+    rows = cut_lineage(view(spark, sf, "entities").select("rec_id", F.lower(F.trim("company_name")).alias("name"), "_source_table"))
+    near = adjacent_rows(rows, "name", cols=["name", "_source_table"]).filter("_source_table_left <> _source_table_right")
+    truth = cut_lineage(with_pair_key(near, "name_left", "name_right").select("pair_lo", "pair_hi"))
+    both, names = ln.labelled_pairs(rows, truth, "name")
+    out = hydrate(both, names, ["name"]).select("id_left", "id_right", "label", "name_left", "name_right")
+    return out.withColumn("jarowinkler", F.round(s.jaro_winkler("name_left", "name_right"), 6))
+
+
 def _model(spark, sf):
     truth = cut_lineage(_truth(spark, sf))
     rows = view(spark, sf, "entities")
