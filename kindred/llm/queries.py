@@ -87,7 +87,24 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("op1_jaccard_metric_join")
+@query(
+    "op1_jaccard_metric_join",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), s AS (
+      SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM w
+    ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+    b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+    r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, b.y FROM r JOIN b ON b.x = r.reach)
+    SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(reach) AS component_id
+    FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY 1
+    """,
+)
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf, "documents"))
 
