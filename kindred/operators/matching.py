@@ -208,11 +208,28 @@ def not_identical(left: Column, right: Column) -> Column:
     return ~F.coalesce(left == right, F.lit(False))
 
 
-def export_blocked_pairs(matches: DataFrame, name: str) -> DataFrame:
-    """Pairs as unlabelled sentence pairs for a later scorer."""
-    return matches.select(
-        F.col("id_left").alias("id"),
-        F.col(f"{name}_left").alias("sentence1"),
-        F.col(f"{name}_right").alias("sentence2"),
-        F.lit("?").alias("label"),
-    )
+def matches_within(shapes: DataFrame, cols: list[str], indexers: list[Indexer], rule: Rule, row_id: str = "rec_id") -> DataFrame:
+    """Profiles whose copies the rule accepts as matches of each other, in the form of profile pairs."""
+    blocked = block_members(shapes, indexers).select(row_id).distinct()
+    both = shapes.filter("n_records > 1").join(blocked, row_id, "left_semi")
+    sides = [F.col(c).alias(f"{c}_{side}") for c in [*cols, "n_records"] for side in ("left", "right")]
+    return decide(both.select(F.col(row_id).alias("id_left"), F.col(row_id).alias("id_right"), *sides), rule, {})
+
+
+def export_blocked_pairs(
+    df: DataFrame, cols: list[str], indexers: list[Indexer], rule: Rule, name: str, row_id: str = "rec_id"
+) -> DataFrame:
+    """Matches as unlabelled sentence pairs for a later scorer, identical names among them.
+
+    One row per pair of profiles, named by the smaller one's id, with the number of record pairs it
+    stands for; the copies of one profile are a pair of the profile with itself.
+    """
+    matches, shapes = match_profiles(df, cols, indexers, rule, None, row_id)
+    n, m = (F.col(f"n_records_{side}").cast("decimal(19,0)") for side in ("left", "right"))
+
+    def pairs(found: DataFrame, count: Column) -> DataFrame:
+        texts = [F.col(f"{name}_left").alias("sentence1"), F.col(f"{name}_right").alias("sentence2")]
+        return found.select(F.col("id_left").alias("id"), *texts, F.lit("?").alias("label"), count.cast("decimal(38,0)").alias("n_pairs"))
+
+    within = matches_within(shapes, cols, indexers, rule, row_id)
+    return pairs(matches, n * m).unionByName(pairs(within, n * (n - 1) / 2))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from kindred.functions.cleaning import as_column
 from kindred.session import cut_lineage
 
-MAX_RANGES = 1024
 SAMPLE_PER_RANGE = 24
+POINT_CHARS = 256
 MAX_CLASSES = 10_000
 _GROUP = 32
 _CUT = "\x01"
@@ -34,19 +34,25 @@ def sortable_long(c: Column | str) -> Column:
 
 
 def ranges_for(df: DataFrame) -> int:
-    return max(1, min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """As many ranges as a shuffle has partitions: the setting that follows the size of the data."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def split_points(df: DataFrame, key: str, ranges: int) -> list[str]:
-    """Split points of ``key`` from the rows with the smallest hashes (a fixed, bounded sample)."""
+    """Split points of ``key``: beginnings of the keys of the rows with the smallest hashes.
+
+    The sample is bounded in rows and in bytes. Where a key holds the character that separates points
+    in the plan, the part before it is the point.
+    """
     sample = (
         df.select(key)
         .filter(F.col(key).isNotNull())
         .orderBy(F.xxhash64(key), key)
         .limit(ranges * SAMPLE_PER_RANGE)
+        .select(F.substring(key, 1, POINT_CHARS))
     )
-    keys = sorted({row[0] for row in sample.collect() if _CUT not in row[0]}, key=lambda k: k.encode())
-    if len(keys) < 2:
+    keys = sorted({row[0].split(_CUT)[0] for row in sample.collect()}, key=lambda k: k.encode())
+    if not keys:
         return []
     step = len(keys) / ranges
     return sorted({keys[int(k * step)] for k in range(1, ranges)}, key=lambda k: k.encode())
@@ -74,7 +80,7 @@ def global_row_number(df: DataFrame, key: str, out: str = "rank") -> DataFrame:
     """Add the 1-based position of every row in the order of ``key`` (a unique text column)."""
     points = split_points(df, key, ranges_for(df))
     ranged = df.withColumn("_range", range_of(F.col(key), points))
-    # at most MAX_RANGES rows, so the running total and the broadcast are bounded
+    # one row per range, so the running total and the broadcast are bounded
     sizes = df.select(range_of(F.col(key), points).alias("_range")).groupBy("_range").count()
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
@@ -106,22 +112,17 @@ def rank_within(df: DataFrame, group: str, order: Column, out: str = "rank", siz
     """
     name = F.coalesce(F.col(group).cast("string"), F.lit(""))
     numbered = global_row_number(df.withColumn("_key", order_key(name, order)), "_key", "_position").drop("_key")
-    before = Window.orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
-    classes = (
-        df.groupBy(name.alias("_class"))
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select("_class", "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    )
-    joined = numbered.withColumn("_class", name).join(_small(classes), "_class")
+    sizes = cut_lineage(df.groupBy(name.alias("_class")).agg(F.count(F.lit(1)).alias("_size")))
+    if sizes.limit(MAX_CLASSES + 1).count() <= MAX_CLASSES:
+        before = Window.orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
+        classes = F.broadcast(sizes.select("_class", "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")))
+    else:  # a class begins where its smallest position is
+        numbered = cut_lineage(numbered)
+        first = numbered.groupBy(name.alias("_class")).agg((F.min("_position") - 1).alias("_start"))
+        classes = cut_lineage(first.join(sizes, "_class"))
+    joined = numbered.withColumn("_class", name).join(classes, "_class")
     ranked = joined.withColumn(out, F.col("_position") - F.col("_start"))
     if size:
         ranked = ranked.withColumn(size, F.col("_size"))
     return ranked.drop("_class", "_size", "_start", "_position")
 
-
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` as a broadcast side when it has at most ``MAX_CLASSES`` rows, else as it is."""
-    rows = df.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -17,6 +17,8 @@ from kindred.operators.ranking import row_index, sortable_long
 from kindred.operators.sampling import every_nth, top_pairs
 from kindred.operators.tfidf import canopies, similar_texts
 from kindred.plans.registry import query, table, view
+from kindred.session import workspace
+from kindred.sources.writers import write_pairs
 
 # ---------------------------------------------------------------- joins
 
@@ -520,19 +522,29 @@ def match_per_strategy(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+_EXPORTED = ", ".join(f"a.{c} AS {c}_left, c.{c} AS {c}_right" for c in _COLS)
+
+
 @query(
     "export_blocked_pairs",
-    "SELECT id_left AS id, company_name_left AS sentence1, company_name_right AS sentence2, '?' AS label FROM ("
-    + _pairs_sql(
-        _COLS,
-        "a.industry = c.industry OR a.city = c.city OR abs(a.r - c.r) <= 2",
-        "(name_sim > 0.8 AND name_sim < 0.92) OR (name_sim > 0.9 AND industry_exact = 1 AND city_exact = 1)",
-        _sims_sql({"name_sim": "company_name"}) + ", " + _EXACT,
-    )
-    + ")",
+    f"""WITH e AS (SELECT *, dense_rank() OVER (ORDER BY company_name) AS r,
+          min(rec_id) OVER (PARTITION BY company_name, industry, city) AS pid FROM {{entities}}),
+    p AS (SELECT least(a.pid, c.pid) AS id, greatest(a.pid, c.pid) AS other, {_EXPORTED} FROM e a JOIN e c
+          ON a.rec_id < c.rec_id AND (a.industry = c.industry OR a.city = c.city OR abs(a.r - c.r) <= 2)),
+    m AS (SELECT *, {_sims_sql({"name_sim": "company_name"})}, {_EXACT} FROM p),
+    g AS (SELECT id, other, count(*) AS n_pairs FROM m
+          WHERE (name_sim > 0.8 AND name_sim < 0.92) OR (name_sim > 0.9 AND industry_exact = 1 AND city_exact = 1) GROUP BY 1, 2)
+    SELECT g.id, x.company_name AS sentence1, y.company_name AS sentence2, '?' AS label, n_pairs
+    FROM g JOIN e x ON x.rec_id = g.id JOIN e y ON y.rec_id = g.other""",
 )
 def export_blocked_pairs(spark, sf):
-    return mt.export_blocked_pairs(rule_band_or_exact(spark, sf), "company_name")
+    """The sentence pairs for a scorer, written as tab-separated text and read back."""
+    rule = mt.band_or_exact("company_name", "industry", "city")
+    found = mt.export_blocked_pairs(view(spark, sf, "entities"), _COLS, _THREE, rule, "company_name")
+    path = workspace(spark, "blocked") + ".tsv"
+    write_pairs(found, path)
+    schema = "id long, sentence1 string, sentence2 string, label string, n_pairs long"
+    return spark.read.schema(schema).option("header", "true").option("sep", "\t").option("quote", "").csv(path)
 
 
 @query(

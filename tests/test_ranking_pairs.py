@@ -166,3 +166,27 @@ def test_cosine_pairs(spark, keep_best):
     if keep_best:
         got, want = got[:keep_best], want[:keep_best]
     assert got == [w[1:] for w in want]
+
+
+def test_rank_within_many_classes(spark, monkeypatch):
+    """More classes than may be broadcast: no window over all classes, same ranks."""
+    from kindred.operators import ranking
+
+    df = spark.range(400).selectExpr("id", "cast(id % 37 as string) as g", "lpad(cast(997 * id % 401 as string), 4, '0') as o")
+    want = sorted(map(tuple, ranking.rank_within(df, "g", F.col("o"), "rank", size="n").collect()))
+    monkeypatch.setattr(ranking, "MAX_CLASSES", 5)
+    assert sorted(map(tuple, ranking.rank_within(df, "g", F.col("o"), "rank", size="n").collect())) == want
+    by_class = {}
+    for i, g, o, rank, n in want:
+        by_class.setdefault(g, []).append((o, rank, n))
+    assert all([r for _, r, _ in sorted(v)] == list(range(1, len(v) + 1)) and v[0][2] == len(v) for v in by_class.values())
+
+
+def test_split_points_are_bounded(spark):
+    from kindred.operators import ranking
+
+    df = spark.range(60).selectExpr("concat(repeat('x', 200), lpad(cast(id as string), 3, '0'), chr(1), repeat('y', 5000)) as k")
+    points = ranking.split_points(df, "k", 4)
+    assert len(points) == 3 and all(len(p) <= ranking.POINT_CHARS for p in points)
+    got = ranking.global_row_number(df, "k").orderBy("k").collect()
+    assert [r["rank"] for r in got] == list(range(1, 61))
