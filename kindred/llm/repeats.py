@@ -18,8 +18,10 @@ files, one after another, and only the groups of a few thousand stretches are in
 
 Anchors that occur once cannot have a repeated window. Anchors are counted first, over all texts, and
 a bit map of fixed size tells the second reading which stretches to send; it may send too many, never
-too few. A group of more than ``HOT`` stretches (wording that very many texts share) is taken apart
-into its windows, which are counted by their 128-bit digests with combination on the map side.
+too few. Of equal stretches in one tile of a megabyte (text that repeats itself every few bytes) one is
+sent, marked as repeated, and the others are settled where they are, as one run if they adjoin. A group
+of more than ``HOT`` stretches (wording that very many texts share) is taken apart into its windows,
+which are counted by their 128-bit digests with combination on the map side.
 
 Defined results: null is the empty text; texts shorter than ``width`` are kept whole; repeated rows
 repeat each other, so all their windows go; rows of one id with different texts are told apart; an empty table
@@ -41,7 +43,7 @@ from kindred.session import cut_lineage
 
 WIDTH, GRAM = 200, 32
 TILE_BYTES = 1 << 20
-CHUNK, HOT = 16_384, 4096
+CHUNK, HOT = 16_384, 16_384
 MAP_BITS = 26
 _U = np.uint64
 _POSITION_BITS = _U(24)
@@ -135,10 +137,12 @@ def _repeated_anchors(texts: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-STRETCH = "anchor long, doc_id long, hash long, start long, lead int, body binary"
+STRETCH = "anchor long, doc_id long, hash long, start long, lead int, body binary, twice boolean, n long"
+NAMES = [c.split()[0] for c in STRETCH.split(", ")]
 
 
 def _candidates(texts: DataFrame, bits: np.ndarray, width: int) -> DataFrame:
+    """Stretches to compare (``body``), and runs of ``n`` window starts known to be repeated (no body)."""
     known = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,17 +158,40 @@ def _candidates(texts: DataFrame, bits: np.ndarray, width: int) -> DataFrame:
                 hit = np.flatnonzero((seen[slot >> 6] >> (slot & 63)) & 1)
                 if not len(hit):
                     continue
-                text = np.array([p[0] for p in parts])[owner[hit]]
-                begin = np.array([p[1] for p in parts])[owner[hit]]
-                place = np.array([p[3] for p in parts])[owner[hit]]
+                part = np.array(parts)[owner[hit]]
+                text, start = part[:, 0], first[hit] - part[:, 1] + part[:, 3]
+                lead, size = (anchor - first)[hit], (last - first)[hit] + 1
                 whole = raw.tobytes()
                 bodies = [whole[a:b] for a, b in zip(first[hit].tolist(), (last[hit] + width).tolist(), strict=True)]
+                same: dict[tuple[int, bytes], list[int]] = {}
+                for k, key in enumerate(zip(lead.tolist(), bodies, strict=True)):
+                    same.setdefault(key, []).append(k)
+                send = np.array([k[0] for k in same.values()])
+                twice = np.array([len(k) > 1 for k in same.values()])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(names[hit].view(np.int64)), ids.take(pa.array(text)), pa.array(hashes[text]),
-                        pa.array(first[hit] - begin + place), pa.array((anchor - first)[hit].astype(np.int32)), pa.array(bodies, pa.binary()),
+                        pa.array(names[hit][send].view(np.int64)), ids.take(pa.array(text[send])), pa.array(hashes[text[send]]),
+                        pa.array(start[send]), pa.array(lead[send].astype(np.int32)), pa.array([bodies[k] for k in send], pa.binary()),
+                        pa.array(twice), pa.array(size[send]),
                     ],
-                    ["anchor", "doc_id", "hash", "start", "lead", "body"],
+                    NAMES,
+                )
+                again = np.sort(np.array([k for own in same.values() if len(own) > 1 for k in own], dtype=np.int64))
+                if not len(again):
+                    continue
+                opens = np.ones(len(again), dtype=bool)
+                opens[1:] = (text[again][1:] != text[again][:-1]) | (start[again][1:] != (start + size)[again][:-1])
+                begin = np.flatnonzero(opens)
+                n, at = np.add.reduceat(size[again], begin), again[begin]
+                spread = mix(hashes[text[at]].view(np.uint64) + start[at].astype(np.uint64))  # any task may pass them on
+                none = pa.nulls
+                m = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(spread.view(np.int64)), ids.take(pa.array(text[at])), pa.array(hashes[text[at]]), pa.array(start[at]),
+                        none(m, pa.int32()), none(m, pa.binary()), none(m, pa.bool_()), pa.array(n),
+                    ],
+                    NAMES,
                 )
 
     return texts.select("doc_id", "hash", "text").mapInArrow(run, STRETCH)
@@ -217,7 +244,7 @@ def _compare(width: int):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "hash", "start", "n", "h1", "h2"])
 
     def windows(row: tuple) -> list[tuple]:
-        doc, text, start, _, body = row
+        doc, text, start, _, body, *_ = row
         out = []
         for k in range(len(body) - width + 1):
             digest = np.frombuffer(hashlib.md5(body[k : k + width]).digest(), np.int64)
@@ -231,12 +258,13 @@ def _compare(width: int):
             for row in rows:
                 same.setdefault((row[3], row[4]), []).append(row)
             for (lead, body), held in same.items():
-                if len(held) > 1:
-                    out += [(r[0], r[1], r[2], len(body) - width + 1, None, None) for r in held]
+                one = len(held) == 1 and not held[0][5]
+                if not one:  # those marked are settled already
+                    out += [(r[0], r[1], r[2], r[6], None, None) for r in held if not r[5]]
                 groups.append(number)
                 leads.append(lead)
                 bodies.append(body)
-                owners.append(held[0] if len(held) == 1 else None)
+                owners.append(held[0] if one else None)
         if len(bodies) > len(pending):
             flags = repeated_windows(np.array(groups), np.array(leads), bodies, width)
             edges = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
@@ -244,7 +272,7 @@ def _compare(width: int):
             _, end = np.nonzero(edges == -1)
             for k, a, b in zip(rows_.tolist(), begin.tolist(), end.tolist(), strict=True):
                 if owners[k] is not None:
-                    doc, text, start, lead, _ = owners[k]
+                    doc, text, start, lead, *_ = owners[k]
                     out.append((doc, text, start + a - (span - 1 - lead), b - a, None, None))
         return out
 
@@ -253,23 +281,32 @@ def _compare(width: int):
         pending: list[list[tuple]] = []
         held = 0
         for batch in batches:
+            out = []
             for anchor, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[4] is None:
+                    out.append((row[0], row[1], row[2], row[6], None, None))
+                    continue
                 if anchor != name:
                     if len(rows) > 1:
                         pending.append(rows)
                         held += len(rows)
                         if held >= CHUNK:
-                            yield batch_of(runs(pending))
+                            out += runs(pending)
                             pending, held = [], 0
                     name, rows, hot = anchor, [], False
                 if hot:
-                    yield batch_of(windows(tuple(row)))
-                    continue
-                rows.append(tuple(row))
-                if len(rows) > HOT:
-                    for lo in range(0, len(rows), 256):
-                        yield batch_of([w for r in rows[lo : lo + 256] for w in windows(r)])
-                    rows, hot = [], True
+                    out += windows(tuple(row))
+                else:
+                    rows.append(tuple(row))
+                    if len(rows) > HOT:
+                        for lo in range(0, len(rows), 256):
+                            yield batch_of([w for r in rows[lo : lo + 256] for w in windows(r)])
+                        rows, hot = [], True
+                if len(out) > 50_000:
+                    yield batch_of(out)
+                    out = []
+            if out:
+                yield batch_of(out)
         if len(rows) > 1:
             pending.append(rows)
         if pending:
@@ -315,7 +352,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
     stretches = _candidates(texts, _repeated_anchors(texts, width), width)
     sorted_ = stretches.repartition(F.col("anchor")).sortWithinPartitions("anchor")
-    ordered = sorted_.select("anchor", "doc_id", "hash", "start", "lead", "body")
+    ordered = sorted_.select(*NAMES)
     found = cut_lineage(ordered.mapInArrow(_compare(width), FOUND))
     windows = found.where("h1 is not null")
     shared = cut_lineage(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2"))
