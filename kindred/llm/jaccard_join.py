@@ -43,14 +43,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.components import connected_components
+from kindred.operators.components import connected_components
 from kindred.llm.text import mix, shingle_sets
 from kindred.session import cut_lineage
 
 PERCENT = 80  # intersection against union
 CELL_BITS, SLICES = 20, 16
 SKETCH_BITS = 1024
-PIVOTS = 8
+PIVOTS = 4
+FOLDED_WORDS = 8
 SMALL_REGION = 64
 MAP_BITS = 26
 _U = np.uint64
@@ -300,67 +301,113 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+RADIUS = 1 - PERCENT / 100
+_SLACK = 1e-9  # distances are doubles
+
+
 def _links(docs: DataFrame, points: DataFrame, members: DataFrame) -> DataFrame:
     """Links (a, b) that connect what all links connect."""
+    folded = F.transform(
+        F.sequence(F.lit(0), F.lit(FOLDED_WORDS - 1)),
+        lambda i: F.get("sketch", i).bitwiseXOR(F.get("sketch", i + FOLDED_WORDS)),
+    )
+    sketches = points.select(F.col("doc_id").alias("doc"), folded.alias("sketch"))
     links = members.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
-    regions = members
+    # d: distance to the pivot of the cell; flat: cutting does not separate the region
+    regions = members.withColumn("d", F.lit(None).cast("double")).withColumn("flat", F.lit(False))
     turn = 0
     while True:
-        # pivots: the points first by eight hashes; the same points in regions that share them
-        first = [F.min(F.struct(F.xxhash64("doc", F.lit(101 * turn + j)).alias("h"), "doc", "n")).alias(f"p{j}") for j in range(PIVOTS if turn else 1)]
-        chosen = regions.groupBy("region").agg(F.count(F.lit(1)).alias("size"), *first)
-        pivots = cut_lineage(
-            chosen.select("region", "size", F.explode(F.array_distinct(F.array(*[F.col(f"p{j}.doc") for j in range(len(first))]))).alias("pivot"))
-        )
-        spokes = cut_lineage(regions.join(pivots, "region").select("region", "size", "doc", "pivot", "n"))
-        asked = spokes.where("doc <> pivot").select(*_ordered("doc", "pivot")).distinct()
+        # pivots: the points first by some hashes; the same points in regions that share them
+        first = [F.min(F.struct(F.xxhash64("doc", F.lit(101 * turn + j)).alias("h"), "doc"))["doc"].alias(f"p{j}") for j in range(PIVOTS if turn else 1)]
+        pivots = cut_lineage(regions.groupBy("region").agg(*first).select("region", F.array_distinct(F.array(*[f"p{j}" for j in range(len(first))])).alias("pivots")))
+        spokes = regions.join(pivots, "region").select("region", "doc", F.explode("pivots").alias("pivot"))
+        spokes = cut_lineage(spokes.select("region", "doc", "pivot", *_ordered("doc", "pivot")))
+        asked = spokes.where("a <> b").select("a", "b").distinct()
         if turn == 0:  # links are all that is wanted of the first round, so what cannot link is not measured
             asked = _sketch_filter(asked, points)
         measured = _measure(cut_lineage(asked), docs, points)
-        links = links.unionByName(measured.where(LINKED).select("a", "b"))
+        links = cut_lineage(links.unionByName(measured.where(LINKED).select("a", "b")))
         labels = cut_lineage(connected_components(links))
         named = regions.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        open_regions = cut_lineage(
-            named.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region", "size")
-        )
-        if open_regions.isEmpty():
+        named = cut_lineage(named)
+        left = named.groupBy("region", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("region")
+        left = left.agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("c", "component"))["component"].alias("main"))
+        unfinished = cut_lineage(left.where("kinds > 1").select("region", "size", "main"))
+        if unfinished.isEmpty():
             return links
-        regions = cut_lineage(named.join(open_regions, "region").select("region", "doc", "n", "pos", "prev", "component", "size", *(["flat", "d"] if turn else [])))
+        regions = cut_lineage(named.join(unfinished, "region"))
         if turn:
-            # cells: nearest pivot, and pivots at most twice the radius farther
-            far = F.when(F.col("doc") == F.col("pivot"), 0.0).otherwise(1 - F.col("shared") / F.col("united"))
-            m = measured.select("a", "b", "shared", "united")
-            known = spokes.join(m, (F.least("doc", "pivot") == F.col("a")) & (F.greatest("doc", "pivot") == F.col("b")), "left").select("region", "doc", "pivot", far.alias("dist"))
-            nearest = known.groupBy("region", "doc").agg(F.min("dist").alias("least"))
-            cells = known.join(nearest, ["region", "doc"]).where(F.col("dist") <= F.col("least") + 2 * (1 - PERCENT / 100) + 1e-9)
-            cut = regions.drop("d", "flat").join(cells.select("region", "doc", "pivot", F.col("dist").alias("d")), ["region", "doc"])
-            cut = cut.withColumn("region", F.xxhash64("region", "pivot")).drop("pivot").withColumnRenamed("size", "before")
-            sizes = cut.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region", "size")
-            regions = cut_lineage(cut.join(sizes, "region").withColumn("flat", F.col("size") > 0.8 * F.col("before")).drop("before"))
-        else:
-            regions = regions.withColumn("flat", F.lit(False)).withColumn("d", F.lit(None).cast("double"))
+            regions = cut_lineage(_cells(regions, spokes, measured))
         ready = regions.where(f"flat or size <= {SMALL_REGION}")
-        links = links.unionByName(_compare(docs, points, ready))
-        regions = cut_lineage(regions.where(f"not flat and size > {SMALL_REGION}").drop("component", "size"))
+        links = links.unionByName(_compare(docs, points, sketches, ready))
+        regions = cut_lineage(regions.where(f"not flat and size > {SMALL_REGION}").drop("component", "size", "main"))
         if regions.isEmpty():
             return links
         turn += 1
 
 
-def _compare(docs: DataFrame, points: DataFrame, regions: DataFrame) -> DataFrame:
+def _cells(regions: DataFrame, spokes: DataFrame, measured: DataFrame) -> DataFrame:
+    """Regions cut into the Voronoi cells of their pivots.
+
+    First the points of a region's largest component whose distance to some pivot differs by more
+    than the radius from that of every point outside the component are let go: they have no links
+    but inside it. A region is flat if a cell would hold most of it; it stays as it is, with the
+    distances to one pivot.
+    """
+    far = F.when(F.col("doc") == F.col("pivot"), 0.0).otherwise(1 - F.col("shared") / F.col("united"))
+    known = spokes.join(measured, ["a", "b"], "left").select("region", "doc", F.struct("pivot", far.alias("d")).alias("at"))
+    placed = known.groupBy("region", "doc").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    rows = cut_lineage(regions.drop("d", "flat").join(placed, ["region", "doc"]))
+    outside = F.col("component") != F.col("main")
+    bounds = rows.groupBy("region").agg(
+        *[
+            f(F.when(outside, F.get(F.col("at"), F.lit(j))["d"])).alias(f"{name}{j}")
+            for j in range(PIVOTS)
+            for name, f in (("lo", F.min), ("hi", F.max))
+        ]
+    )
+    near = outside
+    within = F.lit(True)
+    for j in range(PIVOTS):
+        d = F.get(F.col("at"), F.lit(j))["d"]
+        within = within & F.coalesce((d >= F.col(f"lo{j}") - RADIUS - _SLACK) & (d <= F.col(f"hi{j}") + RADIUS + _SLACK), F.lit(True))
+    kept = rows.join(bounds, "region").where(near | within).drop(*[f"{n}{j}" for n in ("lo", "hi") for j in range(PIVOTS)])
+    least = F.array_min(F.transform("at", lambda x: x["d"]))
+    kept = cut_lineage(kept.withColumn("cells", F.filter("at", lambda x: x["d"] <= least + 2 * RADIUS + _SLACK)).drop("size"))
+    sizes = kept.groupBy("region").agg(
+        F.count(F.lit(1)).alias("size"),
+        *[
+            F.sum(F.array_contains(F.transform("cells", lambda x: x["pivot"]), F.get(F.col("at"), F.lit(j))["pivot"]).cast("long")).alias(f"n{j}")
+            for j in range(PIVOTS)
+        ],
+    )
+    most = F.greatest(*[F.coalesce(f"n{j}", F.lit(0)) for j in range(PIVOTS)])
+    judged = kept.join(sizes.select("region", "size", (most > 0.8 * F.col("size")).alias("flat")), "region")
+    # one cell of a flat region stands for all
+    cells = F.when(F.col("flat"), F.slice("at", 1, 1)).otherwise(F.col("cells"))
+    cut = judged.withColumn("cell", F.explode(cells)).drop("at", "cells", "size")
+    cut = cut.withColumn("region", F.xxhash64("region", "cell.pivot")).withColumn("d", F.col("cell.d")).drop("cell", "main")
+    cut = cut_lineage(cut)
+    left = cut.groupBy("region", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("region")
+    left = left.agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("c", "component"))["component"].alias("main"))
+    return cut.join(left.where("kinds > 1").drop("kinds"), "region")
+
+
+def _compare(docs: DataFrame, points: DataFrame, sketches: DataFrame, regions: DataFrame) -> DataFrame:
     """Links between points of different components of one region."""
-    most = regions.groupBy("region", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = cut_lineage(most.groupBy("region").agg(F.max(F.struct("c", "component"))["component"].alias("main")))
-    all_ = regions.select("region", "doc", "n", "pos", "prev", "component", "d")
-    others = all_.join(main, "region").where("component <> main").select(*[F.col(c).alias(f"o_{c}") for c in all_.columns], F.col("main"))
+    all_ = cut_lineage(regions.select("region", "doc", "n", "pos", "prev", "component", "d", "main").join(sketches, "doc"))
+    others = all_.where("component <> main").drop("main")
+    others = others.select(*[F.col(c).alias(f"o_{c}") for c in others.columns])
     fits = F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * PERCENT
     once = (F.col("component") == F.col("main")) | (F.col("doc") < F.col("o_doc"))
     new = F.col("prev").isNull() | F.col("o_prev").isNull() | (F.col("prev") != F.col("o_prev"))
-    ring = F.coalesce(F.abs(F.col("d") - F.col("o_d")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
-    # shingles before the first common one are not shared, nor more than the rest of either after it
-    before = (F.col("pos") + F.col("o_pos")) * (100 + PERCENT) <= (F.col("n") + F.col("o_n")) * (100 - PERCENT)
+    ring = F.coalesce(F.abs(F.col("d") - F.col("o_d")) <= RADIUS + _SLACK, F.lit(True))
+    # the shingles before the first common one are not shared
+    most = (F.col("n") + F.col("o_n")) * (100 - PERCENT)
+    before = (F.col("pos") + F.col("o_pos")) * (100 + PERCENT) <= most
+    alike = _differing_bits(F.col("sketch"), F.col("o_sketch")) * (100 + PERCENT) <= most
     met = all_.join(others, F.col("region") == F.col("o_region")).where(
-        (F.col("component") != F.col("o_component")) & once & fits & new & ring & before
+        (F.col("component") != F.col("o_component")) & once & fits & new & ring & before & alike
     )
     asked = cut_lineage(met.select(*_ordered("doc", "o_doc")).distinct())
     return _measure(cut_lineage(_sketch_filter(asked, points)), docs, points).where(LINKED).select("a", "b")

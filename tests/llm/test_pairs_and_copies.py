@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from kindred.llm import components, decontaminate, exact_dedup, jaccard_join, repeats
+from kindred.llm import decontaminate, exact_dedup, jaccard_join, repeats
 from kindred.llm.text import shingle_sets, word_spans
 from kindred.session import cut_lineage, ship_package
 
@@ -107,14 +107,6 @@ def test_large_regions_are_cut(spark, monkeypatch):
     assert got == want
 
 
-def test_components(spark):
-    n = 300
-    chain = [(k, k + 1) for k in range(n)] + [(1000 + k, 2000) for k in range(50)] + [(7000, 7000)]
-    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert {got[k] for k in range(n + 1)} == {0} and got[2000] == 1000 and len(got) == n + 1 + 51
-    assert components.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
-
-
 @pytest.mark.parametrize("block", [4096, 7, 1])
 def test_exact_duplicates(spark, corpus, block):
     rows = [(k, t and t[:400]) for k, t in corpus]
