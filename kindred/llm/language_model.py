@@ -41,7 +41,7 @@ CLASSES = OWN_CLASSES + 1 + SPELLED_CLASSES
 SPELLING_BITS, FEATURE_BITS, TABLE_BITS = 14, 15, 22
 TOP_WORDS = 1 << 18
 FEATURES = 6
-ROUNDS, STEP_TOKENS, RATE = 3, 4096, 0.25
+ROUNDS, STEP_TOKENS, RATE = 3, 2048, 0.5
 SLICES = 16
 _U = np.uint64
 _START, _END = _U(0x51ED270B7F4A7C15), _U(0x2545F4914F6CDD1D)
@@ -94,6 +94,13 @@ class Vocabulary:
     counts: np.ndarray
     table: np.ndarray = field(init=False)
 
+    def __getstate__(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.words, self.counts  # the table, the largest part, is made anew where it is used
+
+    def __setstate__(self, state: tuple[np.ndarray, np.ndarray]) -> None:
+        self.words, self.counts = state
+        self.__post_init__()
+
     def __post_init__(self) -> None:
         self.table = np.full(1 << TABLE_BITS, -1, dtype=np.int32)
         order = np.arange(len(self.words))[::-1]
@@ -154,9 +161,9 @@ def _stream(words: np.ndarray, rank: np.ndarray, spelled: np.ndarray, first: np.
 
 
 def _log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    logits = weights[features[:, 0]]
+    logits = weights.take(features[:, 0], axis=0)
     for k in range(1, features.shape[1]):
-        logits += weights[features[:, k]]
+        logits += weights.take(features[:, k], axis=0)
     logits -= logits.max(axis=1, keepdims=True)
     logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
     return logits
@@ -195,6 +202,7 @@ def _spelling_classes(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         yield _blob_rows([x.astype("<u4").tobytes() for x in np.split(counts, SLICES)])
 
     found = _sliced_sum(texts.mapInArrow(follow, "slice int, blob binary"), "<u4")
+    known.destroy()
     if not found:
         return np.full(1 << SPELLING_BITS, END_CLASS + 1)
     counts = np.concatenate([found[k] for k in range(SLICES)]).reshape(-1, width)
@@ -218,6 +226,20 @@ def _spelling_classes(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     return END_CLASS + 1 + np.argmax(points @ centres.T, axis=1)
 
 
+def _sums_by(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ``keys``, how often each occurs, and the sums of its ``rows``."""
+    order = np.argsort(keys, kind="stable")
+    sorted_ = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    counts = np.diff(np.append(at, len(keys)))
+    total = rows.take(order[at], axis=0)
+    several = counts > 1
+    if several.any():
+        own = counts[several]
+        total[several] = np.add.reduceat(rows.take(order[np.repeat(several, counts)], axis=0), np.cumsum(own) - own, axis=0)
+    return sorted_[at], counts, total
+
+
 def _train(texts: DataFrame, model: Model) -> None:
     """One round of distributed gradient steps over ``texts``; changes the model's weights."""
     known = texts.sparkSession.sparkContext.broadcast(model)
@@ -225,7 +247,7 @@ def _train(texts: DataFrame, model: Model) -> None:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
         weights = m.weights.copy()
-        squares = np.full(weights.shape, 1e-3, dtype=np.float32)
+        squares = np.full(len(weights), 1e-3, dtype=np.float32)  # one step length per feature
         seen = np.zeros(len(weights), dtype=np.int64)
         for batch in batches:
             for _, _, words, spelled, first in batch_words(batch.column(0)):
@@ -236,17 +258,16 @@ def _train(texts: DataFrame, model: Model) -> None:
                     slope[np.arange(len(target)), target] -= 1
                     slope /= FEATURES
                     for k in range(FEATURES):
-                        order = np.argsort(own[:, k], kind="stable")
-                        rows, at = np.unique(own[order, k], return_index=True)
-                        total = np.add.reduceat(slope[order], at, axis=0)
-                        squares[rows] += total * total
-                        weights[rows] -= RATE * total / np.sqrt(squares[rows])
-                        seen[rows] += np.diff(np.append(at, len(order)))
+                        rows, counts, total = _sums_by(own[:, k], slope)
+                        squares[rows] += np.einsum("ij,ij->i", total, total)
+                        weights[rows] -= total * (RATE / np.sqrt(squares[rows]))[:, None]
+                        seen[rows] += counts
         step = (weights - m.weights) * np.minimum(seen, 60_000)[:, None]
         both = np.concatenate([step, np.minimum(seen, 60_000)[:, None]], axis=1).astype("<f4")
         yield _blob_rows([x.tobytes() for x in np.split(both, SLICES)])
 
     found = _sliced_sum(texts.mapInArrow(learn, "slice int, blob binary"), "<f4")
+    known.destroy()
     if found:
         both = np.concatenate([found[k] for k in range(SLICES)]).reshape(-1, CLASSES + 1)
         model.weights = (model.weights + both[:, :-1] / np.maximum(both[:, -1:], 1)).astype(np.float32)
@@ -283,8 +304,14 @@ def _partial_scores(rows: DataFrame, model: Model, end_count: int) -> DataFrame:
                 inside = np.where(classes[~is_end] < OWN_CLASSES, 0.0, counted)
                 score = np.bincount(owner, weights=chance, minlength=texts) + np.bincount(own, weights=inside, minlength=texts)
                 known_words = np.bincount(own[there], minlength=texts) + (end_count > 0)
-                rare, tf = np.unique(np.stack([own[~there].astype(np.uint64), words[~there]], axis=1), axis=0, return_counts=True) if (~there).any() else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
-                at = rare[:, 0].astype(np.int64) + lo
+                rare_own, rare_words = own[~there], words[~there]
+                order = np.lexsort((rare_words, rare_own))
+                rare_own, rare_words = rare_own[order], rare_words[order]
+                opens = np.ones(len(order), dtype=bool)
+                opens[1:] = (rare_own[1:] != rare_own[:-1]) | (rare_words[1:] != rare_words[:-1])
+                begin = np.flatnonzero(opens)
+                tf = np.diff(np.append(begin, len(order)))
+                at, rare = rare_own[begin] + lo, rare_words[begin]
                 none = pa.nulls
                 r = len(rare)
                 yield pa.RecordBatch.from_arrays(
@@ -294,7 +321,7 @@ def _partial_scores(rows: DataFrame, model: Model, end_count: int) -> DataFrame:
                 for k in range(0, r, 100_000):
                     m_ = min(100_000, r - k)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs[at[k : k + m_]]), none(m_, pa.int64()), none(m_, pa.int64()), none(m_, pa.int64()), none(m_, pa.float64()), none(m_, pa.float64()), pa.array(rare[k : k + m_, 1].copy().view(np.int64)), pa.array(tf[k : k + m_])],
+                        [pa.array(docs[at[k : k + m_]]), none(m_, pa.int64()), none(m_, pa.int64()), none(m_, pa.int64()), none(m_, pa.float64()), none(m_, pa.float64()), pa.array(rare[k : k + m_].view(np.int64)), pa.array(tf[k : k + m_])],
                         NAMES,
                     )
 
