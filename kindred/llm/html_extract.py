@@ -5,8 +5,9 @@ number of characters, of tags, of characters inside links and of link tags; its
 is characters per tag, adjusted by the share of links in it and in the page. The densities of an
 element's children (text of its own counts as a child) add up to its density sum, and the element
 with the largest sum is the core of the page. The smallest density on the path from the body to
-the core is the threshold; other subtrees reaching it in the same container contribute their
-densest part as well. A core inside an article takes the whole article.
+the core is the threshold. From the body down, every element that reaches it gives the subtree with
+the largest density sum in it, and so do lines of bare text; of elements below it nothing is taken. On a
+page without links the density is characters per tag. A core inside an article takes the whole article.
 
 Elements that are never part of an article (navigation, footers, sidebars, forms, scripts, styles)
 and containers whose class, id or role says advert, notice, comment and the like are left out before
@@ -181,6 +182,15 @@ def parse(page: str) -> Node:
     return root
 
 
+def _density(c: int, tags: int, lc: int, link_tags: int, c_all: int, l_all: int) -> float:
+    """Composite text density; plain characters per tag on a page without link text."""
+    if not c or not l_all:
+        return c / max(tags, 1)
+    base = math.log(c / max(c - lc, 1) * lc + l_all / c_all * c + math.e)
+    ratio = (c / max(lc, 1)) * (max(tags, 1) / max(link_tags, 1))
+    return max(c / max(tags, 1) * math.log(max(ratio, 1.0) + 1e-9) / max(math.log(base + 1e-9), 1e-3), 0.0)
+
+
 def _measure(root: Node) -> list[Node]:
     """Counts, densities and density sums of all nodes; the nodes, parents first."""
     order: list[Node] = [root]
@@ -197,22 +207,29 @@ def _measure(root: Node) -> list[Node]:
             up.tags += node.tags + 1
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
-    c_all, l_all = max(root.chars, 1), root.link_chars
+    page = (max(root.chars, 1), root.link_chars)
     for node in order:
-        if not node.chars:
-            continue
-        c, lc = node.chars, node.link_chars
-        base = math.log(c / max(c - lc, 1) * lc + l_all / c_all * c + math.e)
-        ratio = (c / max(lc, 1)) * (max(node.tags, 1) / max(node.link_tags, 1))
-        node.density = c / max(node.tags, 1) * math.log(max(ratio, 1.0) + 1e-9) / max(math.log(base + 1e-9), 1e-3) if base > 1 else 0.0
-        node.density = max(node.density, 0.0)
+        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, *page)
     for node in order:
         node.total = sum(x.density if isinstance(x, Node) else float(len(" ".join(x.split()))) for x in node.items)
     return order
 
 
-def _chosen(root: Node, order: list[Node]) -> list[Node]:
-    """The subtrees that make up the main text, in page order."""
+def _lines(items: list[Node | str], inline: set[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of an element's items: each block alone, neighbouring text and inline elements together."""
+    start = 0
+    for k, x in enumerate(items):
+        if isinstance(x, Node) and id(x) not in inline:
+            if start < k:
+                yield start, k
+            yield k, k + 1
+            start = k + 1
+    if start < len(items):
+        yield start, len(items)
+
+
+def _chosen(root: Node, order: list[Node]) -> list[Node | str | None]:
+    """What makes up the main text, in page order."""
     core = max(order, key=lambda x: x.total)  # of equal sums the first, which is the outer one
     at, path = core, []
     while at is not None:
@@ -221,20 +238,56 @@ def _chosen(root: Node, order: list[Node]) -> list[Node]:
     for node in path:
         if node.tag in ("article", "main"):
             return [node]
+    inline: set[int] = set()  # elements without a block in them
+    best: dict[int, Node] = {}  # the subtree with the largest sum, of equal ones the outer
+    for node in reversed(order):
+        inside = [x for x in node.items if isinstance(x, Node)]
+        if node.tag not in BLOCK and all(id(x) in inline for x in inside):
+            inline.add(id(node))
+        best[id(node)] = max([node, *(best[id(x)] for x in inside)], key=lambda x: x.total)
+    while id(core) in inline:  # a line is taken whole
+        core = core.parent
     if not core.total or core is root:
         return [root]
-    threshold = min(x.density for x in path)
-    around = core.parent
-    picked = []
-    for x in around.items:
-        if x is core:
-            picked.append(x)
-        elif isinstance(x, Node) and x.chars and x.density >= threshold and 2 * x.link_chars < x.chars:
+    below = [x for x in path if x is not root] if any(x.tag == "body" for x in path) else path
+    threshold = min(x.density for x in below)
+    page = (max(root.chars, 1), root.link_chars)
+    marked, taken = {id(core)}, set()  # elements, and single items of other elements
+    todo: list[Node] = [root]
+    while todo:
+        node = todo.pop()
+        if id(node) in marked or node is not root and (not node.chars or node.density < threshold):
+            continue
+        densest = best[id(node)]
+        if id(densest) not in inline and 2 * densest.link_chars < densest.chars:
+            marked.add(id(densest))
+        if id(node) in marked:
+            continue
+        for lo, hi in _lines(node.items, inline):
+            line = node.items[lo:hi]
+            if isinstance(line[0], Node) and id(line[0]) not in inline:
+                todo.append(line[0])
+                continue
+            nodes = [x for x in line if isinstance(x, Node)]
+            c = len(" ".join("".join(x for x in line if isinstance(x, str)).split())) + sum(x.chars for x in nodes)
+            lc = sum(x.link_chars for x in nodes)
+            tags, link_tags = sum(x.tags + 1 for x in nodes), sum(x.link_tags for x in nodes)
+            if c and 2 * lc < c and _density(c, tags, lc, link_tags, *page) >= threshold:
+                taken.update((id(node), k) for k in range(lo, hi))
+    picked: list[Node | str | None] = []  # None ends a line
+    walk: list[tuple[Node | str | None, bool]] = [(root, False)]
+    while walk:
+        x, whole = walk.pop()
+        if whole or x is None or id(x) in marked:
             picked.append(x)
+        elif isinstance(x, Node):
+            ends = [(None, True)] if x.tag in BLOCK else []
+            inside = [(y, (id(x), k) in taken) for k, y in enumerate(x.items)]
+            walk.extend([*ends, *((y, whole) for y, whole in reversed(inside) if whole or isinstance(y, Node)), *ends])
     return picked
 
 
-def _blocks(nodes: list[Node]) -> list[str]:
+def _blocks(nodes: list[Node | str | None]) -> list[str]:
     out: list[str] = []
     run: list[str] = []
 
@@ -244,22 +297,23 @@ def _blocks(nodes: list[Node]) -> list[str]:
             out.append(line)
         run.clear()
 
-    for top in nodes:
-        todo: list[tuple[Node | str, bool]] = [(top, False)]
-        while todo:
-            item, closing = todo.pop()
-            if isinstance(item, str):
-                run.append(item)
-            elif closing:
+    todo: list[tuple[Node | str | None, bool]] = [(x, False) for x in reversed(nodes)]
+    while todo:
+        item, closing = todo.pop()
+        if item is None:
+            flush()
+        elif isinstance(item, str):
+            run.append(item)
+        elif closing:
+            flush()
+        elif item.tag == "br":
+            run.append(" ")
+        else:
+            if item.tag in BLOCK:
                 flush()
-            elif item.tag == "br":
-                run.append(" ")
-            else:
-                if item.tag in BLOCK:
-                    flush()
-                    todo.append((item, True))
-                todo.extend((x, False) for x in reversed(item.items))
-        flush()
+                todo.append((item, True))
+            todo.extend((x, False) for x in reversed(item.items))
+    flush()
     return out
 
 

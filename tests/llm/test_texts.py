@@ -78,6 +78,17 @@ def test_density_without_landmarks():
     assert got.count("\n") == 5 and got.startswith("Sentence number 0") and "Topic" not in got
 
 
+def test_density_without_links():
+    """No link on the page and no article element: all sections are the article, with bare text; a short label is not."""
+    parts = [[f"Section {s} sentence {k} has a good many words in it, as articles do." for k in range(4)] for s in range(2)]
+    sections = "".join("<div><div>" + "".join(f"<p>{x}</p>" for x in part) + "</div></div>" for part in parts)
+    bare = "Bare text of the container, which is <b>as long</b> as any other paragraph of this article is."
+    assert html_extract.main_text(f"<body><div>{sections}</div></body>").split("\n") == [*parts[0], *parts[1]]
+    for page in (f"<body><div>{sections}{bare}</div><div>L</div></body>", f"<div>{sections}{bare}</div><div>Label</div>"):
+        got = html_extract.main_text(page).split("\n")
+        assert got == [*parts[0], *parts[1], re.sub("</?b>", "", bare)]
+
+
 def test_page_rows(spark):
     ship_package(spark)
     rows = [(1, "u", "<p>x</p>"), (1, "u", "<p>x</p>"), (2, None, None), (None, "v", "")]
