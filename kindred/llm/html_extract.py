@@ -9,9 +9,13 @@ the core is the threshold. From the body down, every element that reaches it giv
 the largest density sum in it, and so do lines of bare text; of elements below it nothing is taken. On a
 page without links the density is characters per tag. A core inside an article takes the whole article.
 
-Elements that are never part of an article (navigation, footers, sidebars, forms, scripts, styles)
-and containers whose class, id or role says advert, notice, comment and the like are left out before
-the densities are taken, so that they cannot win and are not part of a winner.
+Elements that are never part of an article (navigation, footers, forms, scripts, styles, their roles)
+and elements with a class or id that names an advert, sidebar, comments and the like are left out
+before the densities are taken, so that they cannot win and are not part of a winner. A class counts as
+a whole, by its last word (``top-ad``) or by its first before the name of a part (``ad-slot``), and not
+if it has a word of state or denial (``no-sidebar``, ``comments-open``). Paragraphs, headings, list items
+and cells go by advert names only. An element that holds most of the page's text outside links stays,
+unless an article stands beside it.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed
 and joined by one line break, empty blocks vanish; nothing else is dropped, and no page is cut off.
@@ -62,13 +66,26 @@ DROPPED = names(
     "canvas map dialog menu title"
 )
 DROPPED_ROLE = names("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar")
-_WORDS = re.compile(r"[a-z]+|\d+")
+_WORDS = re.compile(r"[^\W\d_]+|\d+")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 DROPPED_WORD = names(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments cookie cookies "
     "consent disclaimer disqus footer masthead menu modal nav navbar navigation newsletter notice notices notification popup "
     "promo promoted promotion related recommended share sharing sidebar sidebars social sponsor sponsored subscribe "
     "subscription toolbar widget widgets"
 )
+ADVERT_WORD = names("ad ads advert adverts advertisement advertising adsense sponsor sponsored")
+# Names that, after a dropped word, still mean the dropped thing.
+PART_WORD = names(
+    "area bar block box button buttons container form frame holder icon icons inner item items label left link links list outer "
+    "panel posts right section slot slots stories thread top bottom unit units wrap wrapper zone"
+)
+STATE_WORD = names(
+    "no non not without has have with is are on off in open opened close closed enable enabled disable disabled allow allowed "
+    "active inactive hide hidden show layout page"
+)
+# Elements that hold wording rather than contain parts of a page.
+WORDING = names("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr caption figcaption b i em strong span u small mark code a")
 HEADERS = names("header")
 
 _TOKEN = re.compile(
@@ -79,13 +96,24 @@ _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "named")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.named = False  # its class or id says that it is no part of an article
+
+
+def _says(token: str, dropped: frozenset[str]) -> bool:
+    """Whether a class or id names something dropped."""
+    words = _WORDS.findall(_HUMP.sub("-", token).lower())
+    if not words or not STATE_WORD.isdisjoint(words):
+        return False
+    while len(words) > 1 and words[-1].isdigit():
+        words.pop()
+    return words[-1] in dropped or (words[0] in dropped and all(x in dropped or x in PART_WORD for x in words[1:]))
 
 
 def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -93,14 +121,47 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    for kind, a, b, c in _ATTR.findall(attributes):
-        value = (a or b or c).lower()
-        if kind.lower() == "role":
-            if value.strip() in DROPPED_ROLE:
-                return True
-        elif not DROPPED_WORD.isdisjoint(_WORDS.findall(value)):
-            return True
-    return False
+    return any(kind.lower() == "role" and (a or b or c).lower().strip() in DROPPED_ROLE for kind, a, b, c in _ATTR.findall(attributes))
+
+
+def _named(tag: str, attributes: str) -> bool:
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    dropped = ADVERT_WORD if tag in WORDING else DROPPED_WORD
+    return any(kind.lower() != "role" and any(_says(x, dropped) for x in (a or b or c).split()) for kind, a, b, c in _ATTR.findall(attributes))
+
+
+def _prune(root: Node) -> None:
+    """Takes out the elements named as no part of an article."""
+    order = [root]
+    for node in order:
+        order.extend(x for x in node.items if isinstance(x, Node))
+    if not any(x.named for x in order):
+        return
+    plain: dict[int, int] = {}  # characters outside links
+    for node in reversed(order):
+        own = sum(len(" ".join(x.split())) for x in node.items if isinstance(x, str))
+        plain[id(node)] = 0 if node.tag == "a" else own + sum(plain[id(x)] for x in node.items if isinstance(x, Node))
+
+    def up(node: Node) -> set[int]:
+        out = set()
+        while node is not None:
+            out.add(id(node))
+            node = node.parent
+        return out
+
+    articles = [(x, up(x)) for x in order if x.tag in ("article", "main") and plain[id(x)]]
+    gone: dict[int, tuple[Node, set[int]]] = {}  # by their parents
+    for node in order:
+        if not node.named:
+            continue
+        if 2 * plain[id(node)] > plain[id(root)]:
+            above = up(node)
+            if all(id(node) in outer or id(x) in above for x, outer in articles):
+                continue
+        gone.setdefault(id(node.parent), (node.parent, set()))[1].add(id(node))
+    for parent, items in gone.values():
+        parent.items = [x for x in parent.items if isinstance(x, str) or id(x) not in items]
 
 
 def parse(page: str) -> Node:
@@ -160,6 +221,7 @@ def parse(page: str) -> Node:
         if tag in ("html", "body") and any(x.tag == tag for x in stack):
             continue
         node = Node(tag, stack[-1])
+        node.named = not skip and _named(tag, attributes)
         unwanted = bool(skip) or _unwanted(tag, attributes, articles > 0)
         if not unwanted:
             stack[-1].items.append(node)
@@ -179,6 +241,7 @@ def parse(page: str) -> Node:
         stack.append(node)
         articles += tag in ("article", "main")
     text(page[at:])
+    _prune(root)
     return root
 
 

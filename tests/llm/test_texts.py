@@ -89,6 +89,23 @@ def test_density_without_links():
         assert got == [*parts[0], *parts[1], re.sub("</?b>", "", bare)]
 
 
+@pytest.mark.parametrize("name", ["class='content no-sidebar'", "class=has-sidebar", "class='comments-open x'", "class=post-with-social", "id='menu-page'", "class='left-sidebar'"])
+def test_wrappers_keep_their_article(name):
+    body = "".join(f"<p class={c}>Sentence {c} has a good many words in it, as articles do.</p>" for c in ("notice", "related", "promotion", "x"))
+    for tag in ("div", "article"):
+        got = html_extract.main_text(f"<body><div {name}><div class=top-ad>Buy this now.</div><{tag}>{body}</{tag}></div><a href=x>More</a></body>")
+        assert got.split("\n") == [f"Sentence {c} has a good many words in it, as articles do." for c in ("notice", "related", "promotion", "x")]
+
+
+def test_named_parts_go():
+    text = "".join(f"<p>Sentence {k} has a good many words.</p>" for k in range(3))
+    for name in ("ad", "top-ad", "ad-slot-3", "adSlot", "comments", "comment-list", "sidebar-left", "related-posts", "cookie_banner", "share-buttons"):
+        got = html_extract.main_text(f"<body><div>{text}<div class='x {name}'><p>Not of the article, in good many words</p></div></div></body>")
+        assert got.count("\n") == 2 and "Not of" not in got, name
+    long_ = "".join(f"<p>Reader comment {k} goes on for much longer than the article itself does.</p>" for k in range(30))
+    assert "Reader" not in html_extract.main_text(f"<body><article>{text}</article><div id=comments>{long_}</div></body>")
+
+
 def test_page_rows(spark):
     ship_package(spark)
     rows = [(1, "u", "<p>x</p>"), (1, "u", "<p>x</p>"), (2, None, None), (None, "v", "")]
