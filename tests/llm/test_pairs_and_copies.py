@@ -195,6 +195,25 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(frame(spark, docs).limit(0), bench).collect() == []
 
 
+def one_word_changed(text, at):
+    w = text.split(" ")
+    return " ".join([*w[:at], "changed", *w[at + 1 :]])
+
+
+def test_leaks_of_repeated_and_templated_items(spark):
+    """Unlike wording elsewhere, copies and templates of the benchmark do not make a changed word weigh more."""
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    often, twice, template = text(100), text(50), text(196)
+    items = [*((k, often) for k in range(5)), *((10 + k, twice) for k in range(2)), *((20 + k, template + " " + text(8)) for k in range(8))]
+    docs = [(1, text(30) + " " + one_word_changed(often, 50) + " " + text(20)), (2, text(30) + " " + one_word_changed(twice, 20))]
+    docs += [(3, text(9) + " " + one_word_changed(items[9][1], 90) + " " + text(9))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, docs), bench).collect()}
+    # the items of one template are near copies of each other: 192 of 208 shingles
+    assert got == {*((1, k) for k in range(5)), *((2, 10 + k) for k in range(2)), *((3, 20 + k) for k in range(8))}
+
+
 def test_word_spans_and_sets():
     import pyarrow as pa
 
