@@ -8,7 +8,7 @@ length (no other window can be similar). A window holds an item if the larger of
 * the Jaccard similarity of the shingle sets;
 * the same with weights, so that wording common to many items counts little: a shingle of the item
   weighs one over the number of different item sets that have it, any other as much as the item's
-  shingles do on average. Equal item sets are counted once.
+  shingles do on average. Equal item sets are counted once, over the whole benchmark.
 
 The first is found by SimHash: a window's fingerprint is the sign of the sum of its shingles' 256
 random signs; sums over windows are differences of running sums. A fingerprint is cut into 64 blocks
@@ -20,7 +20,7 @@ in weight; it needs four fifths of the item's weight inside the window, which is
 What either finds is verified by both similarities.
 
 Benchmarks are taken in blocks of ``BLOCK_ITEMS`` items, one pass each, so what a task holds of
-them is bounded however many there are. Documents are never shuffled.
+them is bounded however many there are; results do not depend on the blocks. Documents are never shuffled.
 
 Defined results: null or empty texts and items match nothing; an item of one to four words is one
 shingle, its whole sequence, and is found where exactly these words stand; repeated items are each
@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.text import _MULT, SHINGLE_WORDS, batch_words, mix, shingle_hashes
+from kindred.session import cut_lineage
 
 BITS, BLOCK_BITS = 256, 4
 BLOCKS = BITS // BLOCK_BITS
@@ -67,9 +68,12 @@ def _fingerprints(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 class Items:
-    """A block of benchmark items, by their number of words."""
+    """A block of benchmark items, by their number of words.
 
-    def __init__(self, ids: list[int], texts: list[str | None]) -> None:
+    ``shared`` has the shingles of several item sets of the benchmark, ascending, and ``counts`` of how many.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str | None], shared: np.ndarray, counts: np.ndarray) -> None:
         self.words: dict[int, list[int]] = defaultdict(list)  # by length in words: items
         self.ids, self.sets = ids, []
         n = 0
@@ -81,8 +85,8 @@ class Items:
                     self.words[length].append(n)
                 n += 1
         self.known = known = np.unique(np.concatenate([*self.sets, np.zeros(0, np.uint64)]))
-        different = {x.tobytes(): x for x in self.sets}
-        self.weights = 1.0 / np.unique(np.concatenate([*different.values(), np.zeros(0, np.uint64)]), return_counts=True)[1]
+        self.weights = np.ones(len(known))
+        self.weights[np.searchsorted(known, shared)] = 1.0 / counts
         self.seen = np.zeros(1 << _SEEN_BITS, dtype=bool)
         self.seen[known >> np.uint64(64 - _SEEN_BITS)] = True
         # the lengths in words of the items that have a shingle
@@ -220,18 +224,39 @@ class Items:
 HITS = "doc_id long, item_id long, first_word long, n_words long, similarity double, distance int, n_windows long"
 
 
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of every item, ascending, beside its block."""
+    for batch in batches:
+        for lo, hi, words, first in batch_words(batch.column(1)):
+            hashes, at = shingle_hashes(words, first)
+            sets = [np.unique(hashes[at[d] : at[d + 1]]).view(np.int64) for d in range(hi - lo)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.list_(pa.int64()))], ["block", "shingles"])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row per document (doc_id, text) and benchmark item (item_id, text) found in it."""
     spark = docs.sparkSession
     blocks = -(-benchmark.count() // block_items)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     result = spark.createDataFrame([], HITS)
+    if not blocks:
+        return result
+    dealt = benchmark.select(
+        F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"),
+        F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int").alias("block"),
+    )
+    sets = cut_lineage(dealt.select("block", "text").mapInArrow(_item_shingles, "block int, shingles array<long>"))
+    of_several = sets.select("shingles").distinct().select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 1")
+    of_several = cut_lineage(of_several)
     for block in range(blocks):
-        own = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = own.select(F.col("item_id").cast("long"), F.col("text").cast("string")).collect()  # block_items at most, but for chance
+        rows = dealt.where(F.col("block") == block).collect()  # block_items at most, but for chance
         if not rows:
             continue
-        items = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows]))
+        here = sets.where(F.col("block") == block).select(F.explode("shingles").alias("shingle")).distinct()
+        shared = here.join(of_several, "shingle").toPandas()
+        hashes, counts = shared["shingle"].to_numpy().astype(np.int64).view(np.uint64), shared["count"].to_numpy().astype(np.int64)
+        order = np.argsort(hashes)
+        items = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], hashes[order], counts[order]))
 
         def search(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             known = items.value

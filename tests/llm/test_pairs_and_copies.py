@@ -214,6 +214,23 @@ def test_leaks_of_repeated_and_templated_items(spark):
     assert got == {*((1, k) for k in range(5)), *((2, 10 + k) for k in range(2)), *((3, 20 + k) for k in range(8))}
 
 
+def test_leaks_do_not_depend_on_blocks(spark):
+    """Items of a common passage: shingles are counted over the benchmark, not over a block."""
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    common = [text(20) for _ in range(4)]
+    items = [(k, common[k % 4] + " " + text(24)) for k in range(24)]
+    # the own part of an item without the common passage, and with some of its words changed
+    docs = [(100 + k, text(20) + " " + items[k][1].split(" ", 20)[20]) for k in range(24)]
+    docs += [(200 + k, text(9) + " " + one_word_changed(items[k][1], 15 + k)) for k in range(24)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = [
+        sorted((r.doc_id, r.item_id, r.first_word, round(r.similarity, 9), r.distance, r.n_windows) for r in decontaminate.find_leaks(frame(spark, docs), bench, block_items=n).collect())
+        for n in (20_000, 9, 3)
+    ]
+    assert found[0] and found[0] == found[1] == found[2]
+
+
 def test_word_spans_and_sets():
     import pyarrow as pa
 
