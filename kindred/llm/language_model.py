@@ -240,6 +240,11 @@ def _sums_by(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return sorted_[at], counts, total
 
 
+def _weighted_steps(before: np.ndarray, after: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """A task's steps times how often it saw each feature, and how often."""
+    return np.concatenate([(after - before) * seen[:, None], seen[:, None]], axis=1).astype("<f4")
+
+
 def _train(texts: DataFrame, model: Model) -> None:
     """One round of distributed gradient steps over ``texts``; changes the model's weights."""
     known = texts.sparkSession.sparkContext.broadcast(model)
@@ -262,9 +267,7 @@ def _train(texts: DataFrame, model: Model) -> None:
                         squares[rows] += np.einsum("ij,ij->i", total, total)
                         weights[rows] -= total * (RATE / np.sqrt(squares[rows]))[:, None]
                         seen[rows] += counts
-        step = (weights - m.weights) * np.minimum(seen, 60_000)[:, None]
-        both = np.concatenate([step, np.minimum(seen, 60_000)[:, None]], axis=1).astype("<f4")
-        yield _blob_rows([x.tobytes() for x in np.split(both, SLICES)])
+        yield _blob_rows([x.tobytes() for x in np.split(_weighted_steps(m.weights, weights, seen), SLICES)])
 
     found = _sliced_sum(texts.mapInArrow(learn, "slice int, blob binary"), "<f4")
     known.destroy()

@@ -307,3 +307,11 @@ def test_language_model_is_normalised():
     weights = np.random.default_rng(0).normal(size=(1 << language_model.FEATURE_BITS, language_model.CLASSES)).astype(np.float32)
     features = np.random.default_rng(1).integers(0, 1 << language_model.FEATURE_BITS, (20, language_model.FEATURES)).astype(np.int32)
     assert np.allclose(np.exp(language_model._log_softmax(weights, features)).sum(axis=1), 1, atol=1e-4)
+
+
+def test_steps_count_by_sightings():
+    """A task that saw a feature nine times as often moves it nine times as much, however often that is."""
+    before = np.zeros((2, language_model.CLASSES), np.float32)
+    parts = [language_model._weighted_steps(before, before + step, np.array([1, 1]) * seen) for step, seen in ((1.0, 900_000), (0.0, 100_000))]
+    total = sum(x.astype(np.float64) for x in parts)
+    assert np.allclose(total[:, :-1] / total[:, -1:], 0.9)
