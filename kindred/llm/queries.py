@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kindred.llm import chat, decontaminate, exact_dedup, html_extract, jaccard_join, language_model, mixing, packing, quality, repeats
+from kindred.llm import chat, decontaminate, exact_dedup, fill_in_middle, html_extract, jaccard_join, language_model, mixing, packing, quality, repeats, winnowing
 from kindred.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -155,3 +155,45 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query(
+    "op12_fill_in_middle",
+    r"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+    ), k AS (
+      SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                    OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+                  WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+      FROM d
+    ), c AS (
+      SELECT *, substr(t, 1, least(c1, c2)) AS p, substr(t, least(c1, c2) + 1, abs(c1 - c2)) AS m, substr(t, greatest(c1, c2) + 1) AS s FROM k
+    )
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN least(c1, c2) END::BIGINT AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN abs(c1 - c2) END::BIGINT AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                  ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM c
+    """,
+)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    formatted = fill_in_middle.fill_in_middle(table(spark, sf, "documents"))
+    kept = ["doc_id", "n", "form", "prefix_chars", "middle_chars"]
+    digested = formatted.select(*kept, "output", F.sha2("output", 256).alias("output_sha256"))
+    return fill_in_middle.restore(digested).select(*kept, "output_sha256", F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query("op11_winnowing_fingerprints")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return winnowing.edited_fingerprints(table(spark, sf, "documents")).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        winnowing.as_text(F.col("fingerprint")).alias("fingerprint"),
+        winnowing.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
