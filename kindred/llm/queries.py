@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kindred.llm import chat, decontaminate, exact_dedup, fill_in_middle, html_extract, jaccard_join, language_model, mixing, packing, quality, repeats, winnowing
+from kindred.llm import chat, decontaminate, exact_dedup, fill_in_middle, html_extract, jaccard_join, language_model, mixing, packing, prefix_trie, quality, repeats, winnowing
 from kindred.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -197,3 +197,41 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
         "near_edited",
         "near_next",
     )
+
+
+@query(
+    "op13_zfast_conversation_trie",
+    r"""
+    WITH s AS (
+      SELECT conv_id, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS s,
+             length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL
+    ), o AS (
+      SELECT conv_id, list({'s': s, 'n': n} ORDER BY turn NULLS FIRST, s) AS t FROM s GROUP BY conv_id
+    ), c AS (
+      SELECT conv_id, t, conv_id - conv_id % 100 AS base, xor(list_reduce(
+        list_concat([4294967295], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) % 6 AS h
+      FROM o
+    ), b AS (
+      SELECT c.conv_id, list_concat(CASE WHEN h = 0 THEN [] ELSE coalesce(o.t[1:h], []) END, c.t[h + 1:]) AS t
+      FROM c LEFT JOIN o ON o.conv_id = c.base
+    ), n AS (
+      SELECT conv_id, d, len(t) AS l, coalesce(array_to_string(list_transform(t[1:d], lambda x: x.s), ''), '') AS p,
+             CASE WHEN d = 0 THEN 0 ELSE t[d].n END AS chars
+      FROM b, unnest(range(0, len(t) + 1)) AS u(d)
+    ), g AS (
+      SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+             sha256(coalesce(string_agg(CASE WHEN d = l THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+      FROM n GROUP BY p, d
+    ), k AS (SELECT left(p, 64 * (d - 1)) AS p, d - 1 AS d, count(*) AS n_children FROM g WHERE d > 0 GROUP BY ALL),
+    m AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN k ON k.p = g.p AND k.d = g.d),
+    a AS (
+      SELECT left(p, 64 * e) AS p, e AS d, sum((n_convs - 1) * chars) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+      FROM m, unnest(range(0, d + 1)) AS u(e) GROUP BY ALL
+    )
+    SELECT m.conv_id, m.d AS depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+    FROM m JOIN a ON a.p = m.p AND a.d = m.d LEFT JOIN m AS up ON up.d = m.d - 1 AND up.p = left(m.p, 64 * (m.d - 1))
+    """,
+)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.branched(table(spark, sf, "conversations")))
