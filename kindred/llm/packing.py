@@ -3,26 +3,34 @@
 Texts become ids of a public byte-level vocabulary, with one end id per document. A document longer
 than a row is split losslessly into pieces of at most one row; the pieces of a document keep their
 number, so joining them in order gives its ids back. Pieces are dealt by hash into shards of
-bounded size, and a shard is packed best-fit-decreasing: the longest piece first, each into the
+bounded size, by id, number and, where an id occurs again in a batch, by its place there, so many rows of one id
+or without one do not meet in a shard. A shard is packed best-fit-decreasing: the longest piece first, each into the
 fullest row that still takes it, found in a segment tree over the free capacities.
 
 A result row is one row of an id matrix: ``ids`` (little-endian, ``row_tokens`` values, padded),
 ``cu_seqlens`` (cumulative segment lengths, 0 first), ``position_ids`` (little-endian 32-bit, from 0
 in every segment and in the padding), the ``doc_ids`` and ``pieces`` of its segments, ``n_tokens``.
 
-Defined results: a null or empty text is its end id alone; repeated rows are packed as often as
-they come; a null id stays null in ``doc_ids``; an empty table gives no rows.
+The vocabulary is read once, by the driver, and broadcast (a megabyte or two), so executors need no such file.
+
+Defined results: ties in length are packed in the order of id, number and ids; a null or empty text is its end id alone; repeated rows are packed as often as
+they come; a null id stays null in ``doc_ids``; a text of any length is split into as many pieces as it needs;
+an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 import re
+import zlib
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW_TOKENS = 2048
@@ -30,7 +38,8 @@ SHARD_BYTES = 16 << 20
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how byte-level vocabularies of this family cut a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 400_000
+CACHE_BYTES = 48 << 20
+_ENTRY_BYTES = 200  # of a kept word, besides its letters and ids
 _BLANK_THEN_SPACE = re.compile(r" \s")
 
 
@@ -42,11 +51,10 @@ class Tokenizer:
     there are too many. Other texts are encoded as a whole.
     """
 
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: bytes) -> None:
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines())}
         self.end = max(ranks.values()) + 1
         self.dtype = np.dtype("<u2" if self.end < 1 << 16 else "<u4")
         self.encoding = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
@@ -54,17 +62,20 @@ class Tokenizer:
         self.opens_word[[rank for token, rank in ranks.items() if token[:1] == b" "]] = True
         self.end_bytes = np.asarray([self.end], dtype=self.dtype).tobytes()
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def whole(self, text: str) -> bytes:
         return self.encoding.encode_to_numpy(text, disallowed_special=()).astype(self.dtype).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.words.clear()
+            self.held = 0
         ids = self.encoding.encode_to_numpy(" " + " ".join(words), disallowed_special=())
         width = self.dtype.itemsize
         at = (np.flatnonzero(self.opens_word[ids]) * width).tolist()
         data = ids.astype(self.dtype).tobytes()
+        self.held += len(data) + sum(map(len, words)) + _ENTRY_BYTES * len(words)
         self.words.update(zip(words, map(data.__getitem__, map(slice, at, [*at[1:], len(data)])), strict=True))
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
@@ -100,38 +111,58 @@ class Tokenizer:
                 yield (self.whole(words[0]) if words[0] else b"") + b"".join(known) + tail + self.end_bytes
 
 
-_loaded: dict[str, Tokenizer] = {}
+_loaded: dict[int, Tokenizer] = {}
+
+
+def _known(vocabulary: bytes) -> Tokenizer:
+    """One tokenizer per process and vocabulary."""
+    key = zlib.crc32(vocabulary)
+    if key not in _loaded:
+        _loaded[key] = Tokenizer(vocabulary)
+    return _loaded[key]
+
+
+def tokenizer(path: str) -> Tokenizer:
+    """The tokenizer of a vocabulary file of this machine."""
+    return _known(Path(path).read_bytes())
 
 
-def tokenizer(vocabulary: str) -> Tokenizer:
-    """One tokenizer per Python worker."""
-    if vocabulary not in _loaded:
-        _loaded[vocabulary] = Tokenizer(vocabulary)
-    return _loaded[vocabulary]
+def sent_vocabulary(spark: SparkSession, path: str) -> Broadcast[bytes]:
+    """The vocabulary file at ``path``, on the driver's machine or in any store that Spark reads."""
+    if os.path.exists(path):
+        return spark.sparkContext.broadcast(Path(path).read_bytes())
+    return spark.sparkContext.broadcast(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))
 
 
 def token_pieces(docs: DataFrame, row_tokens: int = ROW_TOKENS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, piece, n_tokens, ids) with pieces of at most ``row_tokens`` ids."""
+    """(doc_id, piece, again, n_tokens, ids) with pieces of at most ``row_tokens`` ids.
+
+    ``again`` counts the rows of the same id before in the batch.
+    """
+    sent = sent_vocabulary(docs.sparkSession, vocabulary)
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    names = ["doc_id", "piece", "again", "n_tokens", "ids"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(vocabulary)
+        tok = _known(sent.value)
         step = row_tokens * tok.dtype.itemsize
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            out, held = ([], [], [], []), 0
+            seen: dict[int | None, int] = {}
+            out, held = tuple([] for _ in names), 0
             for k, (doc, data) in enumerate(zip(ids, tok(x.as_py() for x in batch.column(1)), strict=True)):
+                again = seen[doc] = seen.get(doc, -1) + 1
                 for piece, at in enumerate(range(0, len(data), step)):
                     part = data[at : at + step]
-                    for column, value in zip(out, (doc, piece, len(part) // tok.dtype.itemsize, part), strict=True):
+                    for column, value in zip(out, (doc, piece, again, len(part) // tok.dtype.itemsize, part), strict=True):
                         column.append(value)
                     held += len(part)
                 if held > 4 << 20 or k == len(ids) - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names)
-                    out, held = ([], [], [], []), 0
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+                    out, held = tuple([] for _ in names), 0
 
-    names = ["doc_id", "piece", "n_tokens", "ids"]
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(encode, "doc_id long, piece int, n_tokens int, ids binary")
+    return source.mapInArrow(encode, "doc_id long, piece int, again int, n_tokens int, ids binary")
 
 
 class Capacities:
@@ -182,6 +213,13 @@ def best_fit_decreasing(lengths: list[int], row_tokens: int) -> list[list[int]]:
     return rows
 
 
+def _binary_rows(matrix: np.ndarray) -> pa.Array:
+    """Every row of a matrix as one binary value, without a copy."""
+    step = matrix.shape[1] * matrix.itemsize
+    at = np.arange(len(matrix) + 1, dtype=np.int32) * np.int32(step)
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(at), pa.py_buffer(matrix)])
+
+
 PACKED = (
     "shard long, row int, n_tokens int, ids binary, cu_seqlens array<int>, position_ids binary, "
     "doc_ids array<long>, pieces array<int>"
@@ -194,35 +232,46 @@ def pack_tokens(
     """``docs`` (doc_id, text) as packed rows, see the module."""
     total = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 1
     shards = -(-int(total) // shard_bytes)
-    pieces = token_pieces(docs, row_tokens, vocabulary).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    pieces = token_pieces(docs, row_tokens, vocabulary).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "again"), F.lit(shards)))
+    sent = sent_vocabulary(docs.sparkSession, vocabulary)
 
     def pack(table: pa.Table) -> pa.Table:
-        tok = tokenizer(vocabulary)
-        table = table.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]).combine_chunks()
-        lengths, docs_, numbers, ids = (table.column(c) for c in ("n_tokens", "doc_id", "piece", "ids"))
-        n, d, p = lengths.to_pylist(), docs_.to_pylist(), numbers.to_pylist()
-        rows = best_fit_decreasing(n, row_tokens)
-        pad = tok.end_bytes
-        steps = np.arange(row_tokens, dtype="<i4")
-        matrix, cu, where = [], [], []
-        for row in rows:
-            bounds = np.cumsum([0, *(n[k] for k in row)])
-            used = int(bounds[-1])
-            matrix.append(b"".join(ids[k].as_py() for k in row) + pad * (row_tokens - used))
-            starts = np.repeat([*bounds[:-1], used], [*np.diff(bounds), row_tokens - used])
-            where.append((steps - starts.astype("<i4")).tobytes())
-            cu.append(bounds.astype(np.int32))
-        shard = table.column("shard")[0].as_py()
+        tok = _known(sent.value)
+        table = table.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids", "ascending")])
+        table = table.combine_chunks()
+        rows = best_fit_decreasing(table.column("n_tokens").to_pylist(), row_tokens)
+        order = np.fromiter((k for row in rows for k in row), dtype=np.int64, count=table.num_rows)
+        segments = table.drop_columns(["ids"]).take(order)
+        lengths = segments.column("n_tokens").to_numpy()
+        first = np.cumsum([0, *map(len, rows)])  # the first segment of every row
+        row_of = np.repeat(np.arange(len(rows)), np.diff(first))
+        ends = np.cumsum(lengths)
+        used = np.diff(ends[first[1:] - 1], prepend=0)
+        within = ends - lengths - (np.cumsum(used) - used)[row_of]
+        # the id matrix is written in place, segment by segment
+        matrix = np.full((len(rows), row_tokens), tok.end, dtype=tok.dtype)
+        source = table.column("ids").chunk(0)
+        for row, at, n, k in zip(row_of.tolist(), within.tolist(), lengths.tolist(), order.tolist(), strict=True):
+            matrix[row, at : at + n] = np.frombuffer(source[k].as_buffer(), dtype=tok.dtype)
+        begin = np.zeros((len(rows), row_tokens), dtype="<i4")
+        begin[row_of, within] = within
+        padded = np.flatnonzero(used < row_tokens)
+        begin[padded, used[padded]] = used[padded]
+        np.maximum.accumulate(begin, axis=1, out=begin)
+        np.subtract(np.arange(row_tokens, dtype="<i4"), begin, out=begin)
+        cu = np.insert(within + lengths, first[:-1], 0).astype(np.int32)
+        lists = lambda values, at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
+        column = lambda name: segments.column(name).combine_chunks()
         return pa.table(
             {
-                "shard": pa.array([shard] * len(rows), pa.int64()),
-                "row": pa.array(range(len(rows)), pa.int32()),
-                "n_tokens": pa.array([int(c[-1]) for c in cu], pa.int32()),
-                "ids": pa.array(matrix, pa.binary()),
-                "cu_seqlens": pa.array(cu, pa.list_(pa.int32())),
-                "position_ids": pa.array(where, pa.binary()),
-                "doc_ids": pa.array([[d[k] for k in row] for row in rows], pa.list_(pa.int64())),
-                "pieces": pa.array([[p[k] for k in row] for row in rows], pa.list_(pa.int32())),
+                "shard": pa.array(np.full(len(rows), table.column("shard")[0].as_py(), dtype=np.int64)),
+                "row": pa.array(np.arange(len(rows), dtype=np.int32)),
+                "n_tokens": pa.array(used.astype(np.int32)),
+                "ids": _binary_rows(matrix),
+                "cu_seqlens": lists(pa.array(cu), first + np.arange(len(first))),
+                "position_ids": _binary_rows(begin),
+                "doc_ids": lists(column("doc_id"), first),
+                "pieces": lists(column("piece"), first),
             }
         )
 

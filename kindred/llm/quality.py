@@ -9,13 +9,13 @@ counts for both by closeness, so the machine may bend along it. The score is
 whose pairwise part costs time linear in the features. Identity, language, source and labels are
 not features.
 
-It is fitted on at most ``max_labelled`` labelled rows, drawn by the hash of their id: every
-partition runs a pass of stochastic gradient steps from the common parameters, and the results are
-averaged, ``rounds`` times. The draw and all random numbers depend on ids only.
+It is fitted on at most ``max_labelled`` labelled rows, drawn by the hash of their id (and of the row, where
+many rows share an id): every partition runs a pass of stochastic gradient steps from the common parameters,
+and the results are averaged, ``rounds`` times. The draw and all random numbers depend on ids only.
 
 Defined results: null and empty texts have statistics of zero and are scored; null ``n_chars`` counts
-as the text's length; rows without a label, or with a null one, are not learned from; of repeated
-label rows each counts; with nothing to learn from every score is 0.5; repeated rows score alike.
+as the text's length; rows without a label, or with a null one, are not learned from; equal
+label rows count once; with nothing to learn from every score is 0.5; repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -186,18 +186,36 @@ def _pass(current, turn: int, rate: float, decay: float) -> Callable:
     return learn
 
 
+def _share_below(share: float, *key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(1_000_000)) < int(share * 1_000_000)
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int) -> DataFrame:
+    """At most about ``most`` rows of ``docs`` (doc_id, text, n_chars) with their ``label``, drawn by hashes."""
+    usable = (
+        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & may_learn)
+        .select("doc_id", F.col("quality").cast("double").alias("label"))
+        .distinct()
+    )
+    known = usable.count()
+    share = 1.0 if known <= most else 0.95 * most / known
+    # bounded by ``most``, so it may be sent to every task; texts are not shuffled
+    drawn = usable.where(_share_below(share, "doc_id", F.lit(3)))
+    own = docs.select("doc_id", "text", "n_chars")  # other columns may have the names used here
+    met = own.select("doc_id").join(F.broadcast(drawn), "doc_id").count()
+    rows = own.join(F.broadcast(drawn), "doc_id")
+    if met > most:  # many rows of one id
+        rows = rows.where(_share_below(0.95 * most / met, "doc_id", "text", F.monotonically_increasing_id()))
+    return rows
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, may_learn: Column, max_labelled: int = 20_000, rounds: int = 6, parts: int = 6,
     rate: float = 0.1, decay: float = 1e-5,
 ) -> Machine:
     """The machine learned from ``labels`` (doc_id, quality) where ``may_learn`` holds of the id."""
     machine = Machine()
-    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & may_learn).select("doc_id", F.col("quality").cast("double").alias("label"))
-    known = usable.count()
-    share = 1.0 if known <= max_labelled else 0.95 * max_labelled / known
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
-    # drawn is bounded by max_labelled, so it may be sent to every task; texts are not shuffled
-    rows = docs.join(F.broadcast(drawn), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(parts)).cast("int"))
+    rows = _labelled(docs, labels, may_learn, max_labelled).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(parts)).cast("int"))
     table = cut_lineage(_features_table(rows, ["doc_id", "label", "part"]))
     spark = docs.sparkSession
     for turn in range(rounds):
@@ -214,22 +232,23 @@ def fit(
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str], name: str = "score") -> DataFrame:
-    """Columns ``keep`` of ``docs`` (text, n_chars, ...) and the score as ``name``; nothing is shuffled."""
+    """Columns ``keep`` of ``docs`` (text, n_chars, ...) and the score as ``name``; nothing is shuffled.
+
+    Only the text and its length go to the Python workers and only the score comes back.
+    """
     known = docs.sparkSession.sparkContext.broadcast(machine)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            for lo, hi, index, values, at in features(batch.column(0), batch.column(1)):
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, n_chars in batches:
+            out = np.zeros(len(texts))
+            for lo, hi, index, values, at in features(texts, n_chars):
                 margin, _ = known.value.margins(index, values, at)
-                scores[lo:hi] = 1 / (1 + np.exp(-np.clip(margin.astype(np.float64), -40, 40)))
-            kept = [batch.column(2 + k) for k in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores)], [*keep, name])
+                out[lo:hi] = 1 / (1 + np.exp(-np.clip(margin.astype(np.float64), -40, 40)))
+            yield pa.array(out)
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], f"{name} double"])
-    source = docs.select(F.col("text").cast("string"), F.col("n_chars").cast("long"), *[F.col(c).alias(f"_k{k}") for k, c in enumerate(keep)])
-    return source.mapInArrow(run, schema)
+    found = scores(F.col("text").cast("string"), F.col("n_chars").cast("long"))
+    return docs.select(*[F.col(f"`{c}`") for c in keep], found.alias(name))
 
 
 def held_out(of: int) -> Callable[[Column], Column]:
