@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from kindred.llm import decontaminate, jaccard_join, mixing, packing
 from kindred.llm.queries import quality_scores
-from kindred.llm.registry import table
-from kindred.session import cut_lineage, ship_package
+from kindred.llm.registry import prepared, table
+from kindred.session import cut_lineage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more."""
-    ship_package(spark)
+    prepared(spark)
     scored = quality_scores(docs, table(spark, sf_dir, "labels"), docs.columns, "_quality_score")
     return scored.where("_quality_score >= 0.5").select(*docs.columns)
 
@@ -43,7 +43,7 @@ def _numbered(rows: DataFrame, *order: Column) -> DataFrame:
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: the one that names it."""
-    ship_package(spark)
+    prepared(spark)
     found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     stay = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
@@ -53,14 +53,14 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found."""
-    ship_package(spark)
+    prepared(spark)
     leaks = decontaminate.find_leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return docs.join(cut_lineage(leaks.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it."""
-    ship_package(spark)
+    prepared(spark)
     mixed = mixing.mix_sources(docs.select("doc_id", "text", "source")).select("doc_id", "size", "copies")
     taken = _numbered(cut_lineage(mixed), F.col("size"), F.col("copies")).select(
         F.col("doc_id").alias("_id"), F.col("_nth").alias("_at"), F.col("copies").alias("_copies")
@@ -72,7 +72,7 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of packed token ids."""
-    ship_package(spark)
+    prepared(spark)
     return packing.pack_tokens(docs.select("doc_id", "text"))
 
 
