@@ -1,27 +1,32 @@
 """Main text of web pages by composite text density.
 
-A page is read into a tree of elements with the usual implied end tags. Every element has its
-number of characters, of tags, of characters inside links and of link tags; its composite density
-is characters per tag, adjusted by the share of links in it and in the page. The densities of an
-element's children (text of its own counts as a child) add up to its density sum, and the element
-with the largest sum is the core of the page. The smallest density on the path from the body to
-the core is the threshold. From the body down, every element that reaches it gives the subtree with
-the largest density sum in it, and so do lines of bare text; of elements below it nothing is taken. On a
-page without links the density is characters per tag. A core inside an article takes the whole article.
+A page is read into a tree of elements with the usual implied end tags. Every element has its number of characters,
+of tags, of characters inside links and of link tags; its composite density is characters per tag, adjusted by the
+share of links in it and in the page. The densities of what an element holds add up to its density sum; neighbouring
+text and inline elements are one line, which counts as one child with the density of the whole line, so that a long
+paragraph with much markup does not outweigh the container of all paragraphs. The element with the largest sum is
+the core of the page. The smallest density on the path from the body to the core is the threshold. From the body
+down, every element that reaches it gives the subtree with the largest density sum in it, and so do lines of bare
+text; of elements below it nothing is taken. On a page without links the density is characters per tag. The names
+``article`` and ``main`` do not decide what is taken; they only keep a header inside them, and a part that is named
+an advert from passing for the article beside it.
 
 Elements that are never part of an article (navigation, footers, forms, scripts, styles, their roles)
 and elements with a class or id that names an advert, sidebar, comments and the like are left out
 before the densities are taken, so that they cannot win and are not part of a winner. A class counts as
 a whole, by its last word (``top-ad``) or by its first before the name of a part (``ad-slot``), and not
 if it has a word of state or denial (``no-sidebar``, ``comments-open``). Paragraphs, headings, list items
-and cells go by advert names only. An element that holds most of the page's text outside links stays,
-unless an article stands beside it.
+and cells go by advert names only. An element with blocks in it that holds most of the page's text outside links is a
+wrapper and stays, unless an article stands beside it.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed
 and joined by one line break, empty blocks vanish; nothing else is dropped, and no page is cut off.
 
 Defined results: null, empty and text-free pages give the empty text; a page without any tag is one
-block of text; unclosed and stray tags are tolerated; repeated rows give equal results.
+block of text; unclosed and stray tags are tolerated; where the quotes of a tag run to the end of the page, quotes mean
+nothing from there on, and a ``<`` after the last ``>`` is text; a numeric reference beyond all characters is U+FFFD; of
+equal density sums the outer element wins; very long pages are read whole, in time proportional to their length; repeated
+rows give equal results; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -88,11 +94,13 @@ STATE_WORD = names(
 WORDING = names("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr caption figcaption b i em strong span u small mark code a")
 HEADERS = names("header")
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_OPENS = re.compile(r"[a-zA-Z]")
+_NAME = re.compile(r"[^\s/>]*")
+_STOP = re.compile(r"[>=]")
+_SPACE = re.compile(r"\s*")
+_ATTR = re.compile(r"([^\s=>\"'/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_ZEROS = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])")
+_HUGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 
 
 class Node:
@@ -116,130 +124,208 @@ def _says(token: str, dropped: frozenset[str]) -> bool:
     return words[-1] in dropped or (words[0] in dropped and all(x in dropped or x in PART_WORD for x in words[1:]))
 
 
-def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
+def decoded(raw: str) -> str:
+    """``raw`` with its character references decoded; numbers beyond all characters become U+FFFD."""
+    if "&" not in raw:
+        return raw
+    if "&#" in raw:
+        raw = _HUGE.sub("\ufffd", _ZEROS.sub(r"&#\1", raw))
+    return html.unescape(raw)
+
+
+def _attributes(raw: str) -> list[tuple[str, str]]:
+    """Names and values of the attributes that can name a part of a page."""
+    out = []
+    for name, a, b, c in _ATTR.findall(raw) if raw else ():
+        if (name := name.lower()) in ("class", "id", "role"):
+            out.append((name, a or b or c))
+    return out
+
+
+def _unwanted(tag: str, attributes: list[tuple[str, str]], inside_article: bool) -> bool:
     if tag in DROPPED or (tag in HEADERS and not inside_article):
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "article", "main"):
         return False
-    return any(kind.lower() == "role" and (a or b or c).lower().strip() in DROPPED_ROLE for kind, a, b, c in _ATTR.findall(attributes))
+    return any(kind == "role" and value.lower().strip() in DROPPED_ROLE for kind, value in attributes)
 
 
-def _named(tag: str, attributes: str) -> bool:
-    if not attributes or tag in ("html", "body", "article", "main"):
+def _named(tag: str, attributes: list[tuple[str, str]]) -> bool:
+    if tag in ("html", "body", "article", "main"):
         return False
     dropped = ADVERT_WORD if tag in WORDING else DROPPED_WORD
-    return any(kind.lower() != "role" and any(_says(x, dropped) for x in (a or b or c).split()) for kind, a, b, c in _ATTR.findall(attributes))
+    return any(kind != "role" and any(_says(x, dropped) for x in value.split()) for kind, value in attributes)
 
 
 def _prune(root: Node) -> None:
     """Takes out the elements named as no part of an article."""
-    order = [root]
-    for node in order:
-        order.extend(x for x in node.items if isinstance(x, Node))
+    order: list[Node] = []  # as the elements begin in the page
+    around: list[int] = []  # articles around each of them
+    todo = [(root, 0)]
+    while todo:
+        node, inside = todo.pop()
+        order.append(node)
+        around.append(inside)
+        inside += node.tag in ("article", "main")
+        todo.extend((x, inside) for x in reversed(node.items) if isinstance(x, Node))
     if not any(x.named for x in order):
         return
-    plain: dict[int, int] = {}  # characters outside links
-    for node in reversed(order):
-        own = sum(len(" ".join(x.split())) for x in node.items if isinstance(x, str))
-        plain[id(node)] = 0 if node.tag == "a" else own + sum(plain[id(x)] for x in node.items if isinstance(x, Node))
-
-    def up(node: Node) -> set[int]:
-        out = set()
-        while node is not None:
-            out.add(id(node))
-            node = node.parent
-        return out
-
-    articles = [(x, up(x)) for x in order if x.tag in ("article", "main") and plain[id(x)]]
-    gone: dict[int, tuple[Node, set[int]]] = {}  # by their parents
+    number = {id(x): k for k, x in enumerate(order)}
+    plain = [0] * len(order)  # characters outside links
+    last = list(range(len(order)))  # the last element inside each
+    for k in range(len(order) - 1, -1, -1):
+        for x in order[k].items:
+            if isinstance(x, str):
+                plain[k] += len(" ".join(x.split()))
+            else:
+                plain[k] += plain[number[id(x)]]
+                last[k] = max(last[k], last[number[id(x)]])
+        if order[k].tag == "a":
+            plain[k] = 0
+    told, blocks = [0], [0]  # articles with text, and blocks, among the first elements
+    for k, x in enumerate(order):
+        told.append(told[-1] + (x.tag in ("article", "main") and plain[k] > 0))
+        blocks.append(blocks[-1] + (x.tag in BLOCK))
+    gone = set()
+    for k, node in enumerate(order):
+        end = last[k] + 1
+        # a wrapper that holds most of the text stays, unless an article stands beside it
+        wrapper = 2 * plain[k] > plain[0] and blocks[end] > blocks[k + 1]
+        if node.named and not (wrapper and told[end] - told[k] + around[k] >= told[-1]):
+            gone.add(id(node))
     for node in order:
-        if not node.named:
-            continue
-        if 2 * plain[id(node)] > plain[id(root)]:
-            above = up(node)
-            if all(id(node) in outer or id(x) in above for x, outer in articles):
-                continue
-        gone.setdefault(id(node.parent), (node.parent, set()))[1].add(id(node))
-    for parent, items in gone.values():
-        parent.items = [x for x in parent.items if isinstance(x, str) or id(x) not in items]
+        if any(id(x) in gone for x in node.items):
+            node.items = [x for x in node.items if id(x) not in gone]
+
+
+class _Open:
+    """The open elements, with the heights at which each kind of element stands."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack = [root]
+        self.heights: dict[str, list[int]] = {root.tag: [0]}
+        self.blocks = [0]
+
+    def push(self, node: Node) -> None:
+        height = len(self.stack)
+        self.stack.append(node)
+        self.heights.setdefault(node.tag, []).append(height)
+        if node.tag in BLOCK:
+            self.blocks.append(height)
+
+    def pop_to(self, height: int) -> None:
+        while len(self.stack) > height:
+            tag = self.stack.pop().tag
+            self.heights[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def nearest(self, *tags: str) -> int:
+        """Height of the innermost open element of ``tags``, 0 if there is none."""
+        return max((self.heights[t][-1] for t in tags if self.heights.get(t)), default=0)
+
+    def lowest_above(self, tags: frozenset[str], limit: int) -> int:
+        """Height of the outermost open element of ``tags`` above ``limit``, 0 if there is none."""
+        found = [at[k] for t in tags if (at := self.heights.get(t)) and (k := bisect_right(at, limit)) < len(at)]
+        return min(found, default=0)
+
+    def close(self, tag: str) -> None:
+        """An end tag; those of lines do not reach out of cells, tables and articles."""
+        height = self.nearest(tag)
+        if height and (tag in BLOCK or self.nearest("td", "th", "table", "article", "main", "body") <= height):
+            self.pop_to(height)
+
+    def make_room(self, tag: str) -> None:
+        """Closes what the start tag ``tag`` closes."""
+        if tag in CLOSES_P and self.stack[self.blocks[-1]].tag == "p":
+            self.pop_to(self.blocks[-1])
+        if tag in IMPLIED:
+            closed, limit = IMPLIED[tag]
+            if lowest := self.lowest_above(closed, self.nearest(*limit)):
+                self.pop_to(lowest)
+
+
+def _tag_end(page: str, at: int, quotes: bool) -> int:
+    """Where the ``>`` of a start tag is, -1 if there is none; values in quotes may hold any character."""
+    if not quotes:
+        return page.find(">", at)
+    while found := _STOP.search(page, at):
+        if found[0] == ">":
+            return found.start()
+        at = _SPACE.match(page, found.end()).end()
+        if page[at : at + 1] in ('"', "'"):
+            at = page.find(page[at], at + 1) + 1
+            if not at:
+                return -1
+    return -1
 
 
 def parse(page: str) -> Node:
-    """The tree of what may be part of the article."""
-    root = Node("html", None)
-    stack, skip, at = [root], 0, 0  # skip: height of the stack at which an unwanted element began, or 0
-    articles = 0
+    """The tree of what may be part of the article, in time proportional to the page.
 
-    def pop_to(height: int) -> None:
-        nonlocal skip, articles
-        while len(stack) > height:
-            articles -= stack.pop().tag in ("article", "main")
-        if skip and len(stack) <= skip:
-            skip = 0
+    Every character is looked at a bounded number of times: the scan goes from one ``<`` to the next and never back.
+    Where the quotes of a tag run to the end of the page, quotes mean nothing from there on. A ``<`` after the last
+    ``>`` of the page is text.
+    """
+    root = Node("html", None)
+    open_ = _Open(root)
+    stack = open_.stack
+    skip = 0  # height of the stack at which an unwanted element began, or 0
+    at, end, last, quotes = 0, len(page), page.rfind(">"), True
 
     def text(raw: str) -> None:
         if raw and not skip:
-            stack[-1].items.append(html.unescape(raw) if "&" in raw else raw)
-
-    position, end = 0, len(page)
-    while position < end:
-        found = _TOKEN.search(page, position)
-        if not found:
-            break
-        text(page[at : found.start()])
-        at = position = found.end()
-        closing, tag = found[1], found[2] or found[4]
-        if closing:
-            closing = closing.lower()
-            for height in range(len(stack) - 1, 0, -1):
-                if stack[height].tag == closing:
-                    pop_to(height)
-                    break
-                if closing not in BLOCK and stack[height].tag in ("td", "th", "table", "article", "main", "body"):
-                    break
+            stack[-1].items.append(decoded(raw))
+
+    position = 0
+    while 0 <= (start := page.find("<", position)):
+        after = page[start + 1 : start + 2]
+        closing = after == "/" and _OPENS.match(page, start + 2)
+        if after in ("!", "?"):
+            comment = page.startswith("<!--", start)
+            stop = page.find("-->", start + 4) if comment else page.find(">", start + 2)
+            text(page[at:start])
+            at = position = end if stop < 0 else stop + (3 if comment else 1)
             continue
-        if not tag:
+        if start > last and not closing or not (closing or _OPENS.match(after)):
+            position = start + 1
             continue
-        tag, attributes = tag.lower(), found[3] or found[5] or ""
-        if tag in CLOSES_P:
-            for height in range(len(stack) - 1, 0, -1):
-                if stack[height].tag == "p":
-                    pop_to(height)
-                    break
-                if stack[height].tag in BLOCK:
-                    break
-        if tag in IMPLIED:
-            closed, limit = IMPLIED[tag]
-            lowest = 0
-            for height in range(len(stack) - 1, 0, -1):
-                if stack[height].tag in limit:
-                    break
-                if stack[height].tag in closed:
-                    lowest = height
-            if lowest:
-                pop_to(lowest)
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        name_end = _NAME.match(page, start + 1 + bool(closing)).end()
+        tag = page[start + 1 + bool(closing) : name_end].lower()
+        stop = page.find(">", name_end) if closing else _tag_end(page, name_end, quotes)
+        if stop < 0 and not closing:
+            quotes, stop = False, page.find(">", name_end)
+        text(page[at:start])
+        at = position = end if stop < 0 else stop + 1
+        if closing:
+            open_.close(tag)
+            if skip and len(stack) <= skip:
+                skip = 0
+            continue
+        raw_attributes = page[name_end:stop]
+        open_.make_room(tag)
+        if skip and len(stack) <= skip:
+            skip = 0
+        if tag in ("html", "body") and open_.heights.get(tag):
             continue
+        attributes = _attributes(raw_attributes)
         node = Node(tag, stack[-1])
         node.named = not skip and _named(tag, attributes)
-        unwanted = bool(skip) or _unwanted(tag, attributes, articles > 0)
+        unwanted = bool(skip) or _unwanted(tag, attributes, open_.nearest("article", "main") > 0)
         if not unwanted:
             stack[-1].items.append(node)
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+            found = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             if not unwanted and tag not in DROPPED:
-                node.items.append(html.unescape(page[at : stop.start() if stop else end]))
-            at = position = stop.start() if stop else end
-            if stop:
-                close = page.find(">", stop.start())
-                at = position = end if close < 0 else close + 1
+                node.items.append(decoded(page[at : found.start() if found else end]))
+            close = page.find(">", found.start()) if found else -1
+            at = position = end if close < 0 else close + 1
             continue
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag != "a":
+        if tag in VOID or raw_attributes.endswith("/") and tag not in BLOCK and tag != "a":
             continue
         if unwanted and not skip:
             skip = len(stack)
-        stack.append(node)
-        articles += tag in ("article", "main")
+        open_.push(node)
     text(page[at:])
     _prune(root)
     return root
@@ -254,28 +340,8 @@ def _density(c: int, tags: int, lc: int, link_tags: int, c_all: int, l_all: int)
     return max(c / max(tags, 1) * math.log(max(ratio, 1.0) + 1e-9) / max(math.log(base + 1e-9), 1e-3), 0.0)
 
 
-def _measure(root: Node) -> list[Node]:
-    """Counts, densities and density sums of all nodes; the nodes, parents first."""
-    order: list[Node] = [root]
-    for node in order:
-        order.extend(x for x in node.items if isinstance(x, Node))
-    for node in reversed(order):
-        own = sum(len(" ".join(x.split())) for x in node.items if isinstance(x, str))
-        node.chars += own
-        if node.tag == "a":
-            node.link_chars, node.link_tags = node.chars, node.tags + 1
-        if node.parent is not None:
-            up = node.parent
-            up.chars += node.chars
-            up.tags += node.tags + 1
-            up.link_chars += node.link_chars
-            up.link_tags += node.link_tags
-    page = (max(root.chars, 1), root.link_chars)
-    for node in order:
-        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, *page)
-    for node in order:
-        node.total = sum(x.density if isinstance(x, Node) else float(len(" ".join(x.split()))) for x in node.items)
-    return order
+def _width(text: str) -> int:
+    return len(" ".join(text.split()))
 
 
 def _lines(items: list[Node | str], inline: set[int]) -> Iterator[tuple[int, int]]:
@@ -291,30 +357,61 @@ def _lines(items: list[Node | str], inline: set[int]) -> Iterator[tuple[int, int
         yield start, len(items)
 
 
-def _chosen(root: Node, order: list[Node]) -> list[Node | str | None]:
+class Measured:
+    """Counts, densities and density sums of all elements of a page; a line of text counts as one child."""
+
+    def __init__(self, root: Node) -> None:
+        self.root = root
+        self.order: list[Node] = [root]  # parents first
+        for node in self.order:
+            self.order.extend(x for x in node.items if isinstance(x, Node))
+        self.inline: set[int] = set()  # elements without a block in them
+        for node in reversed(self.order):
+            if node.tag not in BLOCK and all(isinstance(x, str) or id(x) in self.inline for x in node.items):
+                self.inline.add(id(node))
+            node.chars += sum(_width(x) for x in node.items if isinstance(x, str))
+            if node.tag == "a":
+                node.link_chars, node.link_tags = node.chars, node.tags + 1
+            if node.parent is not None:
+                up = node.parent
+                up.chars += node.chars
+                up.tags += node.tags + 1
+                up.link_chars += node.link_chars
+                up.link_tags += node.link_tags
+        self.page = (max(root.chars, 1), root.link_chars)
+        for node in self.order:
+            node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, *self.page)
+        for node in self.order:
+            node.total = sum(self.line(node.items[lo:hi])[0] for lo, hi in _lines(node.items, self.inline))
+
+    def line(self, items: list[Node | str]) -> tuple[float, int, int]:
+        """Density, characters and characters in links of a block or of a line."""
+        if isinstance(items[0], Node) and id(items[0]) not in self.inline:
+            return items[0].density, items[0].chars, items[0].link_chars
+        nodes = [x for x in items if isinstance(x, Node)]
+        c = _width("".join(x for x in items if isinstance(x, str))) + sum(x.chars for x in nodes)
+        lc = sum(x.link_chars for x in nodes)
+        return _density(c, sum(x.tags + 1 for x in nodes), lc, sum(x.link_tags for x in nodes), *self.page), c, lc
+
+
+def _chosen(page: Measured) -> list[Node | str | None]:
     """What makes up the main text, in page order."""
-    core = max(order, key=lambda x: x.total)  # of equal sums the first, which is the outer one
-    at, path = core, []
+    root, inline = page.root, page.inline
+    # of equal sums the first, which is the outer one; a line is taken whole
+    core = max((x for x in page.order if id(x) not in inline), key=lambda x: x.total, default=root)
+    if not core.total or core is root:
+        return [root]
+    path, at = [], core
     while at is not None:
         path.append(at)
         at = at.parent
-    for node in path:
-        if node.tag in ("article", "main"):
-            return [node]
-    inline: set[int] = set()  # elements without a block in them
     best: dict[int, Node] = {}  # the subtree with the largest sum, of equal ones the outer
-    for node in reversed(order):
-        inside = [x for x in node.items if isinstance(x, Node)]
-        if node.tag not in BLOCK and all(id(x) in inline for x in inside):
-            inline.add(id(node))
-        best[id(node)] = max([node, *(best[id(x)] for x in inside)], key=lambda x: x.total)
-    while id(core) in inline:  # a line is taken whole
-        core = core.parent
-    if not core.total or core is root:
-        return [root]
+    for node in reversed(page.order):
+        if id(node) not in inline:
+            inside = (best[id(x)] for x in node.items if isinstance(x, Node) and id(x) not in inline)
+            best[id(node)] = max([node, *inside], key=lambda x: x.total)
     below = [x for x in path if x is not root] if any(x.tag == "body" for x in path) else path
     threshold = min(x.density for x in below)
-    page = (max(root.chars, 1), root.link_chars)
     marked, taken = {id(core)}, set()  # elements, and single items of other elements
     todo: list[Node] = [root]
     while todo:
@@ -322,7 +419,7 @@ def _chosen(root: Node, order: list[Node]) -> list[Node | str | None]:
         if id(node) in marked or node is not root and (not node.chars or node.density < threshold):
             continue
         densest = best[id(node)]
-        if id(densest) not in inline and 2 * densest.link_chars < densest.chars:
+        if 2 * densest.link_chars < densest.chars:
             marked.add(id(densest))
         if id(node) in marked:
             continue
@@ -331,11 +428,8 @@ def _chosen(root: Node, order: list[Node]) -> list[Node | str | None]:
             if isinstance(line[0], Node) and id(line[0]) not in inline:
                 todo.append(line[0])
                 continue
-            nodes = [x for x in line if isinstance(x, Node)]
-            c = len(" ".join("".join(x for x in line if isinstance(x, str)).split())) + sum(x.chars for x in nodes)
-            lc = sum(x.link_chars for x in nodes)
-            tags, link_tags = sum(x.tags + 1 for x in nodes), sum(x.link_tags for x in nodes)
-            if c and 2 * lc < c and _density(c, tags, lc, link_tags, *page) >= threshold:
+            density, c, lc = page.line(line)
+            if c and 2 * lc < c and density >= threshold:
                 taken.update((id(node), k) for k in range(lo, hi))
     picked: list[Node | str | None] = []  # None ends a line
     walk: list[tuple[Node | str | None, bool]] = [(root, False)]
@@ -384,9 +478,8 @@ def main_text(page: str | None) -> str:
     """The article of one page."""
     if not page:
         return ""
-    root = parse(page)
-    order = _measure(root)
-    return "\n".join(_blocks(_chosen(root, order))) if root.chars else ""
+    measured = Measured(parse(page))
+    return "\n".join(_blocks(_chosen(measured))) if measured.root.chars else ""
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

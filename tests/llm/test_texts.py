@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -122,6 +123,39 @@ def test_given_pages_keep_their_articles(spark):
         assert html_extract.main_text(row.html) == "\n".join(b for b in blocks if b)
 
 
+def test_densities_decide_without_article_tags(spark):
+    """The names ``article`` and ``main`` taken away, every given page gives the same text."""
+    for row in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect():
+        assert html_extract.main_text(re.sub(r"(</?)(article|main)\b", r"\1div", row.html)) == html_extract.main_text(row.html)
+
+
+HOSTILE = ("<a", '<a href="', "<div class=ad>", "<div>", "<li>", "<b><table><i>", "<div><li>", "<p><b>", '<a x=">" ', "<!", "<!--", "<script>", "&#9", "<td>", "<a x='>")
+
+
+@pytest.mark.parametrize("pattern", HOSTILE)
+def test_hostile_pages_take_linear_time(pattern):
+    """Four times the page takes about four times as long; a quadratic scan would take sixteen times."""
+    def seconds(size):
+        page = pattern * (size // len(pattern))
+        begin = time.perf_counter()
+        for end in ("", ">", "</b>" * (size // 8)):
+            html_extract.main_text(page + end)
+        return time.perf_counter() - begin
+
+    assert seconds(1 << 18) < 9 * max(seconds(1 << 16), 0.05)
+
+
+def test_numbers_beyond_all_characters():
+    assert html_extract.main_text("<p>&#" + "9" * 6000 + "; &#0000065;&#x0041; &amp;") == "\ufffd AA &"
+
+
+def test_attributes_are_read_in_order():
+    """A quoted value holds no other attribute, and an apostrophe in a tag is no quote."""
+    body = "<p>Words of the article, a good many of them.</p>" * 3
+    for tag in ("<div title=\"x class='ad' y\">", "<div don't>", "<div data-x='a>b'>"):
+        assert html_extract.main_text(f"<body>{tag}{body}</div><p>It isn't.</p>").startswith("Words of the article")
+
+
 def docs_frame(spark, rows):
     ship_package(spark)
     return spark.createDataFrame(
