@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,3 +68,15 @@ def nested_truth(flat: DataFrame) -> DataFrame:
         )
 
     return flat.select(F.array(side("a"), side("b")).alias("pairs"), (F.col("label") == 1).alias("match"))
+
+
+def write_truth(nested: DataFrame, path: str) -> None:
+    """Nested labelled pairs as JSON documents, one per line, as :func:`read_truth` reads them."""
+    record = F.struct("pairs", "match")
+    document = F.to_json(F.struct(F.array(record).alias("ground_truth")), {"ignoreNullFields": "false"})
+    nested.select(document.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    """Flat labelled pairs of a folder of JSON documents."""
+    return flatten_truth(spark.read.text(path), "value")

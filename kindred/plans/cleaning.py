@@ -8,6 +8,7 @@ from kindred.functions import cleaning as c
 from kindred.operators import text as t
 from kindred.operators import truth as g
 from kindred.plans.registry import query, view
+from kindred.session import workspace
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
@@ -249,3 +250,11 @@ _SIDE = """{{'company-name': company_{s}, 'industry': string_split(industry_{s},
 def gt_nested_export(spark, sf):
     nested = g.nested_truth(g.flatten_truth(truth_documents(spark, sf)))
     return nested.select(F.to_json("pairs").alias("pairs"), F.col("match").alias("is_match"))
+
+
+@query("gt_nested_file", _FLAT)
+def gt_nested_file(spark, sf):
+    """The nested truth written as JSON documents, read again and flattened."""
+    path = workspace(spark, "truth")
+    g.write_truth(g.nested_truth(g.flatten_truth(truth_documents(spark, sf))), path)
+    return g.read_truth(spark, path)

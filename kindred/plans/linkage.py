@@ -18,6 +18,7 @@ from kindred.operators.sampling import every_nth, top_pairs
 from kindred.operators.tfidf import canopies, similar_texts
 from kindred.plans.registry import query, table, view
 from kindred.session import workspace
+from kindred.sources.readers import read_pair_table
 from kindred.sources.writers import write_pairs
 
 # ---------------------------------------------------------------- joins
@@ -543,8 +544,7 @@ def export_blocked_pairs(spark, sf):
     found = mt.export_blocked_pairs(view(spark, sf, "entities"), _COLS, _THREE, rule, "company_name")
     path = workspace(spark, "blocked") + ".tsv"
     write_pairs(found, path)
-    schema = "id long, sentence1 string, sentence2 string, label string, n_pairs long"
-    return spark.read.schema(schema).option("header", "true").option("sep", "\t").option("quote", "").csv(path)
+    return read_pair_table(spark, path, "id long, sentence1 string, sentence2 string, label string, n_pairs long")
 
 
 @query(

@@ -89,7 +89,29 @@ def src_pairs_4col(spark, sf):
     name = F.when(F.col("id") % 7 == 0, F.lit("id")).otherwise(F.col("id").cast("string"))
     rows = _turn_lines(spark, sf).select(name.alias("pair"), "text_a", "text_b", "label")  # a header of its own
     w.write_pairs(rows, f"{path}/train")
-    return r.read_splits(spark, {"train": f"{path}/train", "test": f"{path}/train"})
+    return r.read_splits(spark, {"train": f"{path}/train", "test": f"{path}/train"}, escaped=True)
+
+
+@query(
+    "sink_pairs_dirty",
+    """SELECT rec_id, CASE rec_id % 7 WHEN 0 THEN raw_name || chr(9) || 'x' || chr(10) || 'y' WHEN 1 THEN '' WHEN 2 THEN NULL
+              WHEN 3 THEN chr(92) || 't' || raw_name || chr(92) WHEN 4 THEN chr(13) || raw_name || '"' || chr(39) ELSE raw_name END AS sentence1,
+              raw_type || chr(92) || chr(92) || 'n' || chr(92) || chr(9) AS sentence2, size FROM {dirty}""",
+)
+def sink_pairs_dirty(spark, sf):
+    """Tabs, line breaks, quotes, backslashes, empty and missing texts survive a pair file."""
+    path = workspace(spark, "dirty-pairs")
+    name, kind = F.col("raw_name"), F.col("rec_id") % 7
+    odd = (
+        F.when(kind == 0, F.concat(name, F.lit("\tx\ny"))).when(kind == 1, F.lit("")).when(kind == 2, F.lit(None))
+        .when(kind == 3, F.concat(F.lit("\\t"), name, F.lit("\\"))).when(kind == 4, F.concat(F.lit("\r"), name, F.lit("\"'"))).otherwise(name)
+    )
+    rows = view(spark, sf, "dirty").select(
+        "rec_id", odd.alias("sentence1"), F.concat("raw_type", F.lit("\\\\n\\\t")).alias("sentence2"), "size"
+    )
+    w.write_pairs(rows, path)
+    kinds = dict(rows.dtypes)
+    return r.read_pair_table(spark, path, ", ".join(f"{c} {kinds[c]}" for c in rows.columns))
 
 
 @query(
@@ -138,7 +160,7 @@ def src_pairs_6col(spark, sf):
     w.write_pairs(rows, f"{path}/dev")
     # the test file has no labels: the dev file stands in for it
     w.write_pairs(rows.select("id", "question1", "question2"), f"{path}/test")
-    return r.read_splits(spark, {"train": f"{path}/dev", "dev": f"{path}/dev", "test": f"{path}/test"}, layout=6)
+    return r.read_splits(spark, {"train": f"{path}/dev", "dev": f"{path}/dev", "test": f"{path}/test"}, layout=6, escaped=True)
 
 
 @query(

@@ -169,3 +169,26 @@ def test_preview_and_head(spark):
     assert len(got) == 14 and got[0].row == '{"id":0}'
     assert [x.id for x in r.first_lines(spark.range(9), 3, "id").collect()] == [0, 1]
     assert r.first_lines(spark.range(9), 0, "id").count() == 0
+
+
+ODD_TEXTS = ["plain", "a\tb", "x\ny", "c\rd", "\r\n", "", None, '"quoted"', "it's", "back\\slash", "\\", "\\\\", "\\t", "\\N", "\\\tt", "\x00\x01", " lead", "trail ", "\t", "\\n\n", "é\U0001f600"]
+
+
+def test_pair_lines_lose_nothing(spark, tmp_path):
+    rows = [(k, a, b, 1 if k % 2 else None) for k, (a, b) in enumerate((a, b) for a in ODD_TEXTS for b in ODD_TEXTS)]
+    schema = "id long, sentence1 string, sentence2 string, label int"
+    w.write_pairs(spark.createDataFrame(rows, schema).repartition(3), str(tmp_path / "odd"))
+    back = r.read_pair_table(spark, str(tmp_path / "odd"), schema)
+    assert back.dtypes == [("id", "bigint"), ("sentence1", "string"), ("sentence2", "string"), ("label", "int")]
+    assert sorted(map(tuple, back.collect()), key=lambda x: x[0]) == rows
+    assert r.rejected_pairs(spark, str(tmp_path / "odd")).collect() == []
+    four = r.read_pairs(spark, str(tmp_path / "odd"), "dev", escaped=True).collect()
+    assert sorted((x.text_a or "", x.text_b or "") for x in four) == sorted((a or "", b or "") for _, a, b, _ in rows)
+
+
+def test_truth_is_written_and_read(spark, tmp_path):
+    rows = [("A \"q\"", "x; y", "DE", "s1", "B\n", "", "", "s2", 1), ("UNKNOWN", "", "FR", "", "C", "z", "", "s3", 0)]
+    cols = [f"{c}_{s}" for s in "ab" for c in ("company", "industry", "country", "source")]
+    flat = spark.createDataFrame(rows, ", ".join([*(f"{c} string" for c in cols), "label int"]))
+    g.write_truth(g.nested_truth(flat), str(tmp_path / "truth"))
+    assert sorted(map(tuple, g.read_truth(spark, str(tmp_path / "truth")).collect())) == sorted(rows)
