@@ -22,6 +22,7 @@ from kindred.functions.strings import Encoded, distinct_pairs
 from kindred.session import cut_lineage
 
 TILE_ROWS = 2048
+FEW_BLOCKS = 10_000  # as many hot blocks may be broadcast
 _STEP_PAIRS = 1_000_000
 
 
@@ -45,17 +46,24 @@ class Kernel:
         raise NotImplementedError
 
 
-def tile(df: DataFrame, block: str, row_id: str, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Give every row the units it takes part in: ``_ti``, ``_tj`` and its ``_side``."""
+def tile(df: DataFrame, block: str, row_id: str, tile_rows: int = TILE_ROWS, keys: DataFrame | None = None) -> DataFrame:
+    """Give every row the units it takes part in: ``_ti``, ``_tj`` and its ``_side``.
+
+    ``keys`` has the ``block`` of every row of ``df`` and is cheap to read; without it the rows are written
+    first, as they are read twice: for the sizes of their blocks and for the pairs.
+    """
     present = df.filter(F.col(block).isNotNull())
-    large = (
-        present.groupBy(F.col(block).alias("_large"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > tile_rows)
-        .select("_large", F.ceil(F.col("_n") / _rows_per_tile(F.col("_n"), tile_rows)).cast("int").alias("_tiles"))
-    )
-    large = small_side(cut_lineage(large))  # the rows of a hot block are not brought together to learn its size
-    spread = present.join(large, F.col(block) == F.col("_large"), "left").drop("_large")
+    if keys is None:
+        present = keys = cut_lineage(present)
+    sizes = keys.groupBy(F.col(block).alias("_large")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > tile_rows)
+    parts = F.ceil(F.col("_n") / _rows_per_tile(F.col("_n"), tile_rows)).cast("int")
+    # a written table: the rows of a hot block are not brought together to learn its size
+    large = cut_lineage(sizes.select("_large", parts.alias("_tiles")))
+    found = large.limit(FEW_BLOCKS + 1).count()
+    if not found:
+        return present.withColumns({c: F.lit(0) for c in ("_ti", "_tj", "_side")})
+    known = F.broadcast(large) if found <= FEW_BLOCKS else large
+    spread = present.join(known, F.col(block) == F.col("_large"), "left").drop("_large")
     tiles = F.coalesce(F.col("_tiles"), F.lit(1))
     own = F.pmod(F.xxhash64(row_id), tiles).cast("int")
     return (
@@ -68,11 +76,6 @@ def tile(df: DataFrame, block: str, row_id: str, tile_rows: int = TILE_ROWS) ->
     )
 
 
-def small_side(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """``df`` marked for broadcast if it is counted to have at most ``most`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def _rows_per_tile(n: Column, tile_rows: int) -> Column:
     """Tiles grow with the square root of the block, up to eight times: every row is sent once
     per tile of its block, so larger tiles keep the shuffle of a very large block down."""
@@ -145,17 +148,19 @@ def similar_pairs(
     block: str = "block",
     row_id: str = "rec_id",
     tile_rows: int = TILE_ROWS,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs of rows of one block that pass ``kernel``, each with ``id_left < id_right``.
 
-    A pair that shares several blocks comes once per block; callers remove repeats.
+    A pair that shares several blocks comes once per block unless the kernel knows better; callers remove
+    repeats. ``keys``: see :func:`tile`.
     """
     id_type = df.schema[row_id].dataType
     schema = T.StructType(
         [T.StructField("id_left", id_type), T.StructField("id_right", id_type), *kernel.fields]
     )
     units = (
-        tile(df, block, row_id, tile_rows)
+        tile(df, block, row_id, tile_rows, keys)
         .repartition(stage_tasks(df), block, "_ti", "_tj")
         .sortWithinPartitions(block, "_ti", "_tj", "_side", row_id)
     )

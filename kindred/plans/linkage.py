@@ -17,7 +17,7 @@ from kindred.operators.ranking import row_index, sortable_long
 from kindred.operators.sampling import every_nth, top_pairs
 from kindred.operators.tfidf import canopies, similar_texts
 from kindred.plans.registry import query, table, view
-from kindred.session import workspace
+from kindred.session import cut_lineage, workspace
 from kindred.sources.readers import read_pair_table
 from kindred.sources.writers import write_pairs
 
@@ -562,7 +562,7 @@ def export_blocked_pairs(spark, sf):
 def match_canopy(spark, sf):
     """Linkage with canopies as blocks."""
     rows = view(spark, sf, "entities").withColumn("name", normalize_name("company_name"))
-    names = mt.profiles(rows.select("rec_id", "name"), ["name"])
+    names = cut_lineage(mt.profiles(rows.select("rec_id", "name"), ["name"]))
     members = canopies(names, "name", copies="n_records").join(names.select("rec_id", "name"), "rec_id")
     given = b.Given(members.select("name", F.col("canopy").cast("string").alias("key")), "name")
     rule = mt.band_or_similar("company_name", "industry", "country")

@@ -123,6 +123,33 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("local", [0, 3, 10**6])
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch, local):
+    """The same labels whether a task finishes the rest or rounds go on to the end, and with many small forests."""
+    import random
+
+    from kindred.operators import components
+
+    monkeypatch.setattr(components, "FOREST_NODES", 20)
+    rng = random.Random(local)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(500 + k, 501 + k) for k in range(40)] + [(9, 9), (700, 700)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            up[max(root(a), root(b))] = min(root(a), root(b))
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    got = [(r.node, r.component) for r in connected_components(df, local).collect()]
+    assert sorted(got) == sorted((x, root(x)) for x in up)
+    named = df.selectExpr("concat('n', 1000 + a) AS a", "concat('n', 1000 + b) AS b")
+    assert sorted((r.node, r.component) for r in connected_components(named, local).collect()) == sorted((f"n{1000 + x}", f"n{1000 + root(x)}") for x in up)
+
+
 @pytest.mark.parametrize("local", [100_000, 4])
 @pytest.mark.parametrize("loose,tight", [(0.5, 0.3), (0.3, 0.7)])
 def test_canopies_equal_one_by_one(spark, loose, tight, local):
