@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.operators.components import connected_components
+from kindred.llm.closure import connected_components
 from kindred.llm.text import mix, shingle_sets
 from kindred.session import cut_lineage
 
