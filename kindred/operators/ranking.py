@@ -9,6 +9,9 @@ value held by a third of all rows is spread over several ranges too.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +19,9 @@ from kindred.functions.cleaning import as_column
 from kindred.session import cut_lineage
 
 SAMPLE_PER_RANGE = 24
-POINT_CHARS = 256
+POINT_CHARS, MOST_POINT_CHARS = 256, 1 << 16
+SAMPLE_CHARS = 1 << 22
+PREFIX_DIGITS = 4  # a class is counted in 16^4 parts by the first digits of its hash order
 MAX_CLASSES = 10_000
 _GROUP = 32
 _CUT = "\x01"
@@ -38,24 +43,34 @@ def ranges_for(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _told_apart(before: str, key: str) -> str:
+    """The shortest beginning of ``key`` that sorts after ``before``."""
+    same = next((k for k, (x, y) in enumerate(zip(before, key, strict=False)) if x != y), min(len(before), len(key)))
+    return key[: same + 1]
+
+
 def split_points(df: DataFrame, key: str, ranges: int) -> list[str]:
     """Split points of ``key``: beginnings of the keys of the rows with the smallest hashes.
 
-    The sample is bounded in rows and in bytes. Where a key holds the character that separates points
-    in the plan, the part before it is the point.
+    The sample is bounded in rows and in bytes: of every key the first ``POINT_CHARS`` characters are read, and four
+    times as many, up to ``MOST_POINT_CHARS``, as long as different keys begin alike. A point is as long as it must
+    be to differ from the sampled key before it. Where a key holds the character that separates points in the
+    plan, the part before it is the point.
     """
-    sample = (
-        df.select(key)
-        .filter(F.col(key).isNotNull())
-        .orderBy(F.xxhash64(key), key)
-        .limit(ranges * SAMPLE_PER_RANGE)
-        .select(F.substring(key, 1, POINT_CHARS))
-    )
-    keys = sorted({row[0].split(_CUT)[0] for row in sample.collect()}, key=lambda k: k.encode())
+    rows, width = ranges * SAMPLE_PER_RANGE, POINT_CHARS
+    smallest = df.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key)
+    while True:
+        sample = smallest.limit(rows).select(F.substring(key, 1, width), F.xxhash64(key)).collect()
+        keys = sorted({row[0].split(_CUT)[0] for row in sample}, key=lambda k: k.encode())
+        if 2 * len(keys) >= len({row[1] for row in sample}) or width >= MOST_POINT_CHARS:
+            break
+        width = 4 * width
+        rows = max(2 * ranges, min(rows, SAMPLE_CHARS // width))
     if not keys:
         return []
     step = len(keys) / ranges
-    return sorted({keys[int(k * step)] for k in range(1, ranges)}, key=lambda k: k.encode())
+    chosen = {_told_apart(keys[at - 1] if at else "", keys[at]) for at in (int(k * step) for k in range(1, ranges))}
+    return sorted(chosen, key=lambda k: k.encode())
 
 
 def range_of(key: Column, points: list[str]) -> Column:
@@ -80,16 +95,13 @@ def global_row_number(df: DataFrame, key: str, out: str = "rank") -> DataFrame:
     """Add the 1-based position of every row in the order of ``key`` (a unique text column)."""
     points = split_points(df, key, ranges_for(df))
     ranged = df.withColumn("_range", range_of(F.col(key), points))
-    # one row per range, so the running total and the broadcast are bounded
-    sizes = df.select(range_of(F.col(key), points).alias("_range")).groupBy("_range").count()
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    # one number per range, so they may be part of the plan
+    sizes = df.select(range_of(F.col(key), points).alias("_range")).groupBy("_range").count().collect()
+    counted = {r["_range"]: r["count"] for r in sizes}
+    before = [0, *accumulate(counted.get(k, 0) for k in range(len(points)))]
     inside = Window.partitionBy("_range").orderBy(key)
-    return (
-        ranged.join(F.broadcast(offsets), "_range")
-        .withColumn(out, (F.row_number().over(inside) + F.col("_before")).cast("long"))
-        .drop("_range", "_before")
-    )
+    offset = F.get(F.array(*[F.lit(n).cast("long") for n in before]), F.col("_range"))
+    return ranged.withColumn(out, (F.row_number().over(inside) + offset).cast("long")).drop("_range")
 
 
 def rank_values(df: DataFrame, col: str, out: str = "rank") -> DataFrame:
@@ -126,3 +138,43 @@ def rank_within(df: DataFrame, group: str, order: Column, out: str = "rank", siz
         ranked = ranked.withColumn(size, F.col("_size"))
     return ranked.drop("_class", "_size", "_start", "_position")
 
+
+def rank_bands(df: DataFrame, group: str | None, order: Column, cuts: Callable[[DataFrame], list[Column]], out: str = "band") -> DataFrame:
+    """Which of the ranks ``cuts`` (ascending) a row's rank inside its class exceeds: 0 for none, 1 for the first, ...
+
+    ``order`` is a text that is unique inside a class and begins with evenly spread hexadecimal digits (a hash). Nothing
+    is sorted as a whole: rows are counted by class and first digits, which tells in which part of a class a cut
+    falls, and only the rows of those parts are ranked. ``cuts`` gives expressions over ``n``, the rows of the class;
+    it is handed the table of ``n`` per class for sizes of other classes.
+    """
+    name = F.col(group) if group else F.lit(0)
+    rows = df.withColumns({"_class": name, "_order": order}).withColumn("_part", F.substring("_order", 1, PREFIX_DIGITS))
+    # a written table of at most 16^4 rows per class; copies of a class are combined before they move
+    counts = cut_lineage(rows.groupBy("_class", "_part").agg(F.count(F.lit(1)).alias("_rows")))
+    sizes = counts.groupBy("_class").agg(F.sum("_rows").alias("n"))
+    wanted = cuts(sizes.withColumnRenamed("_class", group) if group else sizes)
+    upto = Window.partitionBy("_class").orderBy("_part")
+    placed = counts.withColumns({"_upto": F.sum("_rows").over(upto), "n": F.sum("_rows").over(Window.partitionBy("_class"))})
+    # of every cut the part it falls into and how many of that part's rows come before it
+    every = placed.select("_class", "_part", "_rows", "_upto", F.posexplode(F.array(*[c.cast("long") for c in wanted])).alias("_k", "_cut"))
+    met = every.where("_upto >= _cut").groupBy("_class", "_k").agg(
+        F.min(F.struct("_part", (F.col("_cut") - F.col("_upto") + F.col("_rows")).alias("inside"), F.col("_rows").alias("rows"))).alias("at")
+    )
+    bounds = cut_lineage(met.groupBy("_class").agg(F.collect_list("at").alias("_bounds")).withColumnRenamed("_class", "_of"))
+    if bounds.limit(MAX_CLASSES + 1).count() <= MAX_CLASSES:
+        bounds = F.broadcast(bounds)
+    joined = rows.join(bounds, F.col("_class").eqNullSafe(F.col("_of")), "left").drop("_of")
+    part = F.col("_part")
+    tied = F.coalesce(F.exists("_bounds", lambda b: (b["_part"] == part) & (b["inside"] > 0) & (b["inside"] < b["rows"])), F.lit(False))
+
+    def beyond(rank: Column | None) -> Column:
+        def passed(b: Column) -> Column:
+            here = b["inside"] <= 0 if rank is None else b["inside"] < rank
+            return (part > b["_part"]) | ((part == b["_part"]) & here)
+
+        return F.when(F.col("_bounds").isNull(), 0).otherwise(F.size(F.filter("_bounds", passed)))
+
+    whole = joined.filter(~tied).withColumn(out, beyond(None))
+    rank = F.row_number().over(Window.partitionBy("_class", "_part").orderBy("_order"))
+    cut = joined.filter(tied).withColumn("_rank", rank).withColumn(out, beyond(F.col("_rank"))).drop("_rank")
+    return whole.unionByName(cut).drop("_class", "_order", "_part", "_bounds")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.operators.ranking import global_row_number, rank_within, row_index, sortable_long
+from kindred.operators.ranking import rank_bands, row_index, sortable_long
 
 SEED = 42
 
@@ -22,16 +22,10 @@ def _unique_order(row_id: str, seed: int) -> Column:
     return F.concat_ws(":", hash_order(row_id, seed), F.col(row_id).cast("string"))
 
 
-def _label_count(df: DataFrame, label: str, value: int) -> Column:
-    """Number of rows of one label, as a scalar subquery."""
-    return df.agg(F.count(F.when(F.col(label) == value, 1)).alias("n")).scalar()
-
-
 def balanced(df: DataFrame, label: str, row_id: str, seed: int = SEED) -> DataFrame:
     """As many rows of every label as the rarest label has."""
-    smallest = df.groupBy(label).count().agg(F.min("count").alias("n")).scalar()
-    ranked = rank_within(df, label, _unique_order(row_id, seed), "_rank")
-    return ranked.filter(F.col("_rank") <= smallest).drop("_rank")
+    bands = rank_bands(df, label, _unique_order(row_id, seed), lambda sizes: [sizes.agg(F.min("n")).scalar()], "_band")
+    return bands.filter("_band = 0").drop("_band")
 
 
 def shuffled(df: DataFrame, row_id: str, seed: int = SEED) -> DataFrame:
@@ -40,9 +34,13 @@ def shuffled(df: DataFrame, row_id: str, seed: int = SEED) -> DataFrame:
 
 def capped_negatives(df: DataFrame, label: str, row_id: str, times: int = 5, seed: int = SEED) -> DataFrame:
     """All rows of label 1 and at most ``times`` as many of label 0."""
-    room = _label_count(df, label, 1) * times
-    ranked = rank_within(df.filter(F.col(label).isin(0, 1)), label, _unique_order(row_id, seed), "_rank")
-    return ranked.filter((F.col(label) == 1) | (F.col("_rank") <= room)).drop("_rank")
+
+    def room(sizes: DataFrame) -> list[Column]:
+        positives = sizes.filter(F.col(label) == 1).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+        return [positives * times]
+
+    bands = rank_bands(df.filter(F.col(label).isin(0, 1)), label, _unique_order(row_id, seed), room, "_band")
+    return bands.filter((F.col(label) == 1) | (F.col("_band") == 0)).drop("_band")
 
 
 def split_random(
@@ -62,21 +60,22 @@ def split_random(
 
 def split_exact(df: DataFrame, row_id: str, held_out: float = 0.2, seed: int = SEED) -> DataFrame:
     """Split with exact sizes: the held-out share, rounded up, is halved into valid and test."""
-    ranked = global_row_number(df.withColumn("_key", _unique_order(row_id, seed)), "_key", "_rank").drop("_key")
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return _by_rank(ranked.withColumn("_n", total), held_out)
+    return _split_by_rank(df, None, row_id, held_out, seed)
 
 
 def split_stratified(df: DataFrame, label: str, row_id: str, held_out: float = 0.4, seed: int = SEED) -> DataFrame:
     """:func:`split_exact` inside every label."""
-    return _by_rank(rank_within(df, label, _unique_order(row_id, seed), "_rank", size="_n"), held_out)
+    return _split_by_rank(df, label, row_id, held_out, seed)
+
 
+def _split_by_rank(df: DataFrame, label: str | None, row_id: str, held_out: float, seed: int) -> DataFrame:
+    def cuts(sizes: DataFrame) -> list[Column]:
+        held = F.ceil(F.round(F.col("n") * F.lit(held_out), 6))
+        return [F.col("n") - held, F.col("n") - F.ceil(held / 2)]
 
-def _by_rank(ranked: DataFrame, held_out: float) -> DataFrame:
-    held = F.ceil(F.round(F.col("_n") * F.lit(held_out), 6))
-    test = F.ceil(held / 2)
-    name = F.when(F.col("_rank") <= F.col("_n") - held, "train").when(F.col("_rank") <= F.col("_n") - test, "valid")
-    return ranked.withColumn("split", name.otherwise("test")).drop("_rank", "_n")
+    bands = rank_bands(df, label, _unique_order(row_id, seed), cuts, "_band")
+    name = F.when(F.col("_band") == 0, "train").when(F.col("_band") == 1, "valid").otherwise("test")
+    return bands.withColumn("split", name).drop("_band")
 
 
 def split_modulo(df: DataFrame, index: str) -> DataFrame:

@@ -190,3 +190,43 @@ def test_split_points_are_bounded(spark):
     assert len(points) == 3 and all(len(p) <= ranking.POINT_CHARS for p in points)
     got = ranking.global_row_number(df, "k").orderBy("k").collect()
     assert [r["rank"] for r in got] == list(range(1, 61))
+
+
+def test_keys_that_begin_alike_are_spread(spark):
+    """300 common characters, a long class name and values that differ only far behind: no range takes nearly all rows."""
+    common = "same beginning " * 20
+    df = spark.range(4000).select("id", F.concat(F.lit(common), F.lpad(F.col("id").cast("string"), 6, "0")).alias("k"))
+    points = rk.split_points(df, "k", 8)
+    assert len(points) == 7 and all(len(p) <= len(common) + 6 for p in points)
+    rows = [r["count"] for r in df.groupBy(rk.range_of(F.col("k"), points).alias("r")).count().collect()]
+    assert len(rows) == 8 and max(rows) < 1500
+    got = rk.global_row_number(df, "k").collect()
+    assert all(r["rank"] == r.id + 1 for r in got)
+    inside = df.select(F.lit("a long class name " * 30).alias("g"), F.lpad(F.col("id").cast("string"), 6, "0").alias("o"))
+    keyed = inside.select(rk.order_key("g", "o").alias("k"))
+    points = rk.split_points(keyed, "k", 8)
+    rows = [r["count"] for r in keyed.groupBy(rk.range_of(F.col("k"), points).alias("r")).count().collect()]
+    assert len(rows) == 8 and max(rows) < 1500
+    deep = spark.range(900).select(F.concat(F.repeat(F.lit("x"), 5000), F.lpad(F.col("id").cast("string"), 4, "0")).alias("k"))
+    assert len(rk.split_points(deep, "k", 4)) == 3
+
+
+@pytest.mark.parametrize("digits", [1, 4])
+def test_bands_of_ranks(spark, monkeypatch, digits):
+    """The cuts by counted parts are those of a full sort, for cuts inside, at the ends of and outside the classes."""
+    monkeypatch.setattr(rk, "PREFIX_DIGITS", digits)
+    rows = [(k, "abc"[k % 7 % 3] if k % 11 else None) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, label string").repartition(4)
+    order = F.concat_ws(":", F.md5(F.col("id").cast("string")), F.col("id").cast("string"))
+    cuts = lambda sizes: [F.lit(-1), F.lit(0), F.floor(F.col("n") / 3), F.col("n") - 2, F.col("n"), F.lit(10**6)]
+    got = {r.id: r.band for r in rk.rank_bands(df, "label", order, cuts).collect()}
+    keyed = {r.id: r.o for r in df.select("id", order.alias("o")).collect()}
+    for label in ("a", "b", "c", None):
+        inside = sorted((keyed[k], k) for k, x in rows if x == label)
+        n = len(inside)
+        for at, (_, k) in enumerate(inside, 1):
+            assert got[k] == sum(at > c for c in (-1, 0, n // 3, n - 2, n, 10**6)), (label, at)
+    assert len(got) == 400
+    assert rk.rank_bands(df.limit(0), "label", order, cuts).collect() == []
+    plan = rk.rank_bands(df, None, order, cuts)._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan
