@@ -1,14 +1,13 @@
 """String similarity for batches of pairs, as numpy code inside Arrow UDFs.
 
-Texts are encoded once as a matrix of code points. Jaro-Winkler walks the positions of the
-left texts and handles all pairs of the batch at each position, so its Python loop is as
-long as the longest text, not as the number of pairs.
+Texts are encoded once, as code points behind one another. Pairs are measured in steps of similar length, each step a
+padded matrix of bounded size, so one long text does not widen the others. Jaro-Winkler walks the positions of the
+left texts and handles all pairs of a step at each position; the matching-blocks ratio finds the longest common
+stretch of all open parts of all pairs at once, and goes on with what is left and right of it.
 """
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -20,33 +19,49 @@ BOOST_FLOOR = 0.7
 PREFIX_WEIGHT = 0.1
 PREFIX_LENGTH = 4
 
+# fixed values of the matching-blocks ratio: in right texts of so many characters or more, those that make up more than a
+# hundredth of it begin no stretch
+POPULAR_FROM, POPULAR_SHARE = 200, 100
+
 _PAIRS_PER_STEP = 200_000
+_STEP_CELLS = 2_000_000
 
 
 class Encoded:
-    """Distinct texts as code-point rows, lengths and 64-bit character masks."""
+    """Distinct texts as code points, lengths and 64-bit character masks."""
 
     def __init__(self, texts: list[str]):
         self.texts = texts
         self.length = np.array([len(t) for t in texts], dtype=np.int64)
-        width = int(self.length.max()) if len(texts) else 0
-        self.codes = np.zeros((len(texts), width), dtype=np.uint32)
-        flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        inside = np.arange(width) < self.length[:, None]
-        self.codes[inside] = flat
+        self.start = np.cumsum(self.length) - self.length
+        # one more, so that every start is a place
+        self.flat = np.append(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), np.uint32(0))
+        self.head = self.rows(np.arange(len(texts)), PREFIX_LENGTH)
         self._mask: np.ndarray | None = None
 
+    def rows(self, which: np.ndarray, width: int, begin: np.ndarray | int = 0) -> np.ndarray:
+        """``width`` code points of some texts from ``begin`` on, as a matrix; 0 beyond their ends."""
+        place = begin + np.zeros(len(which), dtype=np.int64)
+        at = np.arange(width)
+        inside = at < (self.length[which] - place)[:, None]
+        return np.where(inside, self.flat[np.where(inside, (self.start[which] + place)[:, None] + at, 0)], np.uint32(0))
+
     @property
     def mask(self) -> np.ndarray:
         """One bit per (character, how often it was seen before), folded into 64 bits."""
         if self._mask is None:
-            mask = np.zeros(len(self.texts), dtype=np.uint64)
-            for k in range(self.codes.shape[1]):
-                here = self.codes[:, k]
-                seen = (self.codes[:, :k] == here[:, None]).sum(axis=1).astype(np.uint64)
-                bit = (here.astype(np.uint64) * np.uint64(37) + seen * np.uint64(11)) % np.uint64(64)
-                mask |= np.where(k < self.length, np.uint64(1) << bit, np.uint64(0))
-            self._mask = mask
+            text = np.repeat(np.arange(len(self.texts)), self.length)
+            code = self.flat[:-1]
+            order = np.lexsort((code, text))  # stable, so equal characters stay in their order
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (code[order][1:] != code[order][:-1]) | (text[order][1:] != text[order][:-1])
+            first = np.flatnonzero(new)
+            seen = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            bit = (code[order].astype(np.uint64) * np.uint64(37) + seen.astype(np.uint64) * np.uint64(11)) % np.uint64(64)
+            self._mask = np.zeros(len(self.texts), dtype=np.uint64)
+            held = np.flatnonzero(self.length)
+            if len(held):
+                self._mask[held] = np.bitwise_or.reduceat(np.uint64(1) << bit, self.start[held])
         return self._mask
 
     def common_bound(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -62,9 +77,8 @@ class Encoded:
 
     def prefix(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the common prefix, at most ``PREFIX_LENGTH``."""
-        width = min(PREFIX_LENGTH, self.codes.shape[1])
         shorter = np.minimum(self.length[i], self.length[j])
-        same = (self.codes[i, :width] == self.codes[j, :width]) & (np.arange(width) < shorter[:, None])
+        same = (self.head[i] == self.head[j]) & (np.arange(PREFIX_LENGTH) < shorter[:, None])
         return np.logical_and.accumulate(same, axis=1).sum(axis=1)
 
     def jaro_winkler_bound(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -84,7 +98,7 @@ class Encoded:
             step = order[start : start + _PAIRS_PER_STEP]
             widest = int(max(self.length[i[step[-1]]], self.length[j[step[-1]]], 1))
             room = max(1, min(len(step), 16_000_000 // (widest * widest)))
-            step = order[start : start + max(room, 64)]
+            step = order[start : start + room]
             out[step] = self._jaro_winkler(i[step], j[step])
             start += len(step)
         return out
@@ -94,7 +108,7 @@ class Encoded:
         wa, wb = int(la.max(initial=0)), int(lb.max(initial=0))
         if not wa or not wb:
             return np.zeros(len(i))
-        a, b = self.codes[i, :wa], self.codes[j, :wb]
+        a, b = self.rows(i, wa), self.rows(j, wb)
         reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
         at = np.arange(wb)
         free = at < lb[:, None]
@@ -122,17 +136,86 @@ class Encoded:
         return np.where(jaro > BOOST_FLOOR, boosted, jaro)
 
     def ratio(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.fromiter(
-            (sequence_ratio_of(self.texts[p], self.texts[q]) for p, q in zip(i, j)), dtype=float, count=len(i)
-        )
+        """Twice the characters in matching blocks by all characters; 1 for two empty texts.
 
-    def ratio_bound(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        The longest common stretch of two texts is a block (of equally long ones the first in the left text, then the
+        first in the right one), and so on in what is left and in what is right of it.
+        """
         total = self.length[i] + self.length[j]
-        return np.where(total > 0, 2.0 * self.common_bound(i, j) / np.maximum(total, 1), 1.0) + 1e-12
+        return np.where(total > 0, 2.0 * self._matched(i, j) / np.maximum(total, 1), 1.0)
+
+    def _popular(self, j: np.ndarray) -> dict[int, np.ndarray]:
+        """Per long text the characters that begin no stretch in it."""
+        out = {}
+        for text in np.unique(j[self.length[j] >= POPULAR_FROM]).tolist():
+            codes, counts = np.unique(self.flat[self.start[text] : self.start[text] + self.length[text]], return_counts=True)
+            out[text] = codes[counts > self.length[text] // POPULAR_SHARE + 1]
+        return out
 
+    def _matched(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        matched = np.zeros(len(i), dtype=np.int64)
+        popular = self._popular(j)
+        # open parts of pairs: pair, begin and end in the left text, begin and end in the right one
+        parts = np.stack([np.arange(len(i)), np.zeros(len(i), np.int64), self.length[i], np.zeros(len(i), np.int64), self.length[j]])
+        while True:
+            parts = parts[:, (parts[1] < parts[2]) & (parts[3] < parts[4])]
+            if not parts.shape[1]:
+                return matched
+            parts = parts[:, np.argsort(np.maximum(parts[2] - parts[1], parts[4] - parts[3]), kind="stable")]
+            left, start = [], 0
+            while start < parts.shape[1]:
+                stop = min(start + _PAIRS_PER_STEP, parts.shape[1])
+                widest = int(max(parts[2, stop - 1] - parts[1, stop - 1], parts[4, stop - 1] - parts[3, stop - 1]))
+                stop = min(stop, start + max(1, _STEP_CELLS // widest))
+                here = parts[:, start:stop]
+                at, to, size = self._longest(i[here[0]], j[here[0]], here, popular)
+                found = size > 0
+                pair, a0, a1, b0, b1 = here[:, found]
+                at, to, size = at[found], to[found], size[found]
+                np.add.at(matched, pair, size)
+                left += [np.stack([pair, a0, at, b0, to]), np.stack([pair, at + size, a1, to + size, b1])]
+                start = stop
+            parts = np.concatenate(left, axis=1)
+
+    def _longest(self, i: np.ndarray, j: np.ndarray, parts: np.ndarray, popular: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in the left and right text and length of the longest common stretch of every part."""
+        _, a0, a1, b0, b1 = parts
+        wa, wb = int((a1 - a0).max()), int((b1 - b0).max())
+        a, b = self.rows(i, wa, a0).astype(np.int64), self.rows(j, wb, b0).astype(np.int64)
+        a[np.arange(wa) >= (a1 - a0)[:, None]] = -1
+        b[np.arange(wb) >= (b1 - b0)[:, None]] = -2
+        seeds = b
+        if popular:
+            seeds = b.copy()
+            for row, text in enumerate(j.tolist()):
+                if text in popular:
+                    seeds[row, np.isin(b[row], popular[text])] = -2
+        rows = np.arange(len(i))
+        run = np.zeros((len(i), wb + 1), dtype=np.int32)  # of stretches that end here; one column ahead
+        best, at, to = (np.zeros(len(i), dtype=np.int64) for _ in range(3))
+        for k in range(wa):
+            run[:, 1:] = np.where(seeds == a[:, k : k + 1], run[:, :-1] + 1, 0)
+            end = run.argmax(axis=1)
+            size = run[rows, end]
+            better = size > best
+            best[better] = size[better]
+            at[better] = k + 1 - size[better]
+            to[better] = end[better] - size[better]
+        if popular:  # a stretch goes on over popular characters, to both sides; without one the beginnings are compared
+            for back in (True, False):
+                open_ = np.ones(len(i), dtype=bool)
+                while open_.any():
+                    x, y = (at - 1, to - 1) if back else (at + best, to + best)
+                    open_ &= (x >= 0) & (y >= 0) & (x < wa) & (y < wb)
+                    open_[open_] = a[rows[open_], x[open_]] == b[rows[open_], y[open_]]
+                    best += open_
+                    if back:
+                        at, to = at - open_, to - open_
+        return a0 + at, b0 + to, best
 
-def sequence_ratio_of(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+    def ratio_bound(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        total = self.length[i] + self.length[j]
+        return np.where(total > 0, 2.0 * self.common_bound(i, j) / np.maximum(total, 1), 1.0) + 1e-12
 
 
 def distinct_pairs(left: np.ndarray, right: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -49,6 +49,45 @@ def test_jaro_winkler_is_the_plain_one_and_below_its_bound(a, b):
     assert texts.ratio_bound(i, j)[0] >= SequenceMatcher(None, a, b).ratio()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="abc é", max_size=16), min_size=2, max_size=8))
+def test_matching_blocks_are_the_plain_ones(words):
+    texts = s.Encoded(words)
+    i, j = (x.ravel() for x in np.meshgrid(range(len(words)), range(len(words))))
+    assert texts.ratio(i, j).tolist() == [SequenceMatcher(None, words[p], words[q]).ratio() for p, q in zip(i, j)]
+
+
+def test_matching_blocks_of_long_texts(monkeypatch):
+    """From 200 characters on, frequent characters begin no block; steps of any size give the same."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aab cdefghijklmnopqrstuvwxyz0123456789" * 2 + "ABCDEFG") for _ in range(n)) for n in (0, 1, 30, 199, 200, 201, 350, 500)]
+    for k in (3, 5, 6, 7):  # edited copies
+        text = list(words[k])
+        for _ in range(25):
+            text[rng.randrange(len(text))] = rng.choice("abxyz ")
+        words.append("".join(text[:60] + text[90:]))
+    words += ["ab" * 150, "ba" * 120, "x" * 400, "x" * 210 + "yz" * 9 + "x" * 40]
+    texts = s.Encoded(words)
+    i, j = (x.ravel() for x in np.meshgrid(range(len(words)), range(len(words))))
+    want = [SequenceMatcher(None, words[p], words[q]).ratio() for p, q in zip(i, j)]
+    assert texts.ratio(i, j).tolist() == want
+    monkeypatch.setattr(s, "_STEP_CELLS", 700)
+    assert texts.ratio(i, j).tolist() == want
+
+
+def test_one_long_text_does_not_widen_the_others():
+    import tracemalloc
+
+    words = ["short name %d" % k for k in range(1000)] + ["long" * 12_500]
+    tracemalloc.start()
+    texts = s.Encoded(words)
+    texts.common_bound(np.arange(1000), np.full(1000, 1000))
+    texts.jaro_winkler(np.arange(1000), np.arange(1000)[::-1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
+
+
 def test_jaro_winkler_of_many_lengths_at_once():
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdef") for _ in range(rng.choice([0, 1, 2, 5, 9, 40, 90]))) for _ in range(60)]
