@@ -96,6 +96,13 @@ class Given:
         joined = df.join(named, F.col(self.col) == F.col("_value")).drop("_value")
         return joined.withColumn("anchor", F.lit(True))
 
+    def single(self, out: str) -> DataFrame:
+        """``_value`` and its one key; blocks that overlap have no such form and are refused."""
+        keys = cut_lineage(self.members_of.select(F.col(self.col).alias("_value"), F.col("key").alias(out)).dropna().distinct())
+        if not keys.groupBy("_value").count().where("count > 1").isEmpty():
+            raise ValueError(f"values of {self.col!r} are in several given blocks: their pairs cannot be counted from sizes")
+        return keys
+
 
 Indexer = Block | Neighbourhood | Given
 
@@ -182,7 +189,7 @@ def _ranked_rows(df: DataFrame, col: str, row_id: str) -> DataFrame:
 def candidate_count(df: DataFrame, indexers: list[Indexer]) -> DataFrame:
     """Number of distinct pairs in the union of the indexers, as one row ``n_candidates``.
 
-    Counted by inclusion and exclusion: the pairs common to some indexers are the pairs of the
+    Given blocks must not overlap. Counted by inclusion and exclusion: the pairs common to some indexers are the pairs of the
     groups that share all their keys (ranks up to the reach apart), so only group sizes are
     needed and no pair is made.
     """
@@ -191,6 +198,8 @@ def candidate_count(df: DataFrame, indexers: list[Indexer]) -> DataFrame:
         if isinstance(ix, Neighbourhood):
             ranks = rank_values(df, ix.col, f"_k{at}").select(F.col(ix.col).alias("_value"), f"_k{at}")
             ranked = ranked.join(ranks, F.col(ix.col) == F.col("_value"), "left").drop("_value")
+        elif isinstance(ix, Given):
+            ranked = ranked.join(ix.single(f"_k{at}"), F.col(ix.col) == F.col("_value"), "left").drop("_value")
         else:
             key = ix.key()
             ranked = ranked.withColumn(f"_k{at}", key if ix.keep_blank else F.when(strip(key) != "", key))

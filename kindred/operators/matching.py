@@ -154,6 +154,49 @@ def match_profiles(
     return decide(pairs, rule, {c: f"_{c}" for c in rule.floors}), shapes
 
 
+def match_strategies(
+    df: DataFrame,
+    cols: list[str],
+    strategies: dict[str, list[Indexer]],
+    rule: Rule,
+    differ: str | None = None,
+    row_id: str = "rec_id",
+    tile_rows: int = TILE_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """Matching profile pairs with ``strategies``, the names of those that propose the pair, and the profiles.
+
+    A strategy is a union of blockings, and strategies may share some. Every blocking is looked at once: its members
+    carry its bit, a pair gathers the bits of the blocks it is met in, and a strategy proposes the pairs that have a
+    bit of one of its blockings. So several linkages cost one.
+    """
+    indexers = list(dict.fromkeys(ix for chosen in strategies.values() for ix in chosen))
+    if len(indexers) > 62:
+        raise ValueError("at most 62 different blockings")
+    shapes = cut_lineage(profiles(df, cols, row_id))
+    needed = {*rule.floors, *([differ] if differ else [])}
+    members = reduce(
+        DataFrame.unionByName,
+        [ix.members(shapes).withColumn("_bits", F.lit(1 << k).cast("long")) for k, ix in enumerate(indexers)],
+    ).select(row_id, "block", "anchor", "_bits", *needed)
+    # equal keys of different blockings are different blocks
+    named = members.withColumn("block", F.concat(F.col("_bits").cast("string"), F.lit(":"), "block"))
+    found = similar_pairs(named, NameFloors(rule.floors, differ=differ, anchor="anchor", tag="_bits"), "block", row_id, tile_rows)
+    once = found.groupBy("id_left", "id_right").agg(
+        F.bit_or("_bits").alias("_bits"), *[F.first(f"{c}_sim").alias(f"_{c}") for c in rule.floors]
+    )
+    pairs = decide(hydrate(once, shapes, [*cols, "n_records"], row_id), rule, {c: f"_{c}" for c in rule.floors})
+    by = {name: sum(1 << indexers.index(ix) for ix in set(chosen)) for name, chosen in strategies.items()}
+    proposed = [F.when(F.col("_bits").bitwiseAND(F.lit(bits).cast("long")) != 0, F.lit(name)) for name, bits in by.items()]
+    return pairs.withColumn("strategies", F.array_compact(F.array(*proposed))).drop("_bits"), shapes
+
+
+def membership(df: DataFrame, shapes: DataFrame, cols: list[str], row_id: str = "rec_id") -> DataFrame:
+    """(profile, ``row_id``) of every record: with it, matches of profiles stand for matches of records."""
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols])
+    named = shapes.select(F.col(row_id).alias("profile"), *[F.col(c).alias(f"_{c}") for c in cols])
+    return df.select(row_id, *cols).join(named, same).select("profile", row_id)
+
+
 def decide(pairs: DataFrame, rule: Rule, known: dict[str, str]) -> DataFrame:
     """Measure hydrated pairs and keep those the rule accepts."""
     scored = similarities(pairs, rule, known).drop(*known.values())
@@ -166,14 +209,7 @@ def expand_records(
     matches: DataFrame, shapes: DataFrame, df: DataFrame, cols: list[str], row_id: str = "rec_id"
 ) -> DataFrame:
     """Profile pairs → record pairs, ``id_left < id_right``, column values kept on their side."""
-    of = (
-        df.select(F.col(row_id).alias("_rec"), *cols)
-        .join(
-            shapes.select(row_id, *[F.col(c).alias(f"_{c}") for c in cols]),
-            reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols]),
-        )
-        .select(F.col(row_id).alias("_profile"), "_rec")
-    )
+    of = membership(df, shapes, cols, row_id).select(F.col("profile").alias("_profile"), F.col(row_id).alias("_rec"))
     of = cut_lineage(of)  # two ids per record, read for both sides
     left = of.select(F.col("_profile").alias("id_left"), F.col("_rec").alias("_a"))
     right = of.select(F.col("_profile").alias("id_right"), F.col("_rec").alias("_b"))
@@ -203,6 +239,14 @@ def link_records(
     return expand_records(matches, shapes, df, cols, row_id)
 
 
+def link_strategies(
+    df: DataFrame, cols: list[str], strategies: dict[str, list[Indexer]], rule: Rule, name: str, row_id: str = "rec_id"
+) -> DataFrame:
+    """:func:`link_records` for several strategies at once: every record pair with the ``strategies`` that propose it."""
+    matches, shapes = match_strategies(df, cols, strategies, rule, name, row_id)
+    return expand_records(matches, shapes, df, cols, row_id)
+
+
 def not_identical(left: Column, right: Column) -> Column:
     """True unless both values are there and equal (a missing value equals nothing)."""
     return ~F.coalesce(left == right, F.lit(False))

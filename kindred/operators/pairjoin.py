@@ -189,16 +189,20 @@ class NameFloors(Kernel):
     """Pairs whose Jaro-Winkler similarity is above a floor in every named column.
 
     ``differ`` leaves out pairs equal in that column. ``anchor`` names a flag of which at
-    least one row of a pair must have it (used for neighbourhoods). Missing values never pass.
+    least one row of a pair must have it (used for neighbourhoods). ``tag`` names a number that all rows of
+    a block have and that its pairs get. Missing values never pass.
     """
 
     floors: dict[str, float]
     differ: str | None = None
     anchor: str | None = None
+    tag: str | None = None
     fields: list[T.StructField] = field(init=False)
 
     def __post_init__(self) -> None:
         self.fields = [T.StructField(f"{c}_sim", T.DoubleType()) for c in self.floors]
+        if self.tag:
+            self.fields.append(T.StructField(self.tag, T.LongType()))
 
     def prepare(self, rows: pd.DataFrame, ids: np.ndarray) -> object:
         coded = {}
@@ -206,10 +210,10 @@ class NameFloors(Kernel):
             codes, texts = pd.factorize(rows[c])
             coded[c] = (codes, Encoded([str(t) for t in texts]))
         flags = rows[self.anchor].to_numpy(dtype=bool) if self.anchor else None
-        return coded, flags
+        return coded, flags, rows[self.tag].to_numpy() if self.tag else None
 
     def keep(self, ready: object, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        coded, flags = ready
+        coded, flags, tags = ready
         kept = np.arange(len(i))
         if flags is not None:
             kept = kept[flags[i] | flags[j]]
@@ -231,6 +235,8 @@ class NameFloors(Kernel):
             kept = kept[passed]
             values = {k: v[passed] for k, v in values.items()}
             values[f"{c}_sim"] = score[passed]
+        if tags is not None:
+            values[self.tag] = tags[i[kept]]
         return kept, values
 
 

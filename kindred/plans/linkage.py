@@ -515,12 +515,59 @@ def rule_weighted_floor(spark, sf):
         UNION ALL SELECT *, 'block_by_city' FROM ({_weighted_sql('a.city = c.city')})""",
 )
 def match_per_strategy(spark, sf):
-    rule, rows = mt.weighted_with_floor(_ROLES), view(spark, sf, "entities")
-    parts = [
-        mt.link_records(rows, _WCOLS, [b.Block(col)], rule, "company_name").withColumn("strategy", F.lit(f"block_by_{col}"))
-        for col in ("industry", "city")
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    # one linkage for both, each pair named by the strategies that propose it
+    strategies = {f"block_by_{col}": [b.Block(col)] for col in ("industry", "city")}
+    linked = mt.link_strategies(view(spark, sf, "entities"), _WCOLS, strategies, mt.weighted_with_floor(_ROLES), "company_name")
+    return linked.withColumn("strategy", F.explode("strategies")).drop("strategies")
+
+
+_SETS = {
+    "country": [b.Block("country"), b.Neighbourhood("company_name", 5)],
+    "city": [b.Block("city"), b.Neighbourhood("company_name", 5)],
+}
+_SETCOLS = ["company_name", "industry", "country", "city"]
+
+
+@query(
+    "match_multi_set",
+    """WITH f AS (SELECT company_name, industry, country, city, min(rec_id) AS id, count(*) AS n FROM {entities} GROUP BY 1, 2, 3, 4),
+       e AS (SELECT *, dense_rank() OVER (ORDER BY company_name) AS r FROM f),
+       p AS (SELECT a.id AS id_left, c.id AS id_right, a.n AS n_records_left, c.n AS n_records_right,
+             coalesce(nullif(a.country, '') = nullif(c.country, ''), FALSE) AS x, coalesce(a.city = c.city, FALSE) AS y, abs(a.r - c.r) <= 2 AS z, """
+    + ", ".join(f"a.{c} AS {c}_left, c.{c} AS {c}_right" for c in _SETCOLS)
+    + """ FROM e a JOIN e c ON a.id < c.id AND a.company_name <> c.company_name), m AS (SELECT * EXCLUDE (x, y, z), x OR z AS by_country, y OR z AS by_city, """
+    + _sims_sql({"name_sim": "company_name", "industry_sim": "industry", "country_sim": "country"})
+    + """ FROM p WHERE x OR y OR z) SELECT * FROM m
+       WHERE (name_sim > 0.8 AND name_sim < 0.92) OR (name_sim > 0.9 AND industry_sim > 0.5 AND country_sim > 0.5)""",
+)
+def match_multi_set(spark, sf):
+    """Linkage over the union of two blocking sets that share one; profile pairs, and which set proposes each."""
+    rule = mt.band_or_similar("company_name", "industry", "country")
+    matches, _ = mt.match_strategies(view(spark, sf, "entities"), _SETCOLS, _SETS, rule, "company_name")
+    named = {f"by_{name}": F.array_contains("strategies", name) for name in _SETS}
+    return matches.withColumns(named).drop("strategies")
+
+
+@query(
+    "match_membership",
+    """SELECT min(rec_id) OVER (PARTITION BY company_name, industry, country, city) AS profile, rec_id FROM {entities}""",
+)
+def match_membership(spark, sf):
+    """Which profile every record belongs to: the other half of the matches of profiles."""
+    rows = view(spark, sf, "entities")
+    return mt.membership(rows, mt.profiles(rows, _SETCOLS), _SETCOLS)
+
+
+@query(
+    "block_given_count",
+    """SELECT CAST(count(*) AS BIGINT) AS n_candidates FROM {entities} a JOIN {entities} c
+       ON a.rec_id < c.rec_id AND (left(a.company_name, 3) = left(c.company_name, 3) OR a.city = c.city)""",
+)
+def block_given_count(spark, sf):
+    rows = view(spark, sf, "entities")
+    given = rows.select("company_name", F.substring("company_name", 1, 3).alias("key"))
+    counted = b.candidate_count(rows, [b.Given(given, "company_name"), b.Block("city")])
+    return counted.select(F.col("n_candidates").cast("long"))
 
 
 _EXPORTED = ", ".join(f"a.{c} AS {c}_left, c.{c} AS {c}_right" for c in _COLS)

@@ -186,3 +186,25 @@ def test_given_blocks_and_first_letter(frame):
     given = b.Given(key.filter("key is not null"), "name").members(frame)
     letters = b.FirstLetter("name").members(frame)
     assert given.count() == letters.count()
+
+
+def test_strategies_at_once_are_the_linkages_one_by_one(frame):
+    rule = mt.band_or_similar("name", "city", "city")
+    shared = b.Neighbourhood("name", 3)
+    sets = {"city": [b.Block("city")], "name": [shared], "both": [b.Block("city"), shared], "letter": [b.FirstLetter("name")]}
+    got = mt.link_strategies(frame, ["name", "city"], sets, rule, "name").collect()
+    for label, indexers in sets.items():
+        want = mt.link_records(frame, ["name", "city"], indexers, rule, "name").collect()
+        assert sorted((r.id_left, r.id_right, r.name_sim) for r in got if label in r.strategies) == sorted(
+            (r.id_left, r.id_right, r.name_sim) for r in want
+        ), label
+    assert len({(r.id_left, r.id_right) for r in got}) == len(got) > 0
+
+
+def test_given_blocks_are_counted(frame):
+    key = frame.select("name").distinct().select("name", first_letter("name").alias("key")).dropna()
+    got = b.candidate_count(frame, [b.Given(key, "name"), b.Block("city")]).first()[0]
+    assert got == b.candidate_count(frame, [b.FirstLetter("name"), b.Block("city")]).first()[0]
+    twice = key.unionByName(key.withColumn("key", F.lit("other")))
+    with pytest.raises(ValueError, match="several given blocks"):
+        b.candidate_count(frame, [b.Given(twice, "name")])
