@@ -14,7 +14,8 @@ reruns agree however the data are partitioned.
 
 Defined results: a null text has size 0; a document of size 0 takes no words and is copied once if
 its source is wanted at all; a null source is a source, last in order; repeated rows are rounded
-one by one; an empty table gives an empty result; further columns are ignored.
+one by one, many rows of one id or without one in blocks dealt by row; ties of the hash are taken by id and size; a text of
+any length counts whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,6 +106,15 @@ def _round_blocks(rows: DataFrame, level: int, seed: int, last: bool) -> DataFra
     return rows.groupBy("rank", "block").applyInPandas(rounded, rows.schema)
 
 
+def _dealt(narrow: DataFrame) -> DataFrame:
+    """``narrow`` with a hash of the row for ids, or none, that very many rows have: they do not share a block."""
+    often = cut_lineage(narrow.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FAN_IN).select(F.col("h").alias("_often")))
+    if often.isEmpty():
+        return narrow
+    met = narrow.join(often, F.col("h") == F.col("_often"), "left")
+    return met.withColumn("h", F.when(F.col("_often").isNotNull(), F.xxhash64("h", "row")).otherwise(F.col("h"))).drop("_often")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -112,8 +122,8 @@ def mix_sources(
     seed: int = 7,
 ) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, copies and taken."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    narrow = cut_lineage(sized.withColumn("h", F.xxhash64("doc_id", F.lit(seed))))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row"))
+    narrow = _dealt(cut_lineage(sized.withColumn("h", F.xxhash64("doc_id", F.lit(seed)))))
     targets = cut_lineage(source_targets(narrow, weights, ceiling))
     joined = narrow.join(targets, narrow["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     f = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(ceiling)))).otherwise(0.0)
