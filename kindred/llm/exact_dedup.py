@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from kindred.session import cut_lineage
 
 BLOCK_CHARS = 4096
-SALTS = 64
+SALTS = 64  # at least; they grow with the shuffle setting, that is with the data
 
 
 def _named(rows: DataFrame, value: list[str], buckets: int) -> DataFrame:
     """``rows`` with ``value`` replaced by one integer ``name``: equal names for equal values."""
     others = [c for c in rows.columns if c not in value]
     short = rows.select(
-        *value, (F.xxhash64("rid") % SALTS).alias("_salt"), F.struct(*others).alias("_row")
+        *value, F.pmod(F.xxhash64("rid"), F.lit(max(SALTS, buckets))).alias("_salt"), F.struct(*others).alias("_row")
     )
     distinct = (
         short.groupBy(*value, "_salt")
