@@ -83,6 +83,23 @@ def test_overlap(spark):
     assert j.pairs_in(a, t).count() == 2
 
 
+def test_outer_chain_with_hot_and_missing_keys(spark):
+    """A third of the rows without a key, keys that are hot on one side, on both and on one side alone: same rows."""
+    a = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k % 40, k) for k in range(120)] + [(900, 1000 + k) for k in range(30)]
+    b = [(None if k < 4 else k % 50, k) for k in range(60)] + [(5, 70 + k) for k in range(25)] + [(901, 200 + k) for k in range(30)]
+    c = [(None, 1), (5, 2), (7, 3), (902, 4), (901, 5)]
+    tables = [spark.createDataFrame(rows, f"k int, {v} int") for rows, v in ((a, "v"), (b, "v"), (c, "w"))]
+    want = sorted(map(repr, j.outer_chain(tables, "k").collect()))
+    for hot in (20, 1):
+        got = j.outer_chain(tables, "k", hot_rows=hot)
+        assert got.columns == ["k", "v_x", "v_y", "w"]
+        assert sorted(map(repr, got.collect())) == want
+    keys = {r.key: (r._rows, r._columns) for r in j._hot_keys(
+        tables[0].withColumnRenamed("k", "_left_key"), tables[1].withColumnRenamed("k", "_right_key"), 20
+    ).collect()}
+    assert keys == {None: (2, 1), 5: (3, 2), 900: (2, 1), 901: (1, 2)}
+
+
 def test_outer_chain_matches_missing_keys(spark):
     a = spark.createDataFrame([(1, "x"), (None, "n")], "k int, v string")
     b = spark.createDataFrame([(1, "y"), (None, "m"), (2, "z")], "k int, v string")
