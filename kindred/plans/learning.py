@@ -10,7 +10,7 @@ from kindred.operators import text as t
 from kindred.operators.blocking import adjacent_rows
 from kindred.operators.evaluation import best_threshold, class_report, threshold_sweep
 from kindred.operators.joins import with_pair_key
-from kindred.operators.matching import hydrate
+from kindred.operators.matching import hydrate, profiles
 from kindred.plans.registry import query, table, view
 from kindred.session import cut_lineage
 
@@ -138,6 +138,60 @@ def ml_validation_report(spark, sf):
     return class_report(held.withColumn("prediction", (F.col("match_prob") >= best).cast("int")))
 
 
+_NEWTON = ("b0", "b1", "b2")
+
+
+def _newton_sql(rows: str, steps: int = 30) -> str:
+    """Newton steps for the penalised logistic loss over ``rows`` (y, a, b); three equations solved by determinants."""
+    h = {(0, 0): "sum(w)", (0, 1): "sum(w * a)", (0, 2): "sum(w * b)", (1, 1): "sum(w * a * a) + 1", (1, 2): "sum(w * a * b)", (2, 2): "sum(w * b * b) + 1"}
+    at = lambda i, j: f"h{min(i, j)}{max(i, j)}"
+
+    def det(cols):
+        return " + ".join(f"{sign} {cols(0, x)} * {cols(1, y)} * {cols(2, z)}" for sign, (x, y, z) in (
+            ("1 *", (0, 1, 2)), ("1 *", (1, 2, 0)), ("1 *", (2, 0, 1)), ("-1 *", (2, 1, 0)), ("-1 *", (1, 0, 2)), ("-1 *", (0, 2, 1))))
+
+    solved = ", ".join(f"{b} - ({det(lambda i, j, k=k: f'g{i}' if j == k else at(i, j))}) / ({det(at)}) AS {b}" for k, b in enumerate(_NEWTON))
+    sums = ", ".join(f"{e} AS h{i}{j}" for (i, j), e in h.items())
+    return f"""it AS (SELECT 0 AS k, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 UNION ALL
+      SELECT k + 1 AS k, {solved} FROM (SELECT k, b0, b1, b2, sum(p - y) AS g0, sum((p - y) * a) + b1 AS g1, sum((p - y) * b) + b2 AS g2, {sums}
+        FROM (SELECT it.*, y, a, b, 1 / (1 + exp(-(b0 + b1 * a + b2 * b))) AS p, p * (1 - p) AS w FROM it, ({rows}) AS t WHERE k < {steps}) GROUP BY k, b0, b1, b2))"""
+
+
+_PAIR_ROWS = """SELECT label AS y, jaro_winkler_similarity(company_name_left, company_name_right) AS a,
+    1.0 - levenshtein(company_name_left, company_name_right) / greatest(length(company_name_left), length(company_name_right)) AS b FROM {entity_pairs}"""
+
+
+@query(
+    "ml_fit_weights",
+    f"""WITH RECURSIVE t AS MATERIALIZED ({_PAIR_ROWS}), {_newton_sql('SELECT * FROM t')},
+        last AS (SELECT unnest(['intercept', 'jarowinkler', 'levenshtein']) AS feature, unnest([b0, b1, b2]) AS weight FROM it WHERE k = 30)
+        SELECT feature, round(weight, 2) AS weight, 0.0::DOUBLE AS gradient FROM last""",
+)
+def ml_fit_weights(spark, sf):
+    """Weights of the match model over the labelled pairs, and the slope of the penalised loss there."""
+    left, right = F.col("company_name_left"), F.col("company_name_right")
+    measures = {"jarowinkler": s.jaro_winkler(left, right), "levenshtein": s.levenshtein_similarity(left, right)}
+    rows = cut_lineage(view(spark, sf, "entity_pairs").select("label", left, right).withColumns(measures).select("label", *measures))
+    model = ln.fit_match_model(rows, list(measures), tolerance=1e-12, steps=500)
+    slopes = ln.fit_gradient(rows, model, list(measures))
+    # adding 0 turns a negative zero into a plain one
+    return slopes.select("feature", F.round("weight", 2).alias("weight"), (F.round("gradient", 5) + 0.0).alias("gradient"))
+
+
+@query("kmeans_nearest", "SELECT vec_id, TRUE AS nearest, TRUE AS settled FROM {embeddings}")
+def kmeans_nearest(spark, sf):
+    """Every vector's own centre is the nearest one, and the clustering has come to rest."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return ln.cluster_check(rows, "embedding", "vec_id").select("vec_id", "nearest", "settled")
+
+
+@query("match_embeddings")
+def match_embeddings(spark, sf):
+    """Encoded name and country, clustered; pairs of a cluster above 0.8, the best 50,000."""
+    named = view(spark, sf, "entities").select("rec_id", F.concat_ws("|", "company_name", "country").alias("text"))
+    return ln.embedded_matches(profiles(named, ["text"]), "text")
+
+
 @query(
     "score_pairs_hook",
     """SELECT id, sentence1, sentence2, round(jaro_winkler_similarity(sentence1, sentence2), 6) AS match_score,
