@@ -192,3 +192,46 @@ def test_truth_is_written_and_read(spark, tmp_path):
     flat = spark.createDataFrame(rows, ", ".join([*(f"{c} string" for c in cols), "label int"]))
     g.write_truth(g.nested_truth(flat), str(tmp_path / "truth"))
     assert sorted(map(tuple, g.read_truth(spark, str(tmp_path / "truth")).collect())) == sorted(rows)
+
+
+def test_folder_of_many_small_files(spark, tmp_path):
+    """Names, layouts and bad files of 400 files are found in a few jobs; files of one layout are one read."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k in range(150):
+        (folder / f"t{k % 5}.part{k}.csv").write_text("x")  # no known format: the text after the first dot counts
+        (folder / f"c{k}.csv").write_text(f'id,"na,me",c{k % 3}\n{k},"a ""q"" b",\n')
+        (folder / f"j{k}.json").write_text(f'{{"id": {k}, "tags": ["a", "b"], "v{k % 4}": {k / 2}}}\n\n{{"id": "x", "tags": []}}\n')
+    (folder / "bad.json").write_text('{"a": 1}\n{"a": \n')
+    (folder / "deep.json").write_text('{"a": {"b": 1}}\n')
+    (folder / "same.csv").write_text("a,A\n1,2\n")
+    (folder / "empty.csv").write_text("")
+    (folder / "odd name é.json").write_text('{"k": true}\n')
+    def newest():
+        """The number of the newest job; one more with every call."""
+        spark.sparkContext.setJobGroup("count jobs", "")
+        spark.range(1).collect()
+        return max(spark.sparkContext.statusTracker().getJobIdsForGroup("count jobs"))
+
+    before = newest()
+    found = r.read_folder(spark, str(folder))
+    assert newest() - before - 1 < 20
+    assert set(found.skipped) == {"bad.json", *(f"t{k % 5}.part{k}.csv" for k in range(150))}
+    assert found.skipped["bad.json"] == "not JSON lines"
+    c, j = found.table("c7"), found.table("j6")
+    assert c.columns == ["id", "na,me", "c1"] and [tuple(x) for x in c.collect()] == [("7", 'a "q" b', None)]
+    assert j.dtypes == [("id", "string"), ("tags", "array<string>"), ("v2", "string")]
+    assert sorted(map(str, j.collect())) == ["Row(id='6', tags=['a', 'b'], v2='3.0')", "Row(id='x', tags=[], v2=None)"]
+    assert found.table("odd name é").first().k == "true"
+    assert found.table("deep").dtypes == [("a", "struct<b:string>")]
+
+
+def test_entries_of_one_layout_are_one_read(spark, tmp_path):
+    folder = tmp_path / "parts"
+    for part in ("p1", "p2", "p3"):
+        (folder / part).mkdir(parents=True)
+        header = "id,name" if part != "p3" else "name,id"
+        (folder / part / "t.csv").write_text(f"{header}\n{part},{part}x\n")
+    found = r.read_folder(spark, str(folder), nested=True)
+    assert len(found.tables["t"]) == 2
+    assert sorted(map(tuple, found.table("t").collect())) == [("p1", "p1x"), ("p2", "p2x"), ("p3x", "p3")]
