@@ -192,16 +192,20 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = docs.select(key.alias("key"), F.col(id_col).alias("id"), text.alias("text"))
     rows = keyed.select("key", "id", F.char_length("text").cast("long").alias("n"))
     around = _neighbours(rows)
-    printed = keyed.select("key", F.struct("id", "text", fingerprint(F.col("text"), k, window).alias("print")).alias("row"))
+    # two plain arrays are a third of the bytes of an array of structs
+    printed = keyed.withColumn("print", fingerprint(F.col("text"), k, window)).select(
+        "key", F.struct("id", "text", F.col("print.hash").alias("hashes"), F.col("print.position").alias("positions")).alias("row")
+    )
     once = printed.groupBy("key").agg(F.first("row").alias("row"))
     placed = once.join(around, "key").select("key", "n", "copies", "before", "before_n", "row")
     third = lambda n: ((n - n % 3) / 3).cast("int")
     ahead = placed.select(
         F.col("before").alias("key"),
         F.substring(F.col("row.text"), F.lit(1), third(F.col("before_n"))).alias("ahead"),
-        hashes_of(F.col("row.print")).alias("next_hashes"),
+        F.col("row.hashes").alias("next_hashes"),
     )
-    own = hashes_of(F.col("row.print"))
+    own = F.col("row.hashes")
+    own_print = F.arrays_zip(own.alias("hash"), F.col("row.positions").alias("position"))
     head = F.substring(F.col("row.text"), F.lit(1), (F.col("n") - third(F.col("n"))).cast("int"))
     # of equal rows all but the last are followed by a copy of themselves
     last = F.struct(F.lit(1).cast("long").alias("times"), F.col("ahead"), F.col("next_hashes"))
@@ -212,7 +216,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     met = placed.join(ahead, "key").withColumn("case", F.explode(F.when(F.col("copies") > 1, F.array(last, copy)).otherwise(F.array(last))))
     edited = met.select(
-        F.col("row.id").alias(id_col), F.col("n").alias("n_chars"), F.col("row.print").alias("fingerprint"), own.alias("_own"),
+        F.col("row.id").alias(id_col), F.col("n").alias("n_chars"), own_print.alias("fingerprint"), own.alias("_own"),
         F.concat(head, F.col("case.ahead")).alias("edited"), F.col("case.next_hashes").alias("_next"), F.col("case.times").alias("_times"),
     )
     changed = edited.withColumn("edited_fingerprint", fingerprint(F.col("edited"), k, window))
