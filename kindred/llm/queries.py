@@ -186,7 +186,38 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     return fill_in_middle.restore(digested).select(*kept, "output_sha256", F.sha2("restored", 256).alias("restored_sha256"))
 
 
-@query("op11_winnowing_fingerprints")
+@query(
+    "op11_winnowing_fingerprints",
+    r"""
+    WITH x AS (
+      SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, coalesce(lead(coalesce(text, '')) OVER o, first_value(coalesce(text, '')) OVER o) AS nt,
+             CASE WHEN row_number() OVER o < count(*) OVER () THEN lead(doc_id) OVER o ELSE first_value(doc_id) OVER o END AS nd
+      FROM documents WINDOW o AS (ORDER BY doc_id DESC NULLS LAST, sha256(coalesce(text, '')))
+    ), e AS (SELECT *, left(t, n - n // 3) || left(nt, n // 3) AS ed FROM x),
+    c AS (
+      SELECT doc_id, k, list_transform(regexp_extract_all(t, '[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]|[^\x20\x09-\x0D\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]{1,16}'),
+             lambda u: ('0x' || substr(md5(u), 1, 15))::BIGINT % 140737488355213) AS c
+      FROM (SELECT doc_id, 0 AS k, t FROM e UNION ALL SELECT doc_id, 1, ed FROM e)
+    ), p AS (SELECT doc_id, k, len(c) AS l, unnest(c) AS c, generate_subscripts(c, 1) - 1 AS i FROM c WHERE len(c) >= 5),
+    h AS (
+      SELECT doc_id, k, i, l - 4 AS g, (c * 28561 + lead(c, 1) OVER w * 2197 + lead(c, 2) OVER w * 169 + lead(c, 3) OVER w * 13 + lead(c, 4) OVER w) % 140737488355213 AS h
+      FROM p WINDOW w AS (PARTITION BY doc_id, k ORDER BY i)
+      UNION ALL SELECT doc_id, k, 0, 1, list_reduce(c, lambda a, b: (a * 13 + b) % 140737488355213) FROM c WHERE len(c) BETWEEN 1 AND 4
+    ), m AS (
+      SELECT doc_id, k, i, g, min(h::HUGEINT * 1000000000 + (999999999 - i)) OVER (PARTITION BY doc_id, k ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS m
+      FROM h WHERE i < g
+    ), s AS (SELECT DISTINCT doc_id, k, (m // 1000000000)::BIGINT AS h, (999999999 - m % 1000000000)::BIGINT AS i FROM m WHERE i + 16 <= g OR i = 0),
+    f AS (SELECT doc_id, k, string_agg(format('{:x}', h) || ':' || i, ' ' ORDER BY i) AS f, list(DISTINCT h) AS hs FROM s GROUP BY 1, 2),
+    j AS (
+      SELECT e.doc_id, n, ed, coalesce(a.f, '') AS f, coalesce(b.f, '') AS g, coalesce(a.hs, []) AS p, coalesce(b.hs, []) AS q, coalesce(z.hs, []) AS r
+      FROM e LEFT JOIN f a ON a.doc_id = e.doc_id AND a.k = 0 LEFT JOIN f b ON b.doc_id = e.doc_id AND b.k = 1 LEFT JOIN f z ON z.doc_id = e.nd AND z.k = 0
+    )
+    SELECT doc_id, n::BIGINT AS n_chars, sha256(ed) AS edited_sha256, f AS fingerprint, g AS edited_fingerprint,
+           CASE WHEN len(p) + len(q) = 0 THEN 1.0 ELSE len(list_intersect(p, q)) / len(list_distinct(list_concat(p, q))) END::DOUBLE AS near_edited,
+           CASE WHEN len(p) + len(r) = 0 THEN 1.0 ELSE len(list_intersect(p, r)) / len(list_distinct(list_concat(p, r))) END::DOUBLE AS near_next
+    FROM j
+    """,
+)
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return winnowing.edited_fingerprints(table(spark, sf, "documents")).select(
         "doc_id",
