@@ -43,6 +43,7 @@ _CLASS[[ord(c) for c in ".,;:?'\"()-"]] = PROSE
 _CLASS[[10, 13]] = LINE
 _CLASS[128:] = WIDE
 STATS = 15
+PIECE_BYTES = 1 << 19
 WIDTH = WORD_BUCKETS + STATS * BINS
 
 
@@ -96,7 +97,7 @@ def features(texts: pa.Array, n_chars: pa.Array) -> Iterator[tuple[int, int, np.
     """Per piece of a column: its range, then feature numbers, values, and where each text's begin."""
     data, offsets = utf8(texts)
     given = pc.fill_null(n_chars.cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
-    for lo, hi in pieces(offsets):
+    for lo, hi in pieces(offsets, PIECE_BYTES):
         at = offsets[lo : hi + 1] - offsets[lo]
         raw = data[offsets[lo] : offsets[hi]]
         small = lower(raw)
