@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,20 +171,67 @@ def _log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
 
 
 def _sliced_sum(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
-    """Sums of the blobs of each slice; summed on the executors, one blob per slice comes back."""
+    """Sums of the blobs of each slice, in two steps on the executors; one blob per slice comes back.
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = np.frombuffer(blob.as_py(), dtype).astype(np.float64)
-                total[at] = total[at] + values if at in total else values
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "blob"])
+    The blobs of a slice meet in groups of tasks first, whose number follows the shuffle setting and so the data.
+    """
 
-    rows = parts.repartition(SLICES, "slice").mapInArrow(add, "slice int, blob binary").collect()
+    def adder(kind: str) -> Callable:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for at, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    values = np.frombuffer(blob.as_buffer(), kind)
+                    if at in total:
+                        total[at] += values
+                    else:
+                        total[at] = values.astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "blob"])
+
+        return add
+
+    schema = "slice int, blob binary"
+    groups = max(1, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SLICES)
+    dealt = parts.withColumn("group", F.spark_partition_id() % groups).repartition(SLICES * groups, "slice", "group")
+    some = dealt.select("slice", "blob").mapInArrow(adder(dtype), schema)
+    rows = some.repartition(SLICES, "slice").mapInArrow(adder("<f8"), schema).collect()
     return {r.slice: np.frombuffer(r.blob, np.float64) for r in rows}
 
 
+def _most_frequent(vocabulary: DataFrame, most: int) -> pd.DataFrame:
+    """The ``most`` words with the highest counts, ties by word: (word, c), highest first.
+
+    Nothing is sorted as a whole: counts are counted by size, then exactly in the size in which the cut falls, and words
+    with the count at the cut by their first bits, so only the rows that are wanted come to the driver.
+    """
+
+    def cut(rows: DataFrame, key: Column, falling: bool, room: int) -> tuple[int | None, int]:
+        """The value of ``key`` at which ``room`` rows are full, and how many rows come before that value."""
+        found = sorted(((r["k"], r["count"]) for r in rows.groupBy(key.alias("k")).count().collect()), reverse=falling)
+        before = 0
+        for k, n in found:
+            if before + n > room:
+                return k, before
+            before += n
+        return None, before
+
+    size = F.floor(F.log2("c") * 8)  # some 400 sizes at most
+    at, before = cut(vocabulary, size, True, most)
+    wanted = F.lit(True)
+    if at is not None:
+        inside = vocabulary.where(size == at)
+        count, more = cut(inside, F.col("c"), True, most - before)
+        room = most - before - more
+        tied = inside.where(F.col("c") == count)
+        part, fewer = cut(tied, F.shiftright("word", 48), False, room)
+        edge = sorted(r["word"] for r in tied.where(F.shiftright("word", 48) == part).select("word").collect())[: room - fewer]
+        last = edge[-1] if edge else None
+        tie = F.shiftright("word", 48) < part
+        wanted = (F.col("c") > count) | ((F.col("c") == count) & (tie if last is None else tie | (F.col("word") <= last)))
+    top = vocabulary.where(wanted).select("word", "c").toPandas()
+    return top.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
+
+
 def _blob_rows(blobs: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "blob"])
 
@@ -346,7 +394,7 @@ def score_texts(docs: DataFrame, learns: Callable[[Column], Column]) -> DataFram
     totals = vocabulary.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = training.count()
     n, v = (totals.n or 0) + ends, totals.v + (ends > 0)
-    top = vocabulary.orderBy(F.desc("c"), "word").limit(TOP_WORDS).select("word", "c").toPandas()
+    top = _most_frequent(vocabulary, TOP_WORDS)
     words = Vocabulary(top["word"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64))
     class_of = _spelling_classes(training.select("text"), words)
     by_spelling = vocabulary.groupBy("spelling").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()  # at most 2**14 rows
