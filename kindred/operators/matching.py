@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kindred.functions.strings import both_empty_zero, exact, jaro_winkler
@@ -130,6 +130,17 @@ def hydrate(pairs: DataFrame, records: DataFrame, cols: list[str], row_id: str =
     return out
 
 
+Counts = dict[str, Observation]
+
+
+def watched(df: DataFrame, step: str, counts: Counts | None) -> DataFrame:
+    """``df``, whose rows are counted under ``step`` as they pass by; no job of its own."""
+    if counts is None:
+        return df
+    counts[step] = Observation(step)
+    return df.observe(counts[step], F.count(F.lit(1)).alias("n"))
+
+
 def match_profiles(
     df: DataFrame,
     cols: list[str],
@@ -138,20 +149,37 @@ def match_profiles(
     differ: str | None = None,
     row_id: str = "rec_id",
     tile_rows: int = TILE_ROWS,
+    counts: Counts | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Matching profile pairs, and the profiles.
 
-    ``cols`` are the compared and reported columns; ``differ`` leaves out pairs equal there.
+    ``cols`` are the compared and reported columns; ``differ`` leaves out pairs equal there. ``counts`` is filled with
+    the rows of every step, to be read when the result has been.
     """
-    shapes = cut_lineage(profiles(df, cols, row_id))  # read by every indexer and for both sides
+    # read by every indexer and for both sides
+    shapes = cut_lineage(watched(profiles(watched(df, "records", counts), cols, row_id), "profiles", counts))
     needed = {*rule.floors, *([differ] if differ else [])}
-    members = block_members(shapes, indexers).select(row_id, "block", "anchor", *needed)
+    members = watched(block_members(shapes, indexers).select(row_id, "block", "anchor", *needed), "members", counts)
     kernel = NameFloors(rule.floors, differ=differ, anchor="anchor")
     found = similar_pairs(members, kernel, "block", row_id, tile_rows)
     found = found.withColumnsRenamed({f"{c}_sim": f"_{c}" for c in rule.floors})
-    found = found.dropDuplicates(["id_left", "id_right"])
+    found = watched(found.dropDuplicates(["id_left", "id_right"]), "similar", counts)
     pairs = hydrate(found, shapes, [*cols, "n_records"], row_id)
-    return decide(pairs, rule, {c: f"_{c}" for c in rule.floors}), shapes
+    return watched(decide(pairs, rule, {c: f"_{c}" for c in rule.floors}), "matches", counts), shapes
+
+
+def linkage_steps(
+    df: DataFrame, cols: list[str], indexers: list[Indexer], rule: Rule, name: str, row_id: str = "rec_id"
+) -> tuple[DataFrame, DataFrame]:
+    """The matching profile pairs, written, and ``step, n``: how many rows every step of the linkage had.
+
+    Records, profiles, members of blocks, pairs above the rule's floors and matches are counted while the linkage
+    runs, once.
+    """
+    counts: Counts = {}
+    matches = cut_lineage(match_profiles(df, cols, indexers, rule, name, row_id, counts=counts)[0])
+    rows = [(step, int(seen.get["n"])) for step, seen in counts.items()]
+    return matches, df.sparkSession.createDataFrame(rows, "step string, n long")
 
 
 def match_strategies(

@@ -548,6 +548,30 @@ def match_multi_set(spark, sf):
     return matches.withColumns(named).drop("strategies")
 
 
+@query(
+    "linkage_steps",
+    """WITH f AS (SELECT company_name, industry, city, min(rec_id) AS id FROM {entities} GROUP BY 1, 2, 3),
+       e AS (SELECT *, dense_rank() OVER (ORDER BY company_name) AS r FROM f),
+       p AS (SELECT """
+    + ", ".join(f"a.{c} AS {c}_left, c.{c} AS {c}_right" for c in _COLS)
+    + """ FROM e a JOIN e c ON a.id < c.id AND a.company_name <> c.company_name
+             AND (nullif(trim(a.industry), '') = nullif(trim(c.industry), '') OR nullif(trim(a.city), '') = nullif(trim(c.city), '') OR abs(a.r - c.r) <= 2)),
+       m AS (SELECT *, """
+    + _sims_sql({"name_sim": "company_name"})
+    + ", "
+    + _EXACT
+    + """ FROM p)
+       SELECT 'records' AS step, count(*) AS n FROM {entities} UNION ALL SELECT 'profiles', count(*) FROM f
+       UNION ALL SELECT 'members', CAST(sum(CAST(trim(industry) <> '' AS INT)) + sum(CAST(trim(city) <> '' AS INT)) + sum(least(r, 3)) AS BIGINT) FROM e
+       UNION ALL SELECT 'similar', count(*) FROM m WHERE name_sim > 0.8
+       UNION ALL SELECT 'matches', count(*) FROM m WHERE (name_sim > 0.8 AND name_sim < 0.92) OR (name_sim > 0.9 AND industry_exact = 1 AND city_exact = 1)""",
+)
+def linkage_steps(spark, sf):
+    """Rows of every step of a linkage, counted while it runs."""
+    rule = mt.band_or_exact("company_name", "industry", "city")
+    return mt.linkage_steps(view(spark, sf, "entities"), _COLS, _THREE, rule, "company_name")[1]
+
+
 @query(
     "match_membership",
     """SELECT min(rec_id) OVER (PARTITION BY company_name, industry, country, city) AS profile, rec_id FROM {entities}""",
