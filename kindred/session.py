@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +67,27 @@ def workspace(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+_open_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`cut_lineage` writes inside are deleted at the end; what is wanted longer is written elsewhere."""
+    made: list[str] = []
+    _open_scratch.append(made)
+    try:
+        yield
+    finally:
+        _open_scratch.remove(made)
+        for path in made:
+            delete_table(spark, path)
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back.
 
@@ -72,5 +95,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     with the true size of the table.
     """
     path = workspace(df.sparkSession, "table")
+    if _open_scratch:
+        _open_scratch[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,8 +1,9 @@
+import os
 from types import SimpleNamespace
 
 import pytest
 
-from kindred.session import cut_lineage, shared_folder, workspace
+from kindred.session import cut_lineage, scratch_tables, shared_folder, workspace
 
 
 class Context:
@@ -32,3 +33,15 @@ def test_cut_lineage(spark):
     assert workspace(spark, "a") != workspace(spark, "a")
     back = cut_lineage(spark.range(5).selectExpr("id", "array(id) as a"))
     assert back.count() == 5 and "Range" not in back._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    with pytest.raises(ZeroDivisionError):
+        with scratch_tables(spark):
+            inner = cut_lineage(spark.range(3))
+            kept = inner.inputFiles()
+            inner.write.parquet(str(tmp_path / "kept"))
+            raise ZeroDivisionError
+    after = cut_lineage(spark.range(2))
+    assert after.count() == 2 and spark.read.parquet(str(tmp_path / "kept")).count() == 3
+    assert kept and not any(os.path.exists(f.removeprefix("file://")) for f in kept)
