@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from kindred.llm import decontaminate, jaccard_join, mixing, packing
 from kindred.llm.queries import quality_scores
 from kindred.llm.registry import prepared, table
-from kindred.session import cut_lineage
+from kindred.session import cut_lineage, delete_table, scratch_tables, workspace
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -89,8 +89,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written and read before the next."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+    """All stages over ``documents``, each result written and read before the next.
+
+    What a stage wrote on its way goes when its result is written, and that result when the next one is.
+    """
+    prepared(spark)
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = workspace(spark, name)
+        with scratch_tables(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
+        if before:
+            delete_table(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
