@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +10,8 @@ from kindred.functions.cleaning import normalize_name, strip_lower
 from kindred.operators import blocking as b
 from kindred.operators import joins as j
 from kindred.operators import matching as mt
-from kindred.operators.learning import cluster_vectors, similar_vectors
+from kindred.operators.evaluation import evaluate_pairs
+from kindred.operators.learning import cluster_vectors, score_pairs, similar_vectors, winkler_scorer
 from kindred.operators.ranking import row_index, sortable_long
 from kindred.operators.sampling import every_nth, top_pairs
 from kindred.operators.tfidf import canopies, similar_texts
@@ -597,18 +596,18 @@ def block_given_count(spark, sf):
 _EXPORTED = ", ".join(f"a.{c} AS {c}_left, c.{c} AS {c}_right" for c in _COLS)
 
 
-@query(
-    "export_blocked_pairs",
-    f"""WITH e AS (SELECT *, dense_rank() OVER (ORDER BY company_name) AS r,
+_EXPORT_SQL = f"""e AS (SELECT *, dense_rank() OVER (ORDER BY company_name) AS r,
           min(rec_id) OVER (PARTITION BY company_name, industry, city) AS pid FROM {{entities}}),
     p AS (SELECT least(a.pid, c.pid) AS id, greatest(a.pid, c.pid) AS other, {_EXPORTED} FROM e a JOIN e c
           ON a.rec_id < c.rec_id AND (a.industry = c.industry OR a.city = c.city OR abs(a.r - c.r) <= 2)),
     m AS (SELECT *, {_sims_sql({"name_sim": "company_name"})}, {_EXACT} FROM p),
     g AS (SELECT id, other, count(*) AS n_pairs FROM m
-          WHERE (name_sim > 0.8 AND name_sim < 0.92) OR (name_sim > 0.9 AND industry_exact = 1 AND city_exact = 1) GROUP BY 1, 2)
-    SELECT g.id, x.company_name AS sentence1, y.company_name AS sentence2, '?' AS label, n_pairs
-    FROM g JOIN e x ON x.rec_id = g.id JOIN e y ON y.rec_id = g.other""",
-)
+          WHERE (name_sim > 0.8 AND name_sim < 0.92) OR (name_sim > 0.9 AND industry_exact = 1 AND city_exact = 1) GROUP BY 1, 2),
+    x AS (SELECT g.id, x.company_name AS sentence1, y.company_name AS sentence2, '?' AS label, n_pairs
+    FROM g JOIN e x ON x.rec_id = g.id JOIN e y ON y.rec_id = g.other)"""
+
+
+@query("export_blocked_pairs", f"WITH {_EXPORT_SQL} SELECT * FROM x")
 def export_blocked_pairs(spark, sf):
     """The sentence pairs for a scorer, written as tab-separated text and read back."""
     rule = mt.band_or_exact("company_name", "industry", "city")
@@ -618,6 +617,27 @@ def export_blocked_pairs(spark, sf):
     return read_pair_table(spark, path, "id long, sentence1 string, sentence2 string, label string, n_pairs long")
 
 
+@query(
+    "eval_scored_export",
+    f"""WITH {_EXPORT_SQL},
+    s AS (SELECT DISTINCT least(sentence1, sentence2) AS pair_lo, greatest(sentence1, sentence2) AS pair_hi FROM x
+          WHERE jaro_winkler_similarity(lower(sentence1), lower(sentence2)) > 0.88),
+    t AS (SELECT least(company_name_left, company_name_right) AS pair_lo, greatest(company_name_left, company_name_right) AS pair_hi, max(label) AS y
+          FROM {{entity_pairs}} GROUP BY 1, 2),
+    c AS (SELECT count(s.pair_lo) AS n_predicted, count(t.y) AS n_truth, count(*) FILTER (WHERE y = 1) AS n_true,
+          count(*) FILTER (WHERE y IS NOT NULL AND s.pair_lo IS NOT NULL) AS n_intersection, count(*) FILTER (WHERE y = 1 AND s.pair_lo IS NOT NULL) AS tp
+          FROM t FULL OUTER JOIN s ON t.pair_lo = s.pair_lo AND t.pair_hi = s.pair_hi)
+    SELECT *, n_intersection - tp AS fp, n_true - tp AS fn, round(CASE WHEN n_intersection = 0 THEN 0.0 ELSE tp / n_intersection END, 6) AS precision,
+           round(CASE WHEN n_true = 0 THEN 0.0 ELSE tp / n_true END, 6) AS recall FROM c""",
+)
+def eval_scored_export(spark, sf):
+    """The exported pairs written, read, scored, those above the threshold taken and held against labelled pairs."""
+    scored = score_pairs(export_blocked_pairs(spark, sf), winkler_scorer, threshold=0.88)
+    predicted = j.with_pair_key(scored.filter("predicted_label = 1"), "sentence1", "sentence2")
+    truth = j.with_pair_key(view(spark, sf, "entity_pairs"), "company_name_left", "company_name_right").select("pair_lo", "pair_hi", "label")
+    return evaluate_pairs(predicted, truth).drop("f1").withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
+
+
 @query(
     "match_canopy",
     _CANOPIES
