@@ -161,9 +161,14 @@ def rank_bands(df: DataFrame, group: str | None, order: Column, cuts: Callable[[
         F.min(F.struct("_part", (F.col("_cut") - F.col("_upto") + F.col("_rows")).alias("inside"), F.col("_rows").alias("rows"))).alias("at")
     )
     bounds = cut_lineage(met.groupBy("_class").agg(F.collect_list("at").alias("_bounds")).withColumnRenamed("_class", "_of"))
-    if bounds.limit(MAX_CLASSES + 1).count() <= MAX_CLASSES:
-        bounds = F.broadcast(bounds)
-    joined = rows.join(bounds, F.col("_class").eqNullSafe(F.col("_of")), "left").drop("_of")
+    if group is None:  # one class: a few numbers, which may be part of the plan
+        at = [b for row in bounds.collect() for b in row["_bounds"]]
+        fixed = F.array(*[F.struct(*[F.lit(b[c]).alias(c) for c in ("_part", "inside", "rows")]) for b in at])
+        joined = rows.withColumn("_bounds", fixed if at else F.lit(None).cast(bounds.schema["_bounds"].dataType))
+    else:
+        if bounds.limit(MAX_CLASSES + 1).count() <= MAX_CLASSES:
+            bounds = F.broadcast(bounds)
+        joined = rows.join(bounds, F.col("_class").eqNullSafe(F.col("_of")), "left").drop("_of")
     part = F.col("_part")
     tied = F.coalesce(F.exists("_bounds", lambda b: (b["_part"] == part) & (b["inside"] > 0) & (b["inside"] < b["rows"])), F.lit(False))
 

@@ -228,5 +228,9 @@ def test_bands_of_ranks(spark, monkeypatch, digits):
             assert got[k] == sum(at > c for c in (-1, 0, n // 3, n - 2, n, 10**6)), (label, at)
     assert len(got) == 400
     assert rk.rank_bands(df.limit(0), "label", order, cuts).collect() == []
-    plan = rk.rank_bands(df, None, order, cuts)._jdf.queryExecution().toString()
-    assert "rangepartitioning" not in plan
+    whole = rk.rank_bands(df, None, order, cuts)
+    plan = whole._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "NestedLoop" not in plan
+    inside = sorted((keyed[k], k) for k, _ in rows)
+    assert {r.id: r.band for r in whole.collect()} == {k: sum(at > c for c in (-1, 0, 133, 398, 400, 10**6)) for at, (_, k) in enumerate(inside, 1)}
+    assert rk.rank_bands(df.limit(0), None, order, cuts).collect() == []
