@@ -44,6 +44,7 @@ TOP_WORDS = 1 << 18
 FEATURES = 6
 ROUNDS, STEP_TOKENS, RATE = 3, 2048, 0.5
 SLICES = 16
+GROUP_PARTITIONS = 128
 _U = np.uint64
 _START, _END = _U(0x51ED270B7F4A7C15), _U(0x2545F4914F6CDD1D)
 
@@ -171,9 +172,10 @@ def _log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
 
 
 def _sliced_sum(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
-    """Sums of the blobs of each slice, in two steps on the executors; one blob per slice comes back.
+    """Sums of the blobs of each slice, added up on the executors; one blob per slice comes back.
 
-    The blobs of a slice meet in groups of tasks first, whose number follows the shuffle setting and so the data.
+    From ``GROUP_PARTITIONS`` shuffle partitions on, a setting that follows the data, the blobs of a slice meet in
+    groups of tasks first, so no task reads those of all tasks.
     """
 
     def adder(kind: str) -> Callable:
@@ -191,10 +193,11 @@ def _sliced_sum(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
         return add
 
     schema = "slice int, blob binary"
-    groups = max(1, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SLICES)
-    dealt = parts.withColumn("group", F.spark_partition_id() % groups).repartition(SLICES * groups, "slice", "group")
-    some = dealt.select("slice", "blob").mapInArrow(adder(dtype), schema)
-    rows = some.repartition(SLICES, "slice").mapInArrow(adder("<f8"), schema).collect()
+    groups = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // GROUP_PARTITIONS
+    if groups > 1:
+        dealt = parts.withColumn("group", F.spark_partition_id() % groups).repartition(SLICES * groups, "slice", "group")
+        parts, dtype = dealt.select("slice", "blob").mapInArrow(adder(dtype), schema), "<f8"
+    rows = parts.repartition(SLICES, "slice").mapInArrow(adder(dtype), schema).collect()
     return {r.slice: np.frombuffer(r.blob, np.float64) for r in rows}
 
 

@@ -3,6 +3,7 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,15 @@ def test_pipeline_whole_and_on_nothing(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("partitions", ["4", "300"])
+def test_sliced_sums_in_one_and_two_steps(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = [(k % language_model.SLICES, bytearray(np.array([k, 1], dtype="<f4").tobytes())) for k in range(320)]
+        found = language_model._sliced_sum(spark.createDataFrame(rows, "slice int, blob binary").repartition(7), "<f4")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {k: v.tolist() for k, v in found.items()} == {k: [float(sum(range(k, 320, 16))), 20.0] for k in range(16)}
