@@ -208,3 +208,33 @@ def test_given_blocks_are_counted(frame):
     twice = key.unionByName(key.withColumn("key", F.lit("other")))
     with pytest.raises(ValueError, match="several given blocks"):
         b.candidate_count(frame, [b.Given(twice, "name")])
+
+
+def test_found_pairs_are_not_shuffled(frame):
+    """Repeats are told apart, and copies expanded, where a pair is found."""
+    rule = mt.band_or_similar("name", "industry", "city")
+    found = mt.link_records(frame, ["name", "industry", "city"], [b.Block("industry"), b.Neighbourhood("name", 5)], rule, "name")
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    assert "Join" not in above and "Aggregate" not in above
+
+
+@pytest.mark.parametrize("copies", [1, 2, 256])
+def test_copies_in_rows_and_overlapping_blocks(spark, monkeypatch, copies):
+    """A pair comes once, whatever blocks it shares and in how many rows the records of a profile are."""
+    monkeypatch.setattr(mt, "COPIES_IN_ROW", copies)
+    rows = [(k, NAMES[k % 5], ["bank", None][k % 2], None if k % 7 == 0 else "rome") for k in range(60)] + [(None, "acme co", "bank", "rome")]
+    df = spark.createDataFrame(rows, "rec_id long, name string, industry string, city string")
+    keys = [(n, key) for at, n in enumerate(NAMES[:5]) for key in ("x", "y", "z")[: at + 1]]
+    given = b.Given(spark.createDataFrame([*keys, keys[0]], "name string, key string"), "name")
+    rule = mt.open_band(["name"], "name", 0.7, 1.0)
+    for indexers in ([given], [b.Block("city"), given, b.Neighbourhood("name", 3)]):
+        got = mt.link_records(df, ["name", "industry", "city"], indexers, rule, "name", tile_rows=4).collect()
+        want = [(x[0], y[0]) for x, y in itertools.combinations(rows[:60], 2) if x[1] != y[1] and 0.7 < round(jw(x[1], y[1]), 9) < 1]
+        assert sorted((r.id_left, r.id_right) for r in got) == want
+        by = {r[0]: r for r in rows}
+        assert all((r.name_left, r.industry_left, r.city_right) == (by[r.id_left][1], by[r.id_left][2], by[r.id_right][3]) for r in got)
+
+
+def test_counted_candidates_are_not_broadcast(frame):
+    sets = [b.Block("industry"), b.Block("city"), b.Neighbourhood("name", 5)]
+    assert "Broadcast" not in b.candidate_count(frame, sets)._jdf.queryExecution().executedPlan().toString()
