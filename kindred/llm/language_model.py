@@ -13,8 +13,9 @@ left for a word never seen:
 Counts, class statistics and gradients come from all training texts. The weights are trained in
 ``ROUNDS`` rounds, each over the training texts of one hash residue: every task runs adaptive gradient
 steps over its texts from the common weights, and the steps of a feature are averaged over the
-tasks in proportion to how often they saw it, in slices on the executors. Texts are scored in sparse
-numpy batches. The counts of the ``TOP_WORDS`` most frequent words go to every task (a table of fixed
+tasks in proportion to how often they saw it, in slices on the executors. A task's steps have a fixed
+size, so the input is read by at most a task per ``TASK_TOKENS`` training tokens, however many files or
+partitions it comes in, and what is shuffled grows with the texts. Texts are scored in sparse numpy batches. The counts of the ``TOP_WORDS`` most frequent words go to every task (a table of fixed
 size); those of all other words are joined by a shuffle. Words are told apart by 64-bit hashes.
 
 Defined results: a null or empty text is its end token alone; without training texts the base takes
@@ -45,6 +46,7 @@ FEATURES = 6
 ROUNDS, STEP_TOKENS, RATE = 3, 2048, 0.5
 SLICES = 16
 GROUP_PARTITIONS = 128
+TASK_TOKENS = 2_000_000  # training tokens of a task that sends sums; 667,000 a round
 _U = np.uint64
 _START, _END = _U(0x51ED270B7F4A7C15), _U(0x2545F4914F6CDD1D)
 
@@ -235,6 +237,11 @@ def _most_frequent(vocabulary: DataFrame, most: int) -> pd.DataFrame:
     return top.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
 
 
+def _few_tasks(texts: DataFrame, tokens: int) -> DataFrame:
+    """All of ``texts``, read by at most a task per ``TASK_TOKENS`` of their ``tokens``; nothing is shuffled for it."""
+    return texts.coalesce(max(1, -(-tokens // TASK_TOKENS)))
+
+
 def _blob_rows(blobs: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "blob"])
 
@@ -399,7 +406,7 @@ def score_texts(docs: DataFrame, learns: Callable[[Column], Column]) -> DataFram
     n, v = (totals.n or 0) + ends, totals.v + (ends > 0)
     top = _most_frequent(vocabulary, TOP_WORDS)
     words = Vocabulary(top["word"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64))
-    class_of = _spelling_classes(training.select("text"), words)
+    class_of = _spelling_classes(_few_tasks(training.select("text"), n), words)
     by_spelling = vocabulary.groupBy("spelling").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()  # at most 2**14 rows
     first = words.words[:OWN_CLASSES]
     first = first[words.find(first) >= 0]  # a word displaced from the table is counted with its spelling
@@ -413,7 +420,8 @@ def score_texts(docs: DataFrame, learns: Callable[[Column], Column]) -> DataFram
     log_total[: END_CLASS + 1] = 0.0
     model = Model(words, class_of, np.zeros((1 << FEATURE_BITS, CLASSES), dtype=np.float32), log_total)
     for turn in range(ROUNDS):
-        _train(training.where(F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(ROUNDS)), F.lit(0)) == turn).select("text"), model)
+        part = training.where(F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(ROUNDS)), F.lit(0)) == turn)
+        _train(_few_tasks(part.select("text"), n), model)
     numbered = source.withColumn("doc", F.monotonically_increasing_id())
     partial = cut_lineage(_partial_scores(numbered, model, ends))
     rare = partial.where("word is not null").select("doc", "word", "tf")

@@ -332,6 +332,24 @@ def test_language_model(spark):
     assert language_model.score_texts(docs_frame(spark, rows).limit(0), learns).collect() == []
 
 
+def test_training_tasks_follow_the_tokens(spark, monkeypatch):
+    """Many small partitions do not each send a model of their own: what is shuffled grows with the texts."""
+    sent = []
+    summed = language_model._sliced_sum
+
+    def count(parts, dtype):
+        sent.append(parts.count())
+        return summed(parts, dtype)
+
+    monkeypatch.setattr(language_model, "_sliced_sum", count)
+    monkeypatch.setattr(language_model, "TASK_TOKENS", 400, raising=False)
+    rows = docs_frame(spark, [(k, f"the word{k % 7} of", "s", 1) for k in range(200)]).repartition(40)
+    learns = lambda doc: doc >= 0
+    got = language_model.score_texts(rows, learns).collect()
+    assert {(r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(4, 4, 800)} and len(got) == 200
+    assert sent == [2 * language_model.SLICES] * (language_model.ROUNDS + 1)
+
+
 def test_language_model_is_normalised():
     """Over the known words, the end and one unknown word per spelled class the probabilities add up to one."""
     counts = np.array([50, 40, 30, 8, 5, 2, 1])
