@@ -181,6 +181,27 @@ def test_canopies_equal_one_by_one(spark, loose, tight, local):
     assert {(r.canopy, r.rec_id) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("loose,tight", [(0.5, 0.3), (0.3, 0.7)])
+def test_canopies_by_batch_are_those_of_all_pairs(spark, monkeypatch, loose, tight):
+    """Centres found a few rows at a time, hot blocks cut into tiles, repeated and missing ids and short texts; pairs of two
+    rows that others take are not made."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(k, "".join(rng.choice("ab c") for _ in range(rng.randint(1, 7))), 1 + k % 3) for k in range(90)]
+    rows += [(None, "abab", 1), (None, "x", 1), (rows[-1][0], rows[-1][1], 2), (100, None, 1), (100, None, 1), (101, "zq", 1), (101, "zq", 1)]
+    df = spark.createDataFrame(rows, "rec_id long, name string, n long").repartition(3)
+    made = []
+    between = tfidf._between
+    monkeypatch.setattr(tfidf, "_between", lambda *a: made.append(1) or between(*a))
+    monkeypatch.setattr(tfidf.pairs_between, "__defaults__", ("block", "rec_id", 3))
+    every = lambda size: sorted(
+        (str(r.canopy), str(r.rec_id), r.cosine) for r in canopies(df, "name", loose=loose, tight=tight, copies="n", batch_rows=size).collect()
+    )
+    want = every(1000)
+    assert not made and every(10) == want and len(made) > 2
+
+
 def test_given_blocks_and_first_letter(frame):
     key = frame.select("name").distinct().select("name", first_letter("name").alias("key"))
     given = b.Given(key.filter("key is not null"), "name").members(frame)
