@@ -46,8 +46,10 @@ FEATURES = 6
 ROUNDS, STEP_TOKENS, RATE = 3, 2048, 0.5
 SLICES = 16
 GROUP_PARTITIONS = 128
+FRESH_WORDS = 500_000  # distinct words of pieces that wait to be combined with those before
 TASK_TOKENS = 2_000_000  # training tokens of a task that sends sums; 667,000 a round
 _U = np.uint64
+_KEY = np.min_scalar_type((1 << FEATURE_BITS) - 1)  # two bytes: numpy sorts these by counting
 _START, _END = _U(0x51ED270B7F4A7C15), _U(0x2545F4914F6CDD1D)
 
 
@@ -58,36 +60,44 @@ def batch_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         raw = lower(data[offsets[lo] : offsets[hi]])
         starts, ends, first = word_spans(raw, offsets[lo : hi + 1] - offsets[lo])
         spelled = np.zeros(len(starts), dtype=np.uint64)
+        padded = np.concatenate([np.zeros(4, np.uint8), raw, np.zeros(1, np.uint8)])
+        size = ends - starts
         for k in range(2):
-            at = starts + k
-            spelled = spelled << _U(8) | np.where(at < ends, raw[np.minimum(at, ends - 1)], 0).astype(np.uint64)
+            spelled = spelled << _U(8) | padded.take(starts + (4 + k)) * (size > k)
         for k in range(1, 5):
-            at = ends - k
-            spelled = spelled << _U(8) | np.where(at >= starts, raw[np.maximum(at, starts)], 0).astype(np.uint64)
+            spelled = spelled << _U(8) | padded.take(ends + (4 - k)) * (size >= k)
         yield lo, hi, hash_words(raw, starts, ends), (mix(spelled + _U(1)) >> _U(64 - SPELLING_BITS)).astype(np.int64), first
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the words of a task's texts, combined before they leave the task."""
-    held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-
-    def combined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        words, spelled, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-        names, at, back = np.unique(words, return_index=True, return_inverse=True)
-        return names, spelled[at], np.bincount(back, weights=counts, minlength=len(names)).astype(np.int64)
+    nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, fresh = [nothing], 0
+
+    def combined(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words, spelled, counts = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.argsort(words)
+        words = words[order]
+        opens = np.ones(len(words), dtype=bool)
+        opens[1:] = words[1:] != words[:-1]
+        at = np.flatnonzero(opens)
+        return words[at], spelled[order[at]], np.add.reduceat(counts[order], at) if len(at) else counts
 
     def out(rows) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(rows[0].view(np.int64)), pa.array(rows[1].astype(np.int32)), pa.array(rows[2])], ["word", "spelling", "c"])
 
     for batch in batches:
         for _, _, words, spelled, _ in batch_words(batch.column(0)):
-            held.append((words, spelled, np.ones(len(words), np.int64)))
-            held = [combined()]
-            if len(held[0][0]) > 1_500_000:
-                yield out(held[0])
-                held = [tuple(x[:0] for x in held[0])]
-    for lo in range(0, len(held[0][0]), 200_000):
-        yield out(tuple(x[lo : lo + 200_000] for x in held[0]))
+            held.append(combined([(words, spelled, np.ones(len(words), np.int64))]))
+            fresh += len(held[-1][0])
+            if fresh > FRESH_WORDS:
+                held, fresh = [combined(held)], 0
+                if len(held[0][0]) > 1_500_000:
+                    yield out(held[0])
+                    held = [nothing]
+    rows = combined(held)
+    for lo in range(0, len(rows[0]), 200_000):
+        yield out(tuple(x[lo : lo + 200_000] for x in rows))
 
 
 @dataclass
@@ -131,48 +141,80 @@ def _stream(words: np.ndarray, rank: np.ndarray, spelled: np.ndarray, first: np.
 
     Without ``class_of`` the spellings and last frequent words alone.
     """
-    n, texts = len(words), len(first) - 1
+    texts = len(first) - 1
+    n = len(words) + texts
     ends = first[1:] + np.arange(texts)
     begins = first[:-1] + np.arange(texts)
-    is_end = np.zeros(n + texts, dtype=bool)
+    is_end = np.zeros(n, dtype=bool)
     is_end[ends] = True
-    token = np.full(n + texts, _END)
-    token[~is_end] = words
-    own = np.full(n + texts, END_CLASS, dtype=np.int64)
-    own[~is_end] = np.where((rank >= 0) & (rank < OWN_CLASSES), rank, -1)
-    owner = np.repeat(np.arange(texts), np.diff(first) + 1)
-    place = np.arange(n + texts) - begins[owner]
+    is_word = ~is_end
+    own = np.full(n, END_CLASS, dtype=np.int64)
+    own[is_word] = np.where((rank >= 0) & (rank < OWN_CLASSES), rank, -1)
+    lengths = np.diff(first) + 1
+    begin = np.repeat(begins, lengths)  # of the text of each token
     # the last word with a class of its own before each token, OWN_CLASSES + 1 for none
-    seen = np.maximum.accumulate(np.where((own >= 0) & ~is_end, np.arange(n + texts), -1))
-    before = np.concatenate([[-1], seen[:-1]])
-    last = np.where(before >= begins[owner], own[before], OWN_CLASSES + 1)
-    spelling = np.zeros(n + texts, dtype=np.int64)
-    spelling[~is_end] = spelled
+    before = np.full(n, -1)
+    np.maximum.accumulate(np.where((own >= 0) & is_word, np.arange(n), -1)[:-1], out=before[1:])
+    last = np.where(before >= begin, own[before], OWN_CLASSES + 1)
+    spelling = np.zeros(n, dtype=np.int64)
+    spelling[is_word] = spelled
     if class_of is None:
         return spelling[own < 0], last[own < 0]
     classes = np.where(own >= 0, own, class_of[spelling])
-    back = [np.where(place >= k, np.concatenate([np.full(k, _START), token[:-k]])[: len(token)], _START) for k in (1, 2, 3)]
-    keys = [
-        back[0] * _U(0x9E3779B97F4A7C15) + _U(1),
-        back[1] * _U(0xBF58476D1CE4E5B9) + _U(2),
-        back[2] * _U(0x94D049BB133111EB) + _U(3),
-        back[0] * _U(0xD6E8FEB86659FD93) + back[1] * _U(0xA0761D6478BD642F) + _U(4),
-        last.astype(np.uint64) + _U(5 << 32),
-        np.full(len(token), 6 << 32, dtype=np.uint64),
-    ]
-    features = np.stack([(mix(k) >> _U(64 - FEATURE_BITS)).astype(np.int32) for k in keys], axis=1)
+    token = np.full(n + 3, _START)  # three places before the first text
+    token[3:][is_word] = words
+    token[3:][is_end] = _END
+    back = [token[3 - k : n + 3 - k].copy() for k in (1, 2, 3)]
+    for j in range(3):  # token j of a text has j tokens before it
+        at = begins[lengths > j] + j
+        for k in range(j, 3):
+            back[k][at] = _START
+    features = np.empty((n, FEATURES), dtype=np.int32)
+
+    def feature(keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> _U(64 - FEATURE_BITS)).astype(np.int32)
+
+    features[:, 0] = feature(back[0] * _U(0x9E3779B97F4A7C15) + _U(1))
+    features[:, 1] = feature(back[1] * _U(0xBF58476D1CE4E5B9) + _U(2))
+    features[:, 2] = feature(back[2] * _U(0x94D049BB133111EB) + _U(3))
+    features[:, 3] = feature(back[0] * _U(0xD6E8FEB86659FD93) + back[1] * _U(0xA0761D6478BD642F) + _U(4))
+    features[:, 4] = feature(np.arange(OWN_CLASSES + 2, dtype=np.uint64) + _U(5 << 32))[last]
+    features[:, 5] = feature(np.full(1, 6 << 32, dtype=np.uint64))
+    owner = np.repeat(np.arange(texts), lengths)
     return classes, features, owner, is_end
 
 
+def _highest(rows: np.ndarray) -> np.ndarray:
+    """The largest value of each row as a column, found by halves of columns: a reduction of short rows is slow."""
+    while rows.shape[1] > 8 and rows.shape[1] % 2 == 0:
+        half = rows.shape[1] // 2
+        rows = np.maximum(rows[:, :half], rows[:, half:])
+    return np.ascontiguousarray(rows.T).max(axis=0)[:, None]
+
+
+def _shifted_logits(weights: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits less the largest of their row, and the logarithm of the sum of their exponentials."""
+    at = np.ascontiguousarray(features.T, dtype=np.intp)
+    logits = weights.take(at[0], axis=0)
+    more = np.empty_like(logits)
+    for k in range(1, len(at)):
+        logits += weights.take(at[k], axis=0, out=more, mode="clip")
+    logits -= _highest(logits)
+    return logits, np.log(np.exp(logits, out=more).sum(axis=1, keepdims=True))
+
+
 def _log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    logits = weights.take(features[:, 0], axis=0)
-    for k in range(1, features.shape[1]):
-        logits += weights.take(features[:, k], axis=0)
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    logits, log_sum = _shifted_logits(weights, features)
+    logits -= log_sum
     return logits
 
 
+def _log_chance(weights: np.ndarray, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """``_log_softmax`` at one class per row."""
+    logits, log_sum = _shifted_logits(weights, features)
+    return logits[np.arange(len(logits)), classes] - log_sum[:, 0]
+
+
 def _sliced_sum(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
     """Sums of the blobs of each slice, added up on the executors; one blob per slice comes back.
 
@@ -284,18 +326,21 @@ def _spelling_classes(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     return END_CLASS + 1 + np.argmax(points @ centres.T, axis=1)
 
 
-def _sums_by(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ``keys``, how often each occurs, and the sums of its ``rows``."""
-    order = np.argsort(keys, kind="stable")
+def _sums_by(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``keys`` and the sums of their ``rows``."""
+    order = np.argsort(keys.astype(_KEY), kind="stable")
     sorted_ = keys[order]
     at = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
     counts = np.diff(np.append(at, len(keys)))
     total = rows.take(order[at], axis=0)
-    several = counts > 1
+    twice = np.flatnonzero(counts == 2)  # half of the keys that come again
+    if len(twice):
+        total[twice] += rows.take(order[at[twice] + 1], axis=0)
+    several = counts > 2
     if several.any():
         own = counts[several]
         total[several] = np.add.reduceat(rows.take(order[np.repeat(several, counts)], axis=0), np.cumsum(own) - own, axis=0)
-    return sorted_[at], counts, total
+    return sorted_[at], total
 
 
 def _weighted_steps(before: np.ndarray, after: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -315,16 +360,19 @@ def _train(texts: DataFrame, model: Model) -> None:
         for batch in batches:
             for _, _, words, spelled, first in batch_words(batch.column(0)):
                 classes, features, _, _ = _stream(words, m.vocabulary.find(words), spelled, first, m.class_of)
+                seen += np.bincount(features.ravel(), minlength=len(seen))
                 for lo in range(0, len(classes), STEP_TOKENS):
                     own, target = features[lo : lo + STEP_TOKENS], classes[lo : lo + STEP_TOKENS]
-                    slope = np.exp(_log_softmax(weights, own))
+                    slope = _log_softmax(weights, own)
+                    np.exp(slope, out=slope)
                     slope[np.arange(len(target)), target] -= 1
                     slope /= FEATURES
                     for k in range(FEATURES):
-                        rows, counts, total = _sums_by(own[:, k], slope)
-                        squares[rows] += np.einsum("ij,ij->i", total, total)
-                        weights[rows] -= total * (RATE / np.sqrt(squares[rows]))[:, None]
-                        seen[rows] += counts
+                        rows, total = _sums_by(own[:, k], slope)
+                        length = squares.take(rows) + np.einsum("ij,ij->i", total, total)
+                        squares[rows] = length
+                        total *= (RATE / np.sqrt(length))[:, None]
+                        weights[rows] = weights.take(rows, axis=0) - total
         yield _blob_rows([x.tobytes() for x in np.split(_weighted_steps(m.weights, weights, seen), SLICES)])
 
     found = _sliced_sum(texts.mapInArrow(learn, "slice int, blob binary"), "<f4")
@@ -353,8 +401,7 @@ def _partial_scores(rows: DataFrame, model: Model, end_count: int) -> DataFrame:
                 chance = np.empty(len(classes))
                 for at in range(0, len(classes), STEP_TOKENS):
                     part = slice(at, at + STEP_TOKENS)
-                    logs = _log_softmax(m.weights, features[part])
-                    chance[part] = logs[np.arange(len(logs)), classes[part]]
+                    chance[part] = _log_chance(m.weights, features[part], classes[part])
                 chance = chance / np.log(10) - m.log_total[classes]
                 own = np.repeat(np.arange(texts), np.diff(first))
                 there = rank >= 0

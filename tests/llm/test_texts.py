@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -361,6 +362,84 @@ def test_language_model_is_normalised():
     assert np.allclose(np.exp(language_model._log_softmax(weights, features)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_counting_words_takes_linear_time():
+    """Words already counted are not sorted again for every piece: four times the pieces take about four times as long."""
+    def seconds(pieces):
+        batches = [pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{k}x{j}" for j in range(300)) + " The the"])], ["text"]) for k in range(pieces)]
+        begin = time.process_time()
+        parts = list(language_model._count_words(iter(batches)))
+        spent = time.process_time() - begin
+        rows = pa.Table.from_batches(parts).to_pandas()
+        assert rows["word"].is_unique and Counter(rows["c"]) == {1: 300 * pieces, 2 * pieces: 1}
+        return spent
+
+    assert seconds(1200) < 9 * max(seconds(300), 0.1)
+
+
+def test_counts_leave_in_parts(monkeypatch):
+    monkeypatch.setattr(language_model, "FRESH_WORDS", 3, raising=False)
+    texts = ["a b c d", "B c", None, "", "c d e f g h", "a"]
+    batches = (pa.RecordBatch.from_arrays([pa.array([t], pa.string())], ["text"]) for t in texts)
+    rows = [r for b in language_model._count_words(batches) for r in b.to_pylist()]
+    assert sorted(r["c"] for r in rows) == [1, 1, 1, 1, 2, 2, 2, 3]
+    assert list(language_model._count_words(iter([]))) == []
+
+
+def test_stream_of_tokens_equals_its_definition():
+    texts = ["the a of the b", None, "", "x", "of", "the", "a b c d e the the", " A\tB "]
+    ((_, _, words, spelled, first),) = language_model.batch_words(pa.array(texts))
+    tokens = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
+    rank = np.array([{"the": 0, "of": 1}.get(w, -1) for t in tokens for w in t])
+    class_of = language_model.END_CLASS + 1 + np.arange(1 << language_model.SPELLING_BITS) % 32
+    classes, features, owner, is_end = language_model._stream(words, rank, spelled, first, class_of)
+
+    def feature(key):
+        return int(language_model.mix(np.array([key % 2**64], np.uint64))[0]) >> (64 - language_model.FEATURE_BITS)
+
+    hashes, spellings, at = iter(words.tolist()), iter(spelled.tolist()), 0
+    start, none = int(language_model._START), language_model.OWN_CLASSES + 1
+    for d, t in enumerate(tokens):
+        back, last = [start] * 3, none
+        for w in [*t, None]:
+            own = {"the": 0, "of": 1, None: language_model.END_CLASS}.get(w)
+            spelling = None if w is None else next(spellings)
+            if w is not None:
+                padded = [*w.encode()[:2], *[0] * (2 - len(w))], [*w.encode()[::-1][:4], *[0] * (4 - len(w))]
+                number = int.from_bytes(bytes(padded[0] + padded[1]), "big")
+                assert spelling == int(language_model.mix(np.array([number + 1], np.uint64))[0]) >> (64 - language_model.SPELLING_BITS)
+            keys = [
+                back[0] * 0x9E3779B97F4A7C15 + 1, back[1] * 0xBF58476D1CE4E5B9 + 2, back[2] * 0x94D049BB133111EB + 3,
+                back[0] * 0xD6E8FEB86659FD93 + back[1] * 0xA0761D6478BD642F + 4, last + (5 << 32), 6 << 32,
+            ]
+            assert (owner[at], is_end[at], classes[at]) == (d, w is None, class_of[spelling] if own is None else own)
+            assert features[at].tolist() == [feature(k) for k in keys]
+            if w is not None:
+                back = [next(hashes), *back[:2]]
+                last = last if own is None else own
+            at += 1
+    assert at == len(classes)
+
+
+def test_parts_of_a_step_equal_their_definitions():
+    rng = np.random.default_rng(3)
+    weights = rng.normal(size=(1 << language_model.FEATURE_BITS, language_model.CLASSES)).astype(np.float32)
+    features = rng.integers(0, 1 << language_model.FEATURE_BITS, (300, language_model.FEATURES)).astype(np.int32)
+    features[:, 0] %= 150
+    features[:, -1] = features[0, -1]
+    classes = rng.integers(0, language_model.CLASSES, 300)
+    logits = weights[features].astype(np.float64).sum(axis=1)
+    logs = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    assert np.allclose(language_model._log_softmax(weights, features), logs, atol=1e-4)
+    chance = language_model._log_chance(weights, features, classes)
+    assert (chance == language_model._log_softmax(weights, features)[np.arange(300), classes]).all()
+    slope = np.exp(logs).astype(np.float32)
+    assert (language_model._highest(slope) == slope.max(axis=1, keepdims=True)).all()
+    for k in range(language_model.FEATURES):
+        keys, total = language_model._sums_by(features[:, k], slope)
+        assert (keys == np.unique(features[:, k])).all()
+        assert np.allclose(total, [slope[features[:, k] == x].astype(np.float64).sum(axis=0) for x in keys], rtol=1e-5)
+
+
 def test_steps_count_by_sightings():
     """A task that saw a feature nine times as often moves it nine times as much, however often that is."""
     before = np.zeros((2, language_model.CLASSES), np.float32)
