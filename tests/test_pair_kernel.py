@@ -11,6 +11,8 @@ from kindred.functions.strings import Encoded, round_half_up
 from kindred.operators import blocking as b
 from kindred.operators import matching as mt
 from kindred.operators.pairjoin import Candidates, NameFloors, similar_pairs
+from kindred.sources.readers import read_pair_table
+from kindred.sources.writers import write_pairs
 from tests.test_functions import plain_jaro_winkler as jw
 
 
@@ -138,3 +140,24 @@ def test_rounding_is_that_of_spark(spark):
     rows = df.collect()
     assert all(r.want == r.got for r in rows)
     assert round_half_up(np.array([r.v for r in rows]), 9).tolist() == [r.want for r in rows]
+
+
+def test_compressed_pair_lines_lose_nothing(spark, tmp_path):
+    odd = ["plain", "a\tb", "x\ny", "", None, "back\\slash", "\\", "\\\\t", "\\N", "\x00\x01", "\\\\n\\", " é "]
+    rows = [(k, a, b, None if k % 3 else k) for k, (a, b) in enumerate(itertools.product(odd, odd))]
+    schema = "id long, sentence1 string, sentence2 string, n_pairs long"
+    write_pairs(spark.createDataFrame(rows, schema).repartition(3), str(tmp_path / "p"), "gzip")
+    back = read_pair_table(spark, str(tmp_path / "p"), schema)
+    assert sorted(map(tuple, back.collect()), key=lambda x: x[0]) == rows
+    assert {f.suffix for f in (tmp_path / "p").glob("part-*")} == {".gz"}
+
+
+def test_the_export_is_written_compressed(spark, monkeypatch, tmp_path):
+    """Lines of pairs outgrow the records they name."""
+    import __spark_entry__ as entry
+    from kindred.plans import linkage
+
+    monkeypatch.setattr(linkage, "workspace", lambda spark, label: str(tmp_path / label))
+    rows = entry.queries()["export_blocked_pairs"](spark, "/root/testdata/sf0.001").count()
+    files = list((tmp_path / "blocked.tsv").glob("part-*"))
+    assert rows and files and all(f.suffix == ".gz" for f in files)
